@@ -24,9 +24,36 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive_pages
+
+    return archive_pages(_table(spark, sf_dir, "pages"))
+
+
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.placement import place
+
+    shards = [f"shard-{i:03d}" for i in range(64)]
+    return place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards)
+
+
 QUERIES = {
+    "op3_warc": warc,
+    "op5_sharding": sharding,
     "op10_benchmark_decontamination": benchmark_decontamination,
     "op7_best_fit_packing": best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
+        ), m AS (
+            SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload) END AS first FROM p
+        )
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest,
+               CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < first THEN first END AS refers_to
+        FROM m
+    """,
+}
