@@ -37,7 +37,14 @@ def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(_table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], shards)
 
 
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.minhash import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 QUERIES = {
+    "op9_minhash_near_dedup": minhash_near_dedup,
     "op3_warc": warc,
     "op5_sharding": sharding,
     "op10_benchmark_decontamination": benchmark_decontamination,
