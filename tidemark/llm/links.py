@@ -64,14 +64,15 @@ def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFram
 
 
 def row_filter(ids: DataFrame) -> np.ndarray:
-    """Bits for the 64-bit values of the one column of ``ids``: FILTER_BITS, packed, however many there are."""
+    """Bits for the one column of ``ids``, of longs or of names whose first 8 bytes count: FILTER_BITS, packed, however many there are."""
 
     def fill(batches):
         import pyarrow as pa
 
         bits = np.zeros(FILTER_BITS, dtype=bool)
         for batch in batches:
-            x = batch.column(0).to_numpy().view(np.uint64)
+            x = batch.column(0)
+            x = np.frombuffer(b"".join(y[:8] for y in x.to_pylist()), dtype=np.uint64) if pa.types.is_binary(x.type) else x.to_numpy().view(np.uint64)
             bits[(x >> np.uint64(40)).astype(np.int64) & FILTER_BITS - 1] = True
             bits[x.astype(np.int64) & FILTER_BITS - 1] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])

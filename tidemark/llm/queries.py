@@ -43,7 +43,14 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op1_line_dedup": line_dedup,
     "op9_minhash_near_dedup": minhash_near_dedup,
     "op3_warc": warc,
     "op5_sharding": sharding,
