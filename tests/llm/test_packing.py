@@ -12,7 +12,7 @@ from tidemark.llm.packing import best_fit_packing, pack_documents, plan_bins, st
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("length", T.StringType()), T.StructField("piece", T.StringType())])
-TEXTS = ["The cat's 42 hats, it's HERE.", None, "", "  \n\t ", "<|startoftext|> <|STARTOFTEXT|> a", "naïvé Ünïcode x y 日本語 'S", "word " * 900, "tail"]
+TEXTS = ["The cat's 42 hats, it's HERE.", None, "", "  \n\t ", "<|startoftext|> <|STARTOFTEXT|> a", "naïvé Ünïcode x y 日本語 'S", "word " * 900, "tail", "ends. (odd). a.'s b.,c, d., e. f,\ng", "cafe\u0301 \u0301x ﬁ Ǆ İstanbul ΣΑΣ ß \u200bz\u00a0w \x1cq \u3000日", "<|endoftext|>, <|ENDOFTEXT|>."]
 
 
 def test_pieces_equal_whole_encoding(spark):

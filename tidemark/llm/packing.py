@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import id_text, staged
 from tidemark.llm.kernels import chunks
 
-#: Different words whose tokens a task remembers at once.
-REMEMBERED = 400_000
+#: Different words whose tokens a Python worker remembers, from one task to the next.
+REMEMBERED = 1_000_000
+#: Words encoded in one call.
+LOT = 500
 #: About so many pieces of one length are ranked in one group at most.
 RANKED_TOGETHER = 250_000
 
@@ -41,8 +43,9 @@ class _Words(dict):
 class WordTokens:
     """Token ids of whole texts, each different word encoded once.
 
-    Right for tokenizers whose tokens never span ASCII white space and ignore it, as those that
-    split at white space and drop it do.
+    Right for tokenizers whose tokens never span ASCII white space and ignore it, and never join
+    an ASCII letter to a stop or comma after it, as those that split into runs of letters, digits
+    and other signs do.
     """
 
     def __init__(self, path: str):
@@ -51,20 +54,51 @@ class WordTokens:
         self.encoder = Tokenizer.from_file(path)
         self.forget()
 
+    @classmethod
+    def of_worker(cls, path: str) -> WordTokens:
+        """The one that this Python process keeps for the path."""
+        import sys
+        import types
+
+        kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept"))
+        if getattr(kept, "path", None) != path:
+            kept.path, kept.tokens = path, cls(path)
+        return kept.tokens
+
     def forget(self) -> None:
         self.words = _Words()
         self.flat, self.first = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
-    def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has."""
+    def _encode(self, new: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and their number for each word: many words at once, told apart by where tokens begin."""
+        ids, sizes = [], []
+        for i in range(0, len(new), LOT):
+            lot = new[i : i + LOT]
+            got = self.encoder.encode(" ".join(lot), add_special_tokens=False)
+            ends = np.cumsum([len(x) + 1 for x in lot])
+            begin = np.fromiter((x for x, _ in got.offsets), dtype=np.int64)
+            sizes.append(np.bincount(np.searchsorted(ends, begin, side="right"), minlength=len(lot)))
+            ids.append(np.array(got.ids, dtype=np.uint32))
+        return ids, sizes
+
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For texts that lie side by side in ``data``: all ids in a row, and how many each text has."""
         if len(self.words) > REMEMBERED:
             self.forget()
+        letter = (data | 32) - np.uint8(97) < 26
+        stop = (data == 44) | (data == 46)
+        stop[1:] &= letter[:-1]
+        stop[:-1] &= (data[1:] == 32) | (data[1:] == 10)
+        stop[:1] = False
+        stops = np.flatnonzero(stop)
+        raw = np.insert(data, stops, np.uint8(32)).tobytes()
+        texts = [raw[a:b] for a, b in zip(starts + np.searchsorted(stops, starts), ends + np.searchsorted(stops, ends))]
         split = [(x if b"<|" in x else x.lower()).split() for x in texts]  # special tokens are told apart by case
         known = np.concatenate([np.fromiter(map(self.words.__getitem__, x), dtype=np.int64, count=len(x)) for x in split])
         if new := self.words.new:
-            got = [x.ids for x in self.encoder.encode_batch([x.decode("utf-8", "replace") for x in new], add_special_tokens=False)]
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in got])])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), dtype=np.uint32)])
+            ids, sizes = self._encode([x.decode("utf-8", "replace") for x in new])
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+            self.flat = np.concatenate([self.flat, *ids])
             self.words.new = []
         first = self.first[known]
         sizes = self.first[known + 1] - first
@@ -89,12 +123,11 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, *,
         import pyarrow as pa
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = WordTokens(tokenizer_path)
+        tokens = WordTokens.of_worker(tokenizer_path)
         for batch in batches:
             ids_of = batch.column(0)
             for row, data, starts, ends in chunks(batch.column(1)):
-                raw = data.tobytes()
-                ids, sizes = tokens.ids([raw[a:b] for a, b in zip(starts, ends)])
+                ids, sizes = tokens.ids(data, starts, ends)
                 at = np.concatenate([[0], np.cumsum(sizes)])
                 out, rows = [], []
                 for i in range(len(starts)):
