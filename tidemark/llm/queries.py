@@ -49,7 +49,14 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.syncmers import fingerprint_edits
+
+    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_document_fingerprints": document_fingerprints,
     "op1_line_dedup": line_dedup,
     "op9_minhash_near_dedup": minhash_near_dedup,
     "op3_warc": warc,
