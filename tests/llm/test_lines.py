@@ -38,7 +38,8 @@ def brute(docs, percent=80, least=5):
     group = {x: x for x in long}
     for i, x in enumerate(long):
         for y in long[:i]:
-            if (blocks[x] == blocks[y]).any() and 100 * distance(x, y) <= (100 - percent) * max(len(x), len(y)):
+            z = blocks[x] ^ blocks[y]
+            if (z.reshape(8, 4) == 0).all(axis=1).any() and np.bitwise_count(z).sum() <= 64 and 100 * distance(x, y) <= (100 - percent) * max(len(x), len(y)):
                 old, new = group[x], group[y]
                 group = {k: new if g == old else g for k, g in group.items()}
     kept, seen = set(), set()

@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Texts are taken so many bytes at a time (one longer text alone).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ BASE = 0xD6E8FEB86659FD93
 UNBASE = pow(BASE, -1, 1 << 64)
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=4)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (BASE, UNBASE):
@@ -90,7 +90,7 @@ def words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: tuple[n
     last = ends[starts < ends]
     edge[last] = w[last - 1]
     end = np.flatnonzero(edge)
-    powers, unpowers = _powers(1 << max(21, int(n).bit_length()))
+    powers, unpowers = _powers(1 << max(20, int(n).bit_length()))
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     v = values[data]

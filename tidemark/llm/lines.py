@@ -2,8 +2,9 @@
 
 A normalised line has a SimHash of 256 bits over its words, cut into 8 blocks. Lines that agree in
 a block are candidates: by the pigeonhole principle all whose SimHashes differ in 7 bits or fewer,
-and many beyond. Candidates are links when their edit similarity confirms it, and of every
-connected group of lines one occurrence is kept in the corpus, the first by document and line.
+and many beyond. Candidates are links when their SimHashes differ in a quarter of the bits at most
+and their edit similarity confirms it, and of every connected group of lines one occurrence is
+kept in the corpus, the first by document and line.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tidemark.llm.kernels import _powers, byte_table, chunks, mix, randoms, word
 from tidemark.llm.links import bucket_components, passes, row_filter
 
 BLOCKS = 8
+#: Bits in which the SimHashes of a link may differ: an angle of 45 degrees.
+MOST_BITS = 64
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
 
@@ -38,7 +41,7 @@ def line_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
 def line_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Two 64-bit hashes of each line's words, n words a line."""
     at = np.concatenate([[0], np.cumsum(n)])
-    powers, unpowers = _powers(1 << max(21, int(len(h)).bit_length()))
+    powers, unpowers = _powers(1 << max(20, int(len(h)).bit_length()))
     out = np.empty((len(n), 2), dtype=np.uint64)
     for i, x in enumerate((h, mix(h ^ np.uint64(0x5851F42D4C957F2D)))):
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * powers[: len(x)], dtype=np.uint64)])
@@ -47,7 +50,7 @@ def line_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each line of n words, n > 0: BLOCKS numbers of 32 bits; a bit is set when it is in more than half of the words' hashes."""
+    """Of each line of n words, n > 0: BLOCKS blocks of 4 bytes; a bit is set when it is in more than half of the words' hashes."""
     x = np.stack([mix(h + r) for r in randoms(BLOCKS // 2, 41)], axis=1)
     at = np.cumsum(n) - n
     parts = -(-n // 255)  # sums of 255 words fit in a byte
@@ -57,11 +60,11 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=0).view(np.uint8) for k in range(8)], axis=1)
     sums = np.add.reduceat(sums.astype(np.uint32), first, axis=0)
     bits = 2 * sums > n[:, None, None]
-    return np.packbits(bits.reshape(len(n), -1), axis=1).view(">u4").astype(np.int64)
+    return np.packbits(bits.reshape(len(n), -1), axis=1)
 
 
 def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, h (a hash of its text), n_lines, and for lines with words arrays of their numbers, names and SimHash blocks (none for short lines)."""
+    """Per row: id, h (a hash of its text), n_lines, and for lines with words arrays of their numbers, names and SimHashes (null for short lines)."""
 
     def name(batches):
         import pyarrow as pa
@@ -75,23 +78,21 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "d
                 full = np.flatnonzero(n > 0)
                 names, long = line_names(h, n)[full], n[full] >= min_words
                 names[~long] = mix(names[~long] ^ mix(own[row + text[full[~long]]])[:, None])
-                blocks = np.empty((len(full), BLOCKS), dtype=np.int64)
-                if len(full):
-                    blocks = simhashes(h, n[full]) | np.arange(BLOCKS, dtype=np.int64) << 32
+                blocks = simhashes(h, n[full]) if len(full) else np.zeros((0, 4 * BLOCKS), dtype=np.uint8)
                 count = np.bincount(text, minlength=len(starts))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(text[full], minlength=len(starts)))]).astype(np.int32)
                 numbers = (full - (np.cumsum(count) - count)[text[full]]).astype(np.int32)
                 raw = names.tobytes()
                 each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                at = np.concatenate([[0], np.cumsum(np.where(long, BLOCKS, 0))]).astype(np.int32)
-                inner = pa.ListArray.from_arrays(pa.array(at), pa.array(blocks[long].ravel()))
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCKS), len(full), [None, pa.py_buffer(blocks.tobytes())]).cast(pa.binary())
+                sketches = sketches.filter(pa.array(long)).take(pa.array(np.cumsum(long) - 1, mask=~long))
                 arrays = [batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array(count.astype(np.int32))]
-                arrays += [pa.ListArray.from_arrays(pa.array(lists), x) for x in (pa.array(numbers), each, inner)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n_lines", "lines", "nodes", "blocks"])
+                arrays += [pa.ListArray.from_arrays(pa.array(lists), x) for x in (pa.array(numbers), each, sketches)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n_lines", "lines", "nodes", "sketches"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     i, text = docs[id_col], docs[text_col]
-    return docs.select(i.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(i, text).alias("own"), text.alias("text")).mapInArrow(name, f"id {kind}, h long, n_lines int, lines array<int>, nodes array<binary>, blocks array<array<long>>")
+    return docs.select(i.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(i, text).alias("own"), text.alias("text")).mapInArrow(name, f"id {kind}, h long, n_lines int, lines array<int>, nodes array<binary>, sketches array<binary>")
 
 
 def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
@@ -125,16 +126,18 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
 
 def line_groups(docs: DataFrame, lines: DataFrame, percent: int, text_col: str) -> DataFrame:
     """(node, component) of the lines that links connect; ``lines`` is a stored table of ``named_lines``."""
-    members = lines.select(F.explode(F.arrays_zip("nodes", "blocks")).alias("x")).where(F.size("x.blocks") > 0)
-    members = members.groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.blocks").alias("blocks"))
-    members = members.select("node", F.explode("blocks").alias("key")).select("node", (F.col("key") / 2**32).cast("int").alias("pos"), "key")
+    nodes = lines.select(F.explode(F.arrays_zip("nodes", "sketches")).alias("x")).where("x.sketches IS NOT NULL")
+    nodes = staged(nodes.groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch")).withColumn("size", F.lit(0).cast("long")), "nodes")
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring("sketch", i * 4 + 1, F.lit(4)))
+
+    def plausible(left: np.ndarray, right: np.ndarray, *_) -> np.ndarray:
+        return np.bitwise_count(left ^ right).sum(axis=1) <= MOST_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = staged(pairs, "pairs")
         ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
         return similar_pairs(pairs, staged(_normal_texts(docs, ends, text_col), "texts"), percent)
 
-    return bucket_components(members, verify)
+    return bucket_components(nodes, blocks, plausible, verify)
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

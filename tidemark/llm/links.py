@@ -3,7 +3,8 @@
 A bucket may hold a large share of all nodes, so its pairs are not listed. Every node is compared
 with two hubs of each of its buckets, the least and the greatest node; the links found connect
 most of a true group. Only pairs of one bucket that are still in different groups, and have no
-hub among them, are then compared too. So no candidate link that would join two groups is missed.
+hub among them, are then compared too, tile by tile, and only those whose sketches may belong to
+a link become rows. So no candidate link that would join two groups is missed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
 
+#: (sketches of the left, of the right, sizes of the left, of the right) of pairs, a row each -> which may be links.
+Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: Nodes on a side of what a task compares at once.
+TILE = 512
 #: Bits of the filter by which tasks turn away rows that no pair names; its size is fixed, a full one only lets more pass.
 FILTER_BITS = 1 << 24
 
@@ -43,23 +48,95 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def bucket_components(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _matrix(column) -> np.ndarray:
+    """Rows of bytes from an Arrow column of binaries of one length."""
+    return np.stack([np.frombuffer(x, dtype=np.uint8) for x in column.to_pylist()])
+
+
+def plausible_pairs(pairs: DataFrame, nodes: DataFrame, plausible: Plausible) -> DataFrame:
+    """The pairs (a, b) that ``plausible`` lets pass, by the sketches and sizes in ``nodes``."""
+
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if len(batch):
+                keep = plausible(_matrix(batch.column(2)), _matrix(batch.column(3)), *(batch.column(i).to_numpy() for i in (4, 5)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("size").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
+    return both.mapInArrow(judge, "a binary, b binary")
+
+
+def _compared(batches, plausible: Plausible):
+    """Within each run of equal (bucket, i, j): pairs of a left and a right row of different components that ``plausible`` lets pass."""
+    import pyarrow as pa
+
+    def pairs(rows):
+        left, right = ([r for r in rows if r[3] == side] for side in (True, False))
+        if not left or not right:
+            return
+        sketches = np.stack([np.frombuffer(r[6], dtype=np.uint8) for r in right])
+        sizes, groups = np.array([r[7] for r in right]), np.array([r[5] for r in right], dtype=object)
+        for r in left:
+            other = np.flatnonzero(groups != r[5])
+            own = np.broadcast_to(np.frombuffer(r[6], dtype=np.uint8), (len(other), sketches.shape[1]))
+            for k in other[plausible(own, sketches[other], np.full(len(other), r[7]), sizes[other])] if len(other) else ():
+                yield (r[4], right[k][4]) if r[4] < right[k][4] else (right[k][4], r[4])
+
+    def out(found):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
+
+    held, key = [], None
+    for batch in batches:
+        found = []
+        for row in zip(*(x.to_pylist() for x in batch.columns)):
+            if row[:3] != key:
+                found += pairs(held)
+                held, key = [], row[:3]
+            held.append(row)
+        yield out(found)
+    yield out(list(pairs(held)))
+
+
+def split_buckets(rest: DataFrame, nodes: DataFrame, plausible: Plausible) -> DataFrame:
+    """Plausible pairs (a, b) of nodes of one bucket in different components, for ``rest`` (bucket, node, component).
+
+    In each bucket the nodes outside its largest component meet all nodes. Large buckets are dealt
+    out in tiles of about TILE nodes a side, each compared by itself.
+    """
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    rest = rest.join(sizes, "bucket").join(nodes, "node")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    minor, rows, columns = F.col("component") != F.col("major"), tiles(F.col("all") - F.col("most")), tiles(F.col("all"))
+    own = F.xxhash64("node")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    as_left = F.when(minor, F.transform(every(columns), lambda j: F.struct(F.pmod(own, rows).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("left"))))
+    as_right = F.transform(every(rows), lambda i: F.struct(i.alias("i"), F.pmod(own, columns).cast("int").alias("j"), F.lit(False).alias("left")))
+    none = F.array().cast("array<struct<i:int,j:int,left:boolean>>")
+    dealt = rest.select("bucket", "node", "component", "sketch", "size", F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("t"))
+    dealt = dealt.select("bucket", "t.i", "t.j", "t.left", "node", "component", "sketch", "size")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda x: _compared(x, plausible), "a binary, b binary")
+
+
+def bucket_components(nodes: DataFrame, keys: F.Column, plausible: Plausible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) for all nodes that a chain of links connects to others.
 
-    ``members``: a row (node, pos, key) for each bucket (pos, key) that a node is in; it is read
-    more than once. ``verify`` takes distinct pairs (a, b), a < b, and returns those that are links.
+    ``nodes`` is a stored table (node, sketch, size) of binary names and sketches; ``keys`` an
+    array, the key of each band, a node being in a bucket for each. Links are pairs that share a
+    bucket, that ``plausible`` lets pass by sketches and sizes, and that ``verify`` returns of
+    distinct pairs (a, b), a < b.
     """
-    buckets = members.groupBy("pos", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    crowded = staged(members.join(buckets, ["pos", "key"]), "crowded")
+    members = nodes.select("node", F.posexplode(keys).alias("pos", "key")).select("node", F.concat(F.char(F.col("pos") + 48).cast("binary"), "key").alias("bucket"))
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    crowded = staged(members.join(buckets, "bucket"), "crowded")
     spokes = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("e")).select("e.*")
-    links = staged(verify(spokes.where("a < b").distinct()), "links")
+    spokes = plausible_pairs(spokes.where("a < b").distinct(), nodes, plausible)
+    links = staged(verify(staged(spokes, "likely")), "links")
     groups = connected_components(links)
-    rest = crowded.where("node <> low AND node <> high").join(groups, "node", "left").select("pos", "key", "node", F.coalesce("component", "node").alias("component"))
-    split = rest.groupBy("pos", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("pos", "key")
-    rest = staged(rest.join(split, ["pos", "key"]), "rest")
-    left, right = rest.select("pos", "key", F.col("node").alias("a"), F.col("component").alias("x")), rest.select("pos", "key", F.col("node").alias("b"), F.col("component").alias("y"))
-    pairs = left.join(right, ["pos", "key"]).where("a < b AND x <> y").select("a", "b").distinct()
-    more = verify(pairs)
+    rest = crowded.where("node <> low AND node <> high").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    more = verify(staged(split_buckets(rest, nodes, plausible).distinct(), "likely"))
     return connected_components(links.select("a", "b").union(more.select("a", "b")))
 
 

@@ -66,14 +66,19 @@ def log_likelihoods(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
 
 def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs may reach the threshold, by sizes and by likelihood."""
-    sizes = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
-    grid = np.sort(np.append(np.linspace(0.005, 1, 200), threshold))
-    most = (np.minimum(n_left, n_right) / np.maximum(n_left, n_right))[:, None] - 1e-12  # one in the other
-    grid = np.hstack([np.broadcast_to(grid, (len(left), len(grid))), most])
-    score = log_likelihoods(left, right, n_left, n_right, grid)
-    held = grid >= threshold - 1e-9
-    best = score.max(axis=1)
-    return sizes & (np.where(held, score, -np.inf).max(axis=1) >= best - RULED_OUT)
+    out = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
+    m = left.shape[1]
+    out &= (left == right).sum(axis=1) >= threshold * m - 6 * math.sqrt(m * threshold * (1 - threshold))  # so few are in question
+    rows = np.flatnonzero(out)
+    usual = np.sort(np.append(np.linspace(0.005, 1, 200), threshold))
+    for i in range(0, len(rows), 500):
+        own = rows[i : i + 500]
+        sizes = n_left[own], n_right[own]
+        most = (np.minimum(*sizes) / np.maximum(*sizes))[:, None] - 1e-12  # one in the other
+        grid = np.hstack([np.broadcast_to(usual, (len(own), len(usual))), most])
+        score = log_likelihoods(left[own], right[own], *sizes, grid)
+        out[own] = np.where(grid >= threshold - 1e-9, score, -np.inf).max(axis=1) >= score.max(axis=1) - RULED_OUT
+    return out
 
 
 def shingle_sets(texts, k: int):
@@ -94,43 +99,21 @@ def _name(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, registers, bands) of each row; node, registers and bands are null for an empty set."""
+    """(id, n_shingles, node, sketch) of each row, a sketch being its registers; node and sketch are null for an empty set."""
 
     def sketch(batches):
         import pyarrow as pa
 
-        factors = randoms(ROWS, 31) | np.uint64(1)
         for batch in batches:
-            n, nodes, sketched, bands = [], [], [], []
+            n, nodes, sketched = [], [], []
             for _, x in shingle_sets(batch.column(1), k):
                 n.append(len(x))
-                own = registers(x) if len(x) else None
                 nodes.append(_name(x) if len(x) else None)
-                sketched.append(own.tobytes() if len(x) else None)
-                bands.append(own)
-            keys = [None if x is None else (x.reshape(BANDS, ROWS).astype(np.uint64) * factors).sum(axis=1, dtype=np.uint64) for x in bands]
-            keys = [None if x is None else ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64) for x in keys]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketched, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n_shingles", "node", "registers", "bands"])
+                sketched.append(registers(x).tobytes() if len(x) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketched, pa.binary())], names=["id", "n_shingles", "node", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(sketch, f"id {kind}, n_shingles long, node binary, registers binary, bands array<long>")
-
-
-def _likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    def judge(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            left, right = (np.stack([np.frombuffer(x, dtype="<u2") for x in batch.column(i).to_pylist()]) for i in (2, 3))
-            n_left, n_right = (batch.column(i).to_numpy().astype(np.float64) for i in (4, 5))
-            keep = possible(left, right, n_left, n_right, threshold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("registers").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") >= threshold * F.greatest("na", "nb") - 1e-9)
-    return sized.select("a", "b", "ra", "rb", "na", "nb").mapInArrow(judge, "a binary, b binary")
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(sketch, f"id {kind}, n_shingles long, node binary, sketch binary")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,12 +127,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: s
     Shingles are compared by 64-bit hashes, equal sets by 128 bits.
     """
     rows = staged(sketches(docs, k, id_col=id_col, text_col=text_col), "sketches")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"), F.min(F.xxhash64("id")).alias("hash"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.xxhash64("id")).alias("hash"))
     nodes = staged(nodes, "nodes")
-    members = nodes.select("node", F.posexplode("bands").alias("pos", "key"))
+    width = 2 * ROWS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * width + 1, F.lit(width)))
+
+    def plausible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
+        return possible(left.view("<u2"), right.view("<u2"), n_left.astype(np.float64), n_right.astype(np.float64), percent / 100)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        likely = staged(_likely(pairs, nodes, percent / 100), "likely")
+    def verify(likely: DataFrame) -> DataFrame:
         ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         bits = docs.sparkSession.sparkContext.broadcast(row_filter(ends.join(nodes, "node").select("hash")))
 
@@ -171,10 +157,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: s
         both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
 
-    groups = bucket_components(members, verify)
+    groups = bucket_components(nodes.select("node", "sketch", "size"), bands, plausible, verify)
     named = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id")
     first = named.groupBy("component").agg(F.min("id").alias("component_id"))
     named = named.join(first, "component").select("node", "component_id")
-    out = rows.drop("registers", "bands").join(named, "node", "left")
+    out = rows.drop("sketch").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

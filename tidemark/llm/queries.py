@@ -55,7 +55,23 @@ def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_edits(_table(spark, sf_dir, "documents"))
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tidemark.llm.secrets import scan_secrets
+
+    return scan_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
+    "op6_secret_scans": secret_scans,
+    "op2_quality_classifier": quality_classifier,
     "op8_document_fingerprints": document_fingerprints,
     "op1_line_dedup": line_dedup,
     "op9_minhash_near_dedup": minhash_near_dedup,
