@@ -167,3 +167,17 @@ def passes(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     for at in ((x >> np.uint64(40)).astype(np.int64) & FILTER_BITS - 1, x.astype(np.int64) & FILTER_BITS - 1):
         out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
+
+
+def matching(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key``, a long, is in the one column of ``ids``. A filter of fixed size turns most others away before they are shuffled."""
+    ids = staged(ids.select(F.col(ids.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct(), "ids")
+    bits = rows.sparkSession.sparkContext.broadcast(row_filter(ids.select(F.xxhash64(key))))
+
+    @F.pandas_udf("boolean")
+    def likely(x):
+        import pandas as pd
+
+        return pd.Series(passes(bits.value, x.to_numpy()))
+
+    return rows.where(likely(F.xxhash64(rows[key]))).join(ids, key, "left_semi")

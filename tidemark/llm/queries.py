@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm.common import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +64,17 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that labels call good are the target, all documents the background."""
+    from tidemark.llm.lm import cross_entropy_difference
+    from tidemark.llm.links import matching
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    good = matching(docs.select("doc_id", "text"), labels.where("quality = 1").select("doc_id"), "doc_id")
+    out = cross_entropy_difference(docs, staged(good, "target"))
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -70,6 +84,7 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_lm_scoring": lm_scoring,
     "op6_secret_scans": secret_scans,
     "op2_quality_classifier": quality_classifier,
     "op8_document_fingerprints": document_fingerprints,
@@ -82,6 +97,35 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_lm_scoring": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT r, doc_id, CAST(substr(md5(text), 1, 1) >= '8' AS INT) AS half,
+                   regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM d
+        ), o AS (
+            SELECT r, half, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, unnest(words) AS u, unnest(list_append(words[2:], '')) AS v FROM w WHERE len(words) > 0
+        ), g AS (
+            SELECT r, half, good, u, NULL AS v FROM o UNION ALL SELECT r, half, good, u, v FROM o
+        ), c AS (
+            SELECT u, v, 1 - half AS half, sum(CAST(good AS INT)) AS t, count(*) AS b FROM g GROUP BY ALL
+        ), n AS (
+            SELECT h.half, (SELECT count(DISTINCT u) + 1 FROM o) AS vocabulary, count(*) FILTER (good AND o.half <> h.half) AS t, count(*) FILTER (o.half <> h.half) AS b
+            FROM (VALUES (0), (1)) AS h(half), o GROUP BY h.half
+        ), x AS (
+            SELECT r, half, u, v, count(*) AS k FROM g GROUP BY ALL
+        ), y AS (
+            SELECT x.r, x.k, x.v, n.vocabulary, n.t AS n, coalesce(c.t, 0) AS t, CASE WHEN n.b > 0 THEN coalesce(c.b, 0) * (n.t / n.b) ELSE 0 END AS b
+            FROM x JOIN n ON n.half = x.half LEFT JOIN c ON c.u = x.u AND c.v IS NOT DISTINCT FROM x.v AND c.half = x.half
+        ), p AS (
+            SELECT r, sum(k * CASE WHEN v IS NULL THEN 0.5 * ln((t + 0.1) / (n + 0.1 * vocabulary)) - 0.5 * ln(t + 0.1 * vocabulary) ELSE 0.5 * ln(t + 0.1) END) AS t,
+                   sum(k * CASE WHEN v IS NULL THEN 0.5 * ln((b + 0.1) / (n + 0.1 * vocabulary)) - 0.5 * ln(b + 0.1 * vocabulary) ELSE 0.5 * ln(b + 0.1) END) AS b
+            FROM y GROUP BY r
+        )
+        SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_tokens, round(coalesce(-p.t / len(words), 0.0), 6) AS target_loss,
+               round(coalesce(-p.b / len(words), 0.0), 6) AS background_loss, round(coalesce((p.t - p.b) / len(words), 0.0), 6) AS score
+        FROM w LEFT JOIN p ON p.r = w.r
+    """,
     "op3_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
