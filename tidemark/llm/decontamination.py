@@ -187,3 +187,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, *, id_col
         id_col, "n_words", hit_words("hit_spans").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit_spans") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 10, **how) -> DataFrame:
+    """The rows of ``docs``, all columns, that hold no window of an item; see ``benchmark_hits``. Rows never leave their tasks."""
+    hits = benchmark_hits(docs, items, window, carry=docs.columns, **how)
+    return hits.where(F.size("hit_spans") == 0).select(*docs.columns)

@@ -14,7 +14,7 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
@@ -99,33 +99,31 @@ def _name(shingles: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, k: int, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, node, sketch) of each row, a sketch being its registers; node and sketch are null for an empty set."""
+    """(id, x, y, n_shingles, node, sketch) of each row, a sketch being its registers, x and y hashes of id and text; node and sketch are null for an empty set."""
 
     def sketch(batches):
         import pyarrow as pa
 
         for batch in batches:
             n, nodes, sketched = [], [], []
-            for _, x in shingle_sets(batch.column(1), k):
+            for _, x in shingle_sets(batch.column(3), k):
                 n.append(len(x))
                 nodes.append(_name(x) if len(x) else None)
                 sketched.append(registers(x).tobytes() if len(x) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketched, pa.binary())], names=["id", "n_shingles", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sketched, pa.binary())], names=["id", "x", "y", "n_shingles", "node", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(sketch, f"id {kind}, n_shingles long, node binary, sketch binary")
+    own = docs.select(docs[id_col].alias("id"), *_row_hashes(docs, id_col, text_col), docs[text_col].alias("text"))
+    return own.mapInArrow(sketch, f"id {kind}, x long, y long, n_shingles long, node binary, sketch binary")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: its id, n_shingles, component_id (least id that links reach), kept (id = component_id).
+def _row_hashes(docs: DataFrame, id_col: str, text_col: str) -> list[F.Column]:
+    """128 bits that tell a row by its id and text."""
+    return [F.xxhash64(docs[id_col], docs[text_col]).alias("x"), F.xxhash64(docs[text_col], docs[id_col]).alias("y")]
 
-    Links join rows whose sets of k-word shingles have 100 * intersection >= percent * union.
-    Words are runs of other bytes than ASCII white space, A-Z as a-z; a text of fewer than k words
-    is one shingle; null, empty and blank texts have an empty set and no links. Repeated rows are
-    linked; of those, all that have the least id are kept. A null id is never a component's id
-    unless all its rows have none; such rows have a null component_id, and are kept if alone.
-    Shingles are compared by 64-bit hashes, equal sets by 128 bits.
-    """
+
+def groups(docs: DataFrame, k: int, percent: int, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows as of ``sketches``, without sketches; node, component and least id of each different set)."""
     rows = staged(sketches(docs, k, id_col=id_col, text_col=text_col), "sketches")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.xxhash64("id")).alias("hash"))
     nodes = staged(nodes, "nodes")
@@ -157,10 +155,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: s
         both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
         return both.where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
 
-    groups = bucket_components(nodes.select("node", "sketch", "size"), bands, plausible, verify)
-    named = nodes.join(groups, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id")
+    linked = bucket_components(nodes.select("node", "sketch", "size"), bands, plausible, verify)
+    named = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id")
+    return rows.drop("sketch"), named
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: its id, n_shingles, component_id (least id that links reach), kept (id = component_id).
+
+    Links join rows whose sets of k-word shingles have 100 * intersection >= percent * union.
+    Words are runs of other bytes than ASCII white space, A-Z as a-z; a text of fewer than k words
+    is one shingle; null, empty and blank texts have an empty set and no links. Repeated rows are
+    linked; of those, all that have the least id are kept. A null id is never a component's id
+    unless all its rows have none; such rows have a null component_id, and are kept if alone.
+    Shingles are compared by 64-bit hashes, equal sets by 128 bits.
+    """
+    rows, named = groups(docs, k, percent, id_col=id_col, text_col=text_col)
     first = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = named.join(first, "component").select("node", "component_id")
-    out = rows.drop("sketch").join(named, "node", "left")
+    out = rows.join(named.join(first, "component").select("node", "component_id"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near copies: of each group of linked rows one stays, with the least id (null last).
+
+    Links are as in ``near_duplicates``. Rows without words are linked with nothing, so all stay.
+    Of rows with the same id and text one stays, whichever: they may differ in other columns.
+    """
+    rows, named = groups(docs, k, percent, id_col=id_col, text_col=text_col)
+    found = rows.join(named.select("node", "component"), "node", "left")
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "x", "y")
+    one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(best).alias("best")).select("best.x", "best.y", F.lit(True).alias("worded"))
+    stay = one.union(found.where("component IS NULL").select("x", "y", F.lit(False)).distinct())
+    own = docs.select(F.struct(*docs.columns).alias("row"), *_row_hashes(docs, id_col, text_col)).join(stay, ["x", "y"])
+    own = own.withColumn("copy", F.row_number().over(Window.partitionBy("x", "y").orderBy("x")))
+    return own.where("copy = 1 OR NOT worded").select("row.*")
