@@ -11,7 +11,7 @@ from tidemark.llm.queries import ORACLES
 COLUMNS = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
 
-@pytest.mark.parametrize("seed,lot,hot", [(0, 2_000_000, 20_000), (1, 150, 30), (2, 40, 5)])
+@pytest.mark.parametrize("seed,lot,hot", [(0, 1_000_000, 20_000), (1, 150, 30), (2, 40, 5)])
 def test_equals_sql(spark, monkeypatch, seed, lot, hot):
     """All paths: several lots and buckets, hot n-grams and none."""
     monkeypatch.setattr(lm, "LOT", lot)

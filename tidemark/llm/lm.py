@@ -26,8 +26,8 @@ from tidemark.llm.common import staged
 from tidemark.llm.decontamination import SEPARATORS
 from tidemark.llm.kernels import byte_table, chunks, mix, words
 
-#: Words of a lot of whole texts, about, and of a bucket.
-LOT = 2_000_000
+#: Words of a lot of whole texts, about; a bucket has n-grams of four times as many.
+LOT = 1_000_000
 #: An n-gram with this share of all words, or more, is hot: at most so many of each order are.
 HOT = 20_000
 #: What each count is raised by, and the bigram model's weight.
@@ -134,11 +134,21 @@ def _among(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
 PLACES = "bucket long, lot long, first long, keys binary, counts binary, docs binary"
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, the bytes of one weight side by side: the high ones are mostly 0 and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _places(hot: np.ndarray, buckets: int, with_docs: bool):
-    """A row for each lot and bucket: its different keys that aren't hot, how often each occurs, and in which texts.
+    """A row for each lot and bucket: its different keys that aren't hot, and in which texts each occurs.
 
-    Texts are numbered with those of half 0 first, ``first`` of them. Without texts, counts are of
-    either half and ``first`` is -1.
+    Texts are numbered with those of half 0 first; ``first`` has how many these are and how many
+    texts there are. ``counts`` has a bit for each text in ``docs``: whether another key begins.
+    Without texts, ``counts`` has each key's number in either half, and ``first`` is -1.
     """
 
     def place(batches):
@@ -157,16 +167,20 @@ def _places(hot: np.ndarray, buckets: int, with_docs: bool):
             first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
             own, end = key[first], np.append(first[1:], len(key))
             zeros = int((half == 0).sum())
+            cuts = np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
+            rows = np.flatnonzero(np.diff(cuts))
+            at = np.append(first, len(key))[cuts]
+            columns = [[_packed(own[cuts[b] : cuts[b + 1]]) for b in rows]]
             if with_docs:
-                counts, doc = (end - first).astype(np.uint32), doc.astype(np.uint16 if len(half) <= 1 << 16 else np.uint32)
+                begins = np.zeros(len(key), dtype=bool)
+                begins[first] = True
+                doc = doc.astype(np.uint16 if len(half) <= 1 << 16 else np.uint32)
+                columns += [[np.packbits(begins[at[b] : at[b + 1]]).tobytes() for b in rows], [doc[at[b] : at[b + 1]].tobytes() for b in rows]]
             else:
                 low = np.concatenate([[0], np.cumsum(doc < zeros)])
                 low = low[end] - low[first]
-                counts = np.stack([low, end - first - low], axis=1).astype(np.uint32)
-            cuts = np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
-            rows = np.flatnonzero(np.diff(cuts))
-            at = np.append(first, len(key))
-            columns = [[own[cuts[b] : cuts[b + 1]].tobytes() for b in rows], [counts[cuts[b] : cuts[b + 1]].tobytes() for b in rows], [doc[at[cuts[b]] : at[cuts[b + 1]]].tobytes() if with_docs else b"" for b in rows]]
+                counts = np.stack([low, end - first - low]).astype(np.uint32)
+                columns += [[counts[:, cuts[b] : cuts[b + 1]].tobytes() for b in rows], [b""] * len(rows)]
             lot = pa.array(np.full(len(rows), (task << 32) + number, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(rows), lot, pa.array(np.full(len(rows), (zeros << 32) + len(half) if with_docs else -1, dtype=np.int64)), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "lot", "first", "keys", "counts", "docs"])
 
@@ -182,7 +196,7 @@ def _bucket_sums(sizes: Sizes):
     def of_bucket(rows):
         import pyarrow as pa
 
-        keys = [np.frombuffer(r[3], dtype=np.uint64) for r in rows]
+        keys = [_unpacked(r[3]) for r in rows]
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
         counts = np.zeros((4, len(unique)))
@@ -190,12 +204,13 @@ def _bucket_sums(sizes: Sizes):
         def entries(r, own):
             zeros, texts = r[2] >> 32, r[2] & (1 << 32) - 1
             doc = np.frombuffer(r[5], dtype=np.uint16 if texts <= 1 << 16 else np.uint32)
-            return np.repeat(own, np.frombuffer(r[4], dtype=np.uint32)), doc, doc >= zeros, texts
+            begins = np.unpackbits(np.frombuffer(r[4], dtype=np.uint8), count=len(doc))
+            return own[np.cumsum(begins, dtype=np.int64) - 1], doc, doc >= zeros, texts
 
         for r, end, k in zip(rows, ends, keys):
             own = inverse[end - len(k) : end]
             if r[2] < 0:
-                counts[:2, own] += np.frombuffer(r[4], dtype=np.uint32).reshape(-1, 2).T
+                counts[:2, own] += np.frombuffer(r[4], dtype=np.uint32).reshape(2, -1)
             else:
                 own, _, half, _ = entries(r, own)
                 counts[2:] += np.bincount(own * 2 + half, minlength=2 * len(unique)).reshape(-1, 2).T
@@ -296,7 +311,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     sizes = Sizes(vocabulary + 1, counts[:2, -1], counts[2:, -1])
     hot_parts = sizes.parts(hot, counts[:, :-1])
 
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // LOT)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * LOT))
     places = own.mapInArrow(_places(hot, buckets, True), PLACES).union(taught.mapInArrow(_places(hot, buckets, False), PLACES))
     sums = places.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_sums(sizes), SUMS)
     kind = docs.schema[id_col].dataType
