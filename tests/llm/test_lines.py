@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.kernels import byte_table, words
-from tidemark.llm.lines import SEPARATORS, dedup_lines, line_bounds, simhashes
+from tidemark.llm.lines import MOST_BITS, SEPARATORS, dedup_lines, line_bounds, simhashes
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -39,7 +39,7 @@ def brute(docs, percent=80, least=5):
     for i, x in enumerate(long):
         for y in long[:i]:
             z = blocks[x] ^ blocks[y]
-            if (z.reshape(8, 4) == 0).all(axis=1).any() and np.bitwise_count(z).sum() <= 64 and 100 * distance(x, y) <= (100 - percent) * max(len(x), len(y)):
+            if (z.reshape(-1, 4) == 0).all(axis=1).any() and np.bitwise_count(z).sum() <= MOST_BITS and 100 * distance(x, y) <= (100 - percent) * max(len(x), len(y)):
                 old, new = group[x], group[y]
                 group = {k: new if g == old else g for k, g in group.items()}
     kept, seen = set(), set()

@@ -118,3 +118,17 @@ def whole(hashes: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     factors = randoms(len(hashes), 13) | np.uint64(1)
     return mix(np.array([(hashes * factors).sum(dtype=np.uint64) + np.uint64(len(hashes))], dtype=np.uint64))
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, the bytes of one weight side by side: the high ones are mostly 0 and compress."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def cut_points(parts: int) -> np.ndarray:
+    """Where 64-bit keys are cut into equal ranges: the least key of each part but the first."""
+    return np.array([-(-(b << 64) // parts) for b in range(1, parts)], dtype=np.uint64)

@@ -1,8 +1,8 @@
 """Fuzzy line dedup.
 
-A normalised line has a SimHash of 256 bits over its words, cut into 8 blocks. Lines that agree in
-a block are candidates: by the pigeonhole principle all whose SimHashes differ in 7 bits or fewer,
-and many beyond. Candidates are links when their SimHashes differ in a quarter of the bits at most
+A normalised line has a SimHash of 192 bits over its different words, cut into 6 blocks. Lines that
+agree in a block are candidates: by the pigeonhole principle all whose SimHashes differ in 5 bits
+or fewer, and many beyond. Candidates are links when their SimHashes differ in a quarter of the bits at most
 and their edit similarity confirms it, and of every connected group of lines one occurrence is
 kept in the corpus, the first by document and line.
 """
@@ -19,9 +19,9 @@ from tidemark.llm.decontamination import SEPARATORS
 from tidemark.llm.kernels import _powers, byte_table, chunks, mix, randoms, words
 from tidemark.llm.links import bucket_components, passes, row_filter
 
-BLOCKS = 8
+BLOCKS = 6
 #: Bits in which the SimHashes of a link may differ: an angle of 45 degrees.
-MOST_BITS = 64
+MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
 
@@ -50,16 +50,25 @@ def line_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of each line of n words, n > 0: BLOCKS blocks of 4 bytes; a bit is set when it is in more than half of the words' hashes."""
-    x = np.stack([mix(h + r) for r in randoms(BLOCKS // 2, 41)], axis=1)
+    """Of each line of n words, n > 0: BLOCKS blocks of 4 bytes; a bit is set when it is in more than half of the hashes of the line's different words.
+
+    A word counts once however often it occurs, or else lines of the same few frequent words would be alike.
+    """
+    if len(n) > 1 << 24:
+        half = len(n) // 2
+        cut = int(n[:half].sum())
+        return np.concatenate([simhashes(h[:cut], n[:half]), simhashes(h[cut:], n[half:])])
+    own = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40)) | (h >> np.uint64(24)))
+    n = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=len(n))
+    x = np.stack([mix((own << np.uint64(24)) + r) for r in randoms(BLOCKS // 2, 41)], axis=1)
     at = np.cumsum(n) - n
     parts = -(-n // 255)  # sums of 255 words fit in a byte
     first = np.cumsum(parts) - parts
     begin = np.repeat(at, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
     ones = np.uint64(0x0101010101010101)
     sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=0).view(np.uint8) for k in range(8)], axis=1)
-    sums = np.add.reduceat(sums.astype(np.uint32), first, axis=0)
-    bits = 2 * sums > n[:, None, None]
+    sums = np.add.reduceat(sums.astype(np.uint16) if len(parts) == parts.sum() else sums.astype(np.uint32), first, axis=0)
+    bits = 2 * sums.astype(np.int64) > n[:, None, None]
     return np.packbits(bits.reshape(len(n), -1), axis=1)
 
 
@@ -96,15 +105,17 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "d
 
 
 def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, line): the normalised text of each line named in ``nodes``, once."""
-    bits = docs.sparkSession.sparkContext.broadcast(row_filter(nodes))
+    """(node, line): the normalised text of each line named in ``nodes`` (node, and h of a text that has it), once."""
+    spark = docs.sparkSession
+    bits, holders = (spark.sparkContext.broadcast(row_filter(nodes.select(c))) for c in ("node", "h"))
 
     def texts(batches):
         import pyarrow as pa
 
         table = byte_table(SEPARATORS)
         for batch in batches:
-            for _, data, starts, ends in chunks(batch.column(0)):
+            held = batch.column(1).take(pa.array(np.flatnonzero(passes(holders.value, batch.column(0).to_numpy()))))
+            for _, data, starts, ends in chunks(held):
                 begin, end, _ = line_bounds(data, starts, ends)
                 h, first, last, n = words(data, begin, end, table)
                 names, at = line_names(h, n), np.cumsum(n)
@@ -112,7 +123,8 @@ def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
                 lines = [b" ".join(data[a:b].tobytes() for a, b in zip(first[at[i] - n[i] : at[i]], last[at[i] - n[i] : at[i]])).lower() for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array([names[i].tobytes() for i in rows], pa.binary()), pa.array(lines, pa.binary()).cast(pa.string())], names=["node", "line"])
 
-    return docs.select(docs[text_col].alias("text")).mapInArrow(texts, "node binary, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    own = docs.where(docs[text_col].isNotNull()).select(F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
+    return own.mapInArrow(texts, "node binary, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -124,39 +136,44 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most")).where(near).select("a", "b")
 
 
-def line_groups(docs: DataFrame, lines: DataFrame, percent: int, text_col: str) -> DataFrame:
-    """(node, component) of the lines that links connect; ``lines`` is a stored table of ``named_lines``."""
-    nodes = lines.select(F.explode(F.arrays_zip("nodes", "sketches")).alias("x")).where("x.sketches IS NOT NULL")
-    nodes = staged(nodes.groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch")).withColumn("size", F.lit(0).cast("long")), "nodes")
+def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str) -> DataFrame:
+    """(node, component) of the lines that links connect; ``nodes`` is a stored table (node, sketch, first), sketch null for lines that are compared exactly only."""
+    own = nodes.where("sketch IS NOT NULL").select("node", "sketch", F.lit(0).cast("long").alias("size"))
     blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring("sketch", i * 4 + 1, F.lit(4)))
 
     def plausible(left: np.ndarray, right: np.ndarray, *_) -> np.ndarray:
         return np.bitwise_count(left ^ right).sum(axis=1) <= MOST_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = staged(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = staged(nodes.join(ends, "node", "left_semi").select("node", F.col("first.h").alias("h")), "ends")
         return similar_pairs(pairs, staged(_normal_texts(docs, ends, text_col), "texts"), percent)
 
-    return bucket_components(nodes, blocks, plausible, verify)
+    return bucket_components(own, blocks, plausible, verify)
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per different (id, text) of ``docs``: id, h, n_lines, n_copies, and ``dropped``, the sorted numbers (from 0) of its lines that go."""
-    lines = staged(named_lines(docs, min_words, id_col=id_col, text_col=text_col), "lines")
-    groups = line_groups(docs, lines, percent, text_col)
-    places = lines.select("id", "h", F.explode(F.arrays_zip("lines", "nodes")).alias("x")).select("id", "h", F.col("x.lines").alias("line"), F.col("x.nodes").alias("node"))
-    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", "line")
-    named = places.groupBy("node").agg(F.min(place).alias("first"), F.max(place).alias("last")).join(groups, "node", "left")
-    alone = named.where("component IS NULL").select("node", "first", "last")
+    """(id, h, dropped) of each different (id, text) that loses lines: h hashes its text, ``dropped`` has their sorted numbers, from 0."""
+    lines = named_lines(docs, min_words, id_col=id_col, text_col=text_col)
+    places = lambda *more: lines.select("id", "h", F.explode(F.arrays_zip("lines", "nodes", *more)).alias("x"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("x.lines").alias("line"))
+    nodes = places("sketches").groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
+    nodes = staged(nodes, "nodes")
+    named = nodes.select("node", "first", "n").join(line_groups(docs, nodes, percent, text_col), "node", "left")
     joined = named.where("component IS NOT NULL")
-    keepers = joined.groupBy("component").agg(F.min("first").alias("keeper"))
-    keepers = joined.join(keepers, "component").select("node", F.col("keeper").alias("first"))
-    keepers = keepers.union(alone.where("first <> last").select("node", "first"))
-    gone = places.join(keepers, "node").where(place != F.col("first")).select("id", "h", "line").distinct()
-    dropped = gone.groupBy("id", "h").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
-    texts = lines.groupBy("id", "h").agg(F.first("n_lines").alias("n_lines"), F.count("*").alias("n_copies"))
-    on = texts.id.eqNullSafe(dropped.id) & (texts.h == dropped.h)
-    return texts.join(dropped, on, "left").select(texts.id, texts.h, "n_lines", "n_copies", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
+    keepers = joined.join(joined.groupBy("component").agg(F.min("first").alias("keeper")), "component").where("n > 1 OR first <> keeper").select("node", F.col("keeper").alias("first"))
+    keepers = staged(keepers.union(named.where("component IS NULL AND n > 1").select("node", "first")), "keepers")
+    bits = docs.sparkSession.sparkContext.broadcast(row_filter(keepers.select("node")))
+
+    @F.pandas_udf("boolean")
+    def likely(names):
+        import pandas as pd
+
+        return pd.Series(passes(bits.value, np.frombuffer(b"".join(x[:8] for x in names), dtype=np.uint64)))
+
+    gone = places().select("id", "h", F.col("x.lines").alias("line"), F.col("x.nodes").alias("node")).where(likely("node")).join(keepers, "node")
+    gone = gone.where(F.struct(F.col("id").isNull().alias("none"), "id", "h", "line") != F.col("first")).select("id", "h", "line").distinct()
+    return gone.groupBy("id", "h").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,7 +187,9 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS,
     lines. A text all of whose lines go becomes empty; columns of ``docs`` named like the two
     added ones are replaced.
     """
-    found = dropped_lines(docs, percent, min_words, id_col=id_col, text_col=text_col).where("size(dropped) > 0").select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dropped").alias("dropped_lines"))
+    found = dropped_lines(docs, percent, min_words, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dropped").alias("dropped_lines"))
+    found = staged(found, "dropped")
+    bits = docs.sparkSession.sparkContext.broadcast(row_filter(found.select("_h")))
 
     @F.pandas_udf(T.StringType())
     def without(texts, gone):
@@ -184,10 +203,19 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS,
 
         return pd.Series(out, dtype=object)
 
+    @F.pandas_udf("boolean")
+    def likely(hashes):
+        import pandas as pd
+
+        return pd.Series(passes(bits.value, hashes.to_numpy()))
+
     own = docs.drop("n_lines", "dropped_lines")
-    text = own[text_col]
-    joined = own.join(found, own[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(text) == found["_h"]), "left")
-    some = F.coalesce("dropped_lines", F.array().cast("array<int>"))
-    columns = [F.col(c) if c != text_col else without(c, "dropped_lines").alias(c) for c in own.columns]
     lines = F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n", -1))).alias("n_lines")
-    return joined.select(*columns, lines, some.alias("dropped_lines"))
+    none = F.array().cast("array<int>")
+    # Texts that lose nothing stay in their tasks.
+    touched = likely(F.xxhash64(own[text_col]))
+    same = own.where(~touched).select(*own.columns, lines, none.alias("dropped_lines"))
+    some = own.where(touched)
+    some = some.join(found, some[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(some[text_col]) == found["_h"]), "left")
+    columns = [F.col(c) if c != text_col else without(c, "dropped_lines").alias(c) for c in own.columns]
+    return same.union(some.select(*columns, lines, F.coalesce("dropped_lines", none).alias("dropped_lines")))

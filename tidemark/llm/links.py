@@ -16,13 +16,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged
+from tidemark.llm.kernels import cut_points, packed, unpacked
 
 #: (sketches of the left, of the right, sizes of the left, of the right) of pairs, a row each -> which may be links.
 Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: Nodes on a side of what a task compares at once.
 TILE = 512
 #: Bits of the filter by which tasks turn away rows that no pair names; its size is fixed, a full one only lets more pass.
-FILTER_BITS = 1 << 24
+FILTER_BITS = 1 << 26
+#: Numbers that a task sorts at once.
+PART = 2_000_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -120,6 +123,73 @@ def split_buckets(rest: DataFrame, nodes: DataFrame, plausible: Plausible) -> Da
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda x: _compared(x, plausible), "a binary, b binary")
 
 
+def shared_buckets(nodes: DataFrame) -> DataFrame:
+    """(bucket, node) of the buckets that several of ``nodes`` (node, buckets: array<long>) have.
+
+    Most buckets have one node, so which are shared is found first, from packed lists of numbers:
+    a row for each lot of nodes and range of buckets. A bucket that a lot has often is there twice.
+    """
+    spark = nodes.sparkSession
+    n = nodes.agg(F.sum(F.size("buckets"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // PART)
+
+    def lists(batches):
+        import pyarrow as pa
+
+        bounds, held, size = cut_points(parts), [], 0
+
+        def lot():
+            x, counts = np.unique(np.concatenate(held), return_counts=True)
+            for own in (x, x[counts > 1]):
+                cuts = np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
+                rows = np.flatnonzero(np.diff(cuts))
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([packed(own[cuts[i] : cuts[i + 1]]) for i in rows], pa.binary())], names=["part", "list"])
+
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy().view(np.uint64))
+            size += len(held[-1])
+            if size >= PART:
+                yield from lot()
+                held, size = [], 0
+        if size:
+            yield from lot()
+
+    def repeated(batches):
+        import pyarrow as pa
+
+        held, part = [], None
+
+        def out():
+            x, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x[counts > 1].view(np.int64))], names=["bucket"])
+
+        for batch in batches:
+            for own, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                if own != part:
+                    if held:
+                        yield out()
+                    held, part = [], own
+                held.append(unpacked(raw))
+        if held:
+            yield out()
+
+    shared = nodes.select("buckets").mapInArrow(lists, "part long, list binary").repartition(parts, "part").sortWithinPartitions("part").mapInArrow(repeated, "bucket long")
+    shared = staged(shared, "shared")
+    bits = spark.sparkContext.broadcast(row_filter(shared))
+
+    def likely(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            own = batch.column(1).flatten().to_numpy()
+            keep = np.flatnonzero(passes(bits.value, own))
+            row = np.repeat(np.arange(len(batch)), batch.column(1).value_lengths().to_numpy())[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), batch.column(0).take(pa.array(row))], names=["bucket", "node"])
+
+    kind = nodes.schema["node"].dataType.simpleString()
+    return nodes.mapInArrow(likely, f"bucket long, node {kind}").join(shared, "bucket", "left_semi")
+
+
 def bucket_components(nodes: DataFrame, keys: F.Column, plausible: Plausible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) for all nodes that a chain of links connects to others.
 
@@ -128,8 +198,8 @@ def bucket_components(nodes: DataFrame, keys: F.Column, plausible: Plausible, ve
     bucket, that ``plausible`` lets pass by sketches and sizes, and that ``verify`` returns of
     distinct pairs (a, b), a < b.
     """
-    members = nodes.select("node", F.posexplode(keys).alias("pos", "key")).select("node", F.concat(F.char(F.col("pos") + 48).cast("binary"), "key").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    members = staged(shared_buckets(nodes.select("node", F.transform(keys, lambda k, i: F.xxhash64(i, k)).alias("buckets"))), "members")
+    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
     crowded = staged(members.join(buckets, "bucket"), "crowded")
     spokes = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("e")).select("e.*")
     spokes = plausible_pairs(spokes.where("a < b").distinct(), nodes, plausible)

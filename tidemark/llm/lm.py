@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 from tidemark.llm.decontamination import SEPARATORS
-from tidemark.llm.kernels import byte_table, chunks, mix, words
+from tidemark.llm.kernels import byte_table, chunks, cut_points, mix, packed, unpacked, words
 
 #: Words of a lot of whole texts, about; a bucket has n-grams of four times as many.
 LOT = 1_000_000
@@ -134,15 +134,6 @@ def _among(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
 PLACES = "bucket long, lot long, first long, keys binary, counts binary, docs binary"
 
 
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, the bytes of one weight side by side: the high ones are mostly 0 and compress."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
 def _places(hot: np.ndarray, buckets: int, with_docs: bool):
     """A row for each lot and bucket: its different keys that aren't hot, and in which texts each occurs.
 
@@ -156,7 +147,7 @@ def _places(hot: np.ndarray, buckets: int, with_docs: bool):
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        bounds = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
+        bounds = cut_points(buckets)
         for number, (_, half, n, key, doc) in enumerate(_lots(batches)):
             rank = np.empty(len(half), dtype=np.uint32)
             rank[np.argsort(half, kind="stable")] = np.arange(len(half), dtype=np.uint32)
@@ -170,7 +161,7 @@ def _places(hot: np.ndarray, buckets: int, with_docs: bool):
             cuts = np.concatenate([[0], np.searchsorted(own, bounds), [len(own)]])
             rows = np.flatnonzero(np.diff(cuts))
             at = np.append(first, len(key))[cuts]
-            columns = [[_packed(own[cuts[b] : cuts[b + 1]]) for b in rows]]
+            columns = [[packed(own[cuts[b] : cuts[b + 1]]) for b in rows]]
             if with_docs:
                 begins = np.zeros(len(key), dtype=bool)
                 begins[first] = True
@@ -196,7 +187,7 @@ def _bucket_sums(sizes: Sizes):
     def of_bucket(rows):
         import pyarrow as pa
 
-        keys = [_unpacked(r[3]) for r in rows]
+        keys = [unpacked(r[3]) for r in rows]
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         ends = np.cumsum([len(k) for k in keys])
         counts = np.zeros((4, len(unique)))
