@@ -132,7 +132,9 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("line").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - percent) / 100).cast("int"))
-    near = F.when(F.expr("levenshtein(x, y, least(most, 12)) >= 0"), True).when(F.col("most") <= 12, False).otherwise(F.expr("levenshtein(x, y, most) >= 0"))
+    near = F.expr("levenshtein(x, y, most) >= 0")
+    for few in (128, 40, 12):
+        near = F.when(F.expr(f"levenshtein(x, y, least(most, {few})) >= 0"), True).when(F.col("most") <= few, False).otherwise(near)
     return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most")).where(near).select("a", "b")
 
 
