@@ -1,6 +1,377 @@
-"""Queries over the driver's tables, and DuckDB SQL for the same rows."""
+"""Queries over the driver's tables, and DuckDB SQL for the same rows.
+
+Tables stand in for what the engine keeps: ``documents`` for files, ``embeddings`` for vectors,
+``pages`` for paths and assets, ``lineitem`` for edges and for what commits changed, ``events`` for
+file events, ``conversations`` for queries and notes.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import routing, text
+from tidemark.operators import bursts, chunking, exact, graph, hierarchy, retrieval, snapshots
+
+PHRASE = "of the"
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _files(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+
+
+def exact_content(spark, sf_dir):
+    return exact.content_matches(_files(spark, sf_dir), PHRASE)
+
+
+def exact_topk(spark, sf_dir):
+    return exact.first_matches(exact_content(spark, sf_dir), 50)
+
+
+def path_match(spark, sf_dir):
+    return exact.path_matches(_table(spark, sf_dir, "pages"), "/en/", path_col="url").select(F.col("path").alias("url"))
+
+
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", text.content_hash("text").alias("hash"))
+
+
+def bounded_read(spark, sf_dir):
+    return exact.bounded_read(_files(spark, sf_dir), 3, 12)
+
+
+def chunk_pack(spark, sf_dir):
+    out = chunking.chunk_files(_table(spark, sf_dir, "documents"), path_col="doc_id")
+    return out.select(F.col("path").cast("long").alias("doc_id"), "ordinal", "line_start", "line_end", F.length("text").alias("n_chars"), text.content_hash("text").alias("hash"))
+
+
+def _query_vector(vectors: DataFrame, i: int) -> list[float]:
+    found = vectors.where(F.col("vec_id") == i).select("embedding").first()
+    return [float(x) for x in found[0]] if found else [1.0]
+
+
+def vector_topk(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    return retrieval.nearest(v, _query_vector(v, 0), 20, id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def vector_dedup(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    hits = retrieval.nearest(v, _query_vector(v, 0), retrieval.overfetch(20), id_col="vec_id")
+    return retrieval.first_of_each(hits, "label", F.col("score").desc(), "vec_id").select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def rrf_fuse(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings")
+    ranked = [retrieval.first_of_each(retrieval.nearest(v, _query_vector(v, i), 160, id_col="vec_id"), "label", F.col("score").desc(), "vec_id") for i in (0, 1)]
+    return retrieval.fuse(ranked, "label").select("label", F.round("score", 9).alias("score"), "list", "rank")
+
+
+def _states(spark, sf_dir):
+    """Labelled documents as they were indexed, and all documents now, with runs of white space made one space."""
+    docs = _table(spark, sf_dir, "documents")
+    old = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    now = docs.select("doc_id", F.regexp_replace("text", r"[\n ]+", " ").alias("text"))
+    return old, now
+
+
+def index_diff(spark, sf_dir):
+    old, now = (x.select("doc_id", text.content_hash("text").alias("hash")) for x in _states(spark, sf_dir))
+    return snapshots.diff(old, now, path_col="doc_id")
+
+
+def run_totals(spark, sf_dir):
+    out = snapshots.run_totals(index_diff(spark, sf_dir).withColumnRenamed("doc_id", "path"))
+    return out.select("seen", "unchanged", "changed", "new", "deleted", F.array_join("sample", ",").alias("sample"))
+
+
+def _line_ids(docs):
+    each = docs.select("doc_id", F.posexplode(text.lines("text")).alias("i", "line"))
+    return each.select(text.joined_hash("doc_id", F.col("i") + 1, "line").alias("id"))
+
+
+def stale_ids(spark, sf_dir):
+    old, now = _states(spark, sf_dir)
+    return snapshots.stale(_line_ids(old), _line_ids(now))
+
+
+def fresh_hits(spark, sf_dir):
+    old, now = (x.select("doc_id", text.content_hash("text").alias("hash")) for x in _states(spark, sf_dir))
+    return snapshots.fresh(old, now, ["doc_id", "hash"])
+
+
+def _edges(spark, sf_dir):
+    """Suppliers' parts by return flag as edges with evidence."""
+    return _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("s"), F.col("l_suppkey")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("to_id"), F.col("l_returnflag").alias("relation"),
+        F.col("l_orderkey").alias("ev_path"), F.col("l_linenumber").alias("ev_line"),
+    )
+
+
+def edge_dedup(spark, sf_dir):
+    return graph.first_edges(_edges(spark, sf_dir), ["from_id", "to_id", "relation"], ["ev_path", "ev_line"])
+
+
+def node_cap(spark, sf_dir):
+    """The nodes with the most edges, and the edges between them."""
+    pairs = _edges(spark, sf_dir).select("from_id", "to_id").distinct()
+    nodes = pairs.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return graph.capped(nodes, pairs, [F.col("degree").desc()], 1500, 2000)[1]
+
+
+def callers(spark, sf_dir):
+    return graph.trace(_edges(spark, sf_dir), "p7", "callers", 100)
+
+
+def callees(spark, sf_dir):
+    return graph.trace(_edges(spark, sf_dir), "s3", "callees", 200)
+
+
+def seed_overlap(spark, sf_dir):
+    """Chunks that hold the phrase are seeds; lines that hold another one are symbols of two lines."""
+    docs = _table(spark, sf_dir, "documents")
+    seeds = chunking.chunk_files(docs, path_col="doc_id").where(F.contains("text", F.lit(PHRASE))).withColumn("score", 1.0 / (F.lit(60) + F.col("ordinal")))
+    each = docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(text.lines("text")).alias("i", "line")).where(F.contains("line", F.lit("tion")))
+    nodes = each.select("path", (F.col("i") + 1).alias("line_start"), (F.col("i") + 2).alias("line_end"), F.concat_ws(":", "path", F.col("i") + 1).alias("id"))
+    return graph.seed_nodes(seeds, nodes).select("node", F.round("score", 9).alias("score"))
+
+
+def _order_graph(spark, sf_dir):
+    top = _table(spark, sf_dir, "orders").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(64)
+    seeds = top.select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("node"), (F.col("o_totalprice") / 1e6).alias("score"))
+    edges = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("from_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("to_id"))
+    return seeds, edges.distinct()
+
+
+def expand_2hop(spark, sf_dir):
+    return graph.expand(*_order_graph(spark, sf_dir)).select("node", F.round("score", 9).alias("score"), "hop")
+
+
+def graphrag_merge(spark, sf_dir):
+    """Expanded nodes and the nearest vectors as one list of places."""
+    place = lambda x, path, score, kind: x.select(path.alias("path"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), F.round(score, 6).alias("score"), F.lit(kind).alias("kind"))
+    found = place(graph.expand(*_order_graph(spark, sf_dir)), F.col("node"), F.col("score"), "graph")
+    near = place(vector_topk(spark, sf_dir), F.concat(F.lit("v"), F.col("vec_id")), F.col("score"), "semantic")
+    return graph.merge_candidates(near, found, 50)
+
+
+def hierarchy_modules(spark, sf_dir):
+    paths = _table(spark, sf_dir, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"))
+    return hierarchy.modules(paths)
+
+
+def cochange(spark, sf_dir):
+    files = _table(spark, sf_dir, "lineitem").join(_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    files = files.select(F.col("l_orderkey").alias("commit"), F.col("l_partkey").alias("path"), F.col("o_orderdate").alias("changed_at"))
+    return hierarchy.cochange(files, 7).select("path", "count", "last_changed_at", F.array_join("commits", ",").alias("commits"))
+
+
+def link_extract(spark, sf_dir):
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    return _table(spark, sf_dir, "pages").select("page_id", F.posexplode(links).alias("ordinal", "link"))
+
+
+def _queries(spark, sf_dir):
+    said = _table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text")
+    return said.union(_table(spark, sf_dir, "benchmark").select(F.concat_ws("-", F.lit("b"), "item_id"), "text"))
+
+
+def route_query(spark, sf_dir):
+    return _queries(spark, sf_dir).select("id", routing.route("text").alias("r")).select("id", "r.*")
+
+
+def identifiers(spark, sf_dir):
+    return _queries(spark, sf_dir).select("id", routing.identifiers("text").alias("identifiers"))
+
+
+def coalesce_bursts(spark, sf_dir):
+    return bursts.coalesce_bursts(_table(spark, sf_dir, "events"), 6 * 3600)
+
+
+QUERIES = {
+    "exact_content": exact_content, "exact_topk": exact_topk, "path_match": path_match, "content_hash": content_hash, "bounded_read": bounded_read, "chunk_pack": chunk_pack,
+    "vector_topk": vector_topk, "vector_dedup": vector_dedup, "rrf_fuse": rrf_fuse, "index_diff": index_diff, "run_totals": run_totals, "stale_ids": stale_ids,
+    "fresh_hits": fresh_hits, "edge_dedup": edge_dedup, "node_cap": node_cap, "callers": callers, "callees": callees, "seed_overlap": seed_overlap, "expand_2hop": expand_2hop,
+    "graphrag_merge": graphrag_merge, "hierarchy": hierarchy_modules, "cochange": cochange, "link_extract": link_extract, "route_query": route_query,
+    "identifiers": identifiers, "coalesce_bursts": coalesce_bursts,
+}
+
+LINES = "SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"
+CONTENT = f"SELECT doc_id AS path, line, substr(text, 1, 2000) AS text FROM ({LINES}) WHERE contains(text, '{PHRASE}')"
+STATES = r"""
+    o AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+    n AS (SELECT doc_id, regexp_replace(text, '[\n ]+', ' ', 'g') AS text FROM documents)
+"""
+DIFF = f"""
+    WITH {STATES}
+    SELECT coalesce(n.doc_id, o.doc_id) AS doc_id,
+           CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.text IS NOT DISTINCT FROM n.text THEN 'unchanged' ELSE 'changed' END AS status
+    FROM o FULL OUTER JOIN n ON n.doc_id = o.doc_id
+"""
+LINE_IDS = "SELECT sha256(doc_id || chr(0) || line || chr(0) || text) AS id FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS text FROM {})"
+# Lines of a file are folded one after the other: where the open chunk begins and how long it is.
+CHUNKS = f"""
+    WITH RECURSIVE l AS MATERIALIZED (
+        SELECT doc_id, line, text, length(text) AS k FROM ({LINES})
+    ), t AS MATERIALIZED (
+        SELECT doc_id, max(line) AS n FROM l GROUP BY doc_id
+    ), z AS MATERIALIZED (
+        SELECT l.doc_id, CASE WHEN l.text = '' AND t.n > 1 THEN t.n - 1 ELSE t.n END AS n FROM t JOIN l ON l.doc_id = t.doc_id AND l.line = t.n
+    ), w AS MATERIALIZED (
+        SELECT l.*, sum(k + 1) OVER (PARTITION BY l.doc_id) - 1 AS size FROM l JOIN z ON z.doc_id = l.doc_id AND l.line <= z.n
+    ), f AS (
+        SELECT doc_id, line, k > 1600 AS cut, CASE WHEN k > 1600 THEN line + 1 ELSE line END AS open_at, CASE WHEN k > 1600 THEN 0 ELSE k END AS held, line AS first FROM w WHERE size > 1600 AND line = 1
+        UNION ALL
+        SELECT w.doc_id, w.line, w.k > 1600, CASE WHEN w.k > 1600 THEN w.line + 1 WHEN f.held > 0 AND f.held + 1 + w.k > 1600 THEN w.line ELSE f.open_at END,
+               CASE WHEN w.k > 1600 THEN 0 WHEN f.held > 0 AND f.held + 1 + w.k > 1600 THEN w.k WHEN f.held > 0 THEN f.held + 1 + w.k ELSE w.k END,
+               CASE WHEN w.k > 1600 OR f.held > 0 AND f.held + 1 + w.k > 1600 THEN w.line ELSE f.open_at END
+        FROM f JOIN w ON w.doc_id = f.doc_id AND w.line = f.line + 1
+    ), p AS (
+        SELECT doc_id, 1 AS a, max(line) AS b, 0 AS o, string_agg(text, chr(10) ORDER BY line) AS text FROM w WHERE size <= 1600 GROUP BY doc_id
+        UNION ALL
+        SELECT f.doc_id, min(f.line), max(f.line), 0, string_agg(w.text, chr(10) ORDER BY f.line) FROM f JOIN w ON w.doc_id = f.doc_id AND w.line = f.line WHERE NOT f.cut GROUP BY f.doc_id, f.first
+        UNION ALL
+        SELECT doc_id, line, line, unnest(range(0, CAST(ceil(k / 1600) AS BIGINT))), substr(text, 1 + 1600 * unnest(range(0, CAST(ceil(k / 1600) AS BIGINT))), 1600) FROM w WHERE k > 1600 AND size > 1600
+    ), c AS (
+        SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, o) - 1 AS INTEGER) AS ordinal, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, text FROM p WHERE trim(text, chr(10) || chr(9) || ' ') <> ''
+    )
+"""
+NEAR = "SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id = {} ORDER BY score DESC, e.vec_id LIMIT {}"
+FIRST = "SELECT label, vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM ({})) WHERE n = 1"
+EDGES = "SELECT 's' || l_suppkey AS from_id, 'p' || l_partkey AS to_id, l_returnflag AS relation, l_orderkey AS ev_path, l_linenumber AS ev_line FROM lineitem"
+EXPAND = """
+    WITH e AS (
+        SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem
+    ), b AS (
+        SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+    ), h0 AS (
+        SELECT 'o' || o_orderkey AS node, o_totalprice / 1e6 AS score FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 64
+    ), h1 AS (
+        SELECT b.b AS node, max(score) * 0.72::DOUBLE AS score FROM h0 JOIN b ON b.a = node GROUP BY 1
+    ), h2 AS (
+        SELECT b.b AS node, max(score) * 0.72::DOUBLE AS score FROM h1 JOIN b ON b.a = node GROUP BY 1
+    ), x AS (
+        SELECT *, 0 AS hop FROM h0 UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2
+    ), y AS (
+        SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS n FROM x
+    )
+"""
+SAID = "SELECT 'c-' || conv_id || '-' || turn AS id, text FROM conversations UNION ALL SELECT 'b-' || item_id, text FROM benchmark"
+
+ORACLES: dict[str, str] = {
+    "exact_content": CONTENT,
+    "exact_topk": f"{CONTENT} ORDER BY path, line LIMIT 51",
+    "path_match": "SELECT url FROM pages WHERE contains(url, '/en/')",
+    "content_hash": "SELECT doc_id, sha256(text) AS hash FROM documents",
+    "bounded_read": """
+        WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)
+        SELECT doc_id AS path, 3 AS line_start, CAST(least(12, len(a)) AS INTEGER) AS line_end, CAST(len(a) AS INTEGER) AS total_lines, substr(array_to_string(a[3:12], chr(10)), 1, 200000) AS text FROM l WHERE len(a) >= 3
+    """,
+    "chunk_pack": f"{CHUNKS} SELECT doc_id, ordinal, line_start, line_end, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS hash FROM c",
+    "vector_topk": f"SELECT vec_id, round(score, 6) AS score FROM ({NEAR.format(0, 20)})",
+    "vector_dedup": f"SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ({FIRST.format(NEAR.format(0, 160))})",
+    "rrf_fuse": f"""
+        WITH r AS (SELECT label, 0 AS list, rank FROM ({FIRST.format(NEAR.format(0, 160))}) UNION ALL SELECT label, 1, rank FROM ({FIRST.format(NEAR.format(1, 160))}))
+        SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(min(list) AS INTEGER) AS list, CAST(arg_min(rank, list) AS INTEGER) AS rank FROM r GROUP BY label
+    """,
+    "index_diff": DIFF,
+    "run_totals": f"""
+        WITH d AS ({DIFF})
+        SELECT count(*) AS seen, count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'changed') AS changed, count(*) FILTER (status = 'new') AS "new", count(*) FILTER (status = 'deleted') AS deleted,
+               (SELECT coalesce(string_agg(doc_id, ',' ORDER BY doc_id), '') FROM (SELECT doc_id FROM d WHERE status = 'changed' ORDER BY doc_id LIMIT 100)) AS sample
+        FROM d
+    """,
+    "stale_ids": f"WITH {STATES} SELECT id FROM ({LINE_IDS.format('o')}) WHERE id NOT IN ({LINE_IDS.format('n')})",
+    "fresh_hits": f"WITH {STATES} SELECT o.doc_id, sha256(o.text) AS hash FROM o WHERE EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.text = o.text)",
+    "edge_dedup": f"SELECT from_id, to_id, relation, ev_path, ev_line FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, relation ORDER BY ev_path, ev_line) AS n FROM ({EDGES})) WHERE n = 1",
+    "node_cap": f"""
+        WITH e AS (SELECT DISTINCT from_id, to_id FROM ({EDGES})), k AS (SELECT id FROM (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1500)
+        SELECT from_id, to_id FROM e WHERE from_id IN (FROM k) AND to_id IN (FROM k) ORDER BY from_id, to_id LIMIT 2000
+    """,
+    "callers": f"SELECT * FROM ({EDGES}) WHERE to_id = 'p7' ORDER BY ev_path, ev_line, relation, from_id, to_id LIMIT 101",
+    "callees": f"SELECT * FROM ({EDGES}) WHERE from_id = 's3' ORDER BY ev_path, ev_line, relation, from_id, to_id LIMIT 201",
+    "seed_overlap": f"""
+        {CHUNKS}, s AS (SELECT doc_id, line_start, line_end, 1.0::DOUBLE / (60 + ordinal) AS score FROM c WHERE contains(text, '{PHRASE}')), m AS (SELECT doc_id, line FROM ({LINES}) WHERE contains(text, 'tion'))
+        SELECT m.doc_id || ':' || line AS node, round(max(score), 9) AS score FROM m JOIN s ON s.doc_id = m.doc_id AND line_start <= line + 1 AND line <= line_end GROUP BY 1
+    """,
+    "expand_2hop": f"{EXPAND} SELECT node, round(score, 9) AS score, hop FROM y WHERE n = 1",
+    "graphrag_merge": f"""
+        {EXPAND}, z AS (
+            SELECT node AS path, round(score, 6) AS score, 'graph' AS kind FROM y WHERE n = 1 UNION ALL SELECT 'v' || vec_id, round(score, 6), 'semantic' FROM ({NEAR.format(0, 20)})
+        )
+        SELECT path, 1 AS line_start, 2 AS line_end, score, kind FROM z ORDER BY score DESC, path LIMIT 51
+    """,
+    "hierarchy": r"""
+        WITH p AS (
+            SELECT regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '(^|/)[^/]*$', '') AS dir FROM pages
+        ), d AS (
+            SELECT CASE WHEN dir = '' THEN '.' ELSE dir END AS dir, count(*) AS n FROM p GROUP BY 1
+        ), a AS (
+            SELECT dir, n, CASE WHEN dir = '.' THEN 0 ELSE len(string_split(dir, '/')) END AS depth FROM d
+        ), s AS (
+            SELECT dir, n, i, array_to_string(string_split(dir, '/')[1:i], '/') AS above FROM a, LATERAL (SELECT unnest(range(1, depth + 1)) AS i)
+        ), k AS (
+            SELECT DISTINCT above AS id FROM s ORDER BY id LIMIT 2047
+        ), m AS (
+            SELECT dir, any_value(n) AS n, arg_max(above, i) AS id FROM s WHERE above IN (FROM k) GROUP BY dir
+            UNION ALL SELECT dir, n, '.' FROM a WHERE dir NOT IN (SELECT dir FROM s WHERE above IN (FROM k))
+        ), c AS (
+            SELECT id, sum(n) AS n FROM m GROUP BY id
+        )
+        SELECT k.id, CASE WHEN k.id = '.' THEN NULL WHEN contains(k.id, '/') THEN regexp_replace(k.id, '/[^/]*$', '') ELSE '.' END AS parent_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+        FROM (FROM k UNION ALL SELECT '.') k LEFT JOIN c ON c.id = k.id
+    """,
+    "cochange": """
+        WITH f AS (SELECT DISTINCT l_orderkey AS c, l_partkey AS path, o_orderdate AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+        SELECT path, count(*) AS count, max(t) AS last_changed_at, array_to_string(list(c ORDER BY t DESC, c DESC)[1:5], ',') AS commits
+        FROM f WHERE path <> 7 AND c IN (SELECT c FROM f WHERE path = 7) GROUP BY path ORDER BY count DESC, last_changed_at DESC, path LIMIT 50
+    """,
+    "link_extract": """
+        WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages)
+        SELECT page_id, CAST(unnest(range(0, len(a))) AS INTEGER) AS ordinal, unnest(a) AS link FROM p
+    """,
+    "route_query": f"""
+        WITH q AS (SELECT id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM ({SAID})), s AS (
+            SELECT id, t, regexp_matches(t, '(?i)호출|상속|구현|이어지|연결|참조|의존|생성하|발행자|구독|call(er|ee| graph)|who calls|inherit|implement|references?|depends?') AS structural,
+                   coalesce(nullif(trim(regexp_extract(t, '["''`]([^"''`\\r\\n]*[\\\\/][^"''`\\r\\n]*\\.[A-Za-z0-9]+)["''`]', 1)), ''),
+                            nullif(trim(regexp_extract(t, '([A-Za-z]:[\\\\/])?([^\\\\/\\s"''<>|?*]+[\\\\/])+[^\\\\/\\s"''<>|?*]+\\.[A-Za-z0-9]+')), ''),
+                            nullif(trim(regexp_extract(t, '(?i)\\b[A-Za-z0-9_@()\\-]+\\.(asmdef|asmref|asset|cs|js|jsx|meta|prefab|ts|tsx|unity)\\b')), ''),
+                            list_filter(regexp_extract_all(t, '[A-Za-z_]\\w*(\\.[A-Za-z_]\\w*)+(\\([^()\\r\\n]{{0,256}}\\))?|[A-Za-z_]\\w*\\([^()\\r\\n]{{0,256}}\\)|[A-Z][A-Za-z0-9_]{{2,}}'),
+                                        lambda x: contains(x, '.') OR contains(x, '(') OR lower(x) NOT IN ('call', 'caller', 'callers', 'callee', 'callees', 'interface', 'where', 'which'))[1]) AS symbol
+            FROM q
+        )
+        SELECT id, CASE WHEN structural AND symbol IS NOT NULL THEN 'graph'
+                        WHEN regexp_matches(t, '(?i)(^|[\\\\/])[\\w .@()\\-]+\\.[A-Za-z0-9]+($|\\s)|\\.(cs|asmdef|json|ya?ml|md|asset)\\b')
+                          OR regexp_matches(t, '(?i)\\b(CS\\d{{4}}|0x[0-9a-f]+|[A-Za-z_]\\w*(Exception|Error))\\b|오류|에러')
+                          OR regexp_matches(t, '^[A-Za-z_]\\w*(\\.[A-Za-z_]\\w*)*(\\([^()\\r\\n]{{0,256}}\\))?$') THEN 'exact' ELSE 'semantic' END AS route,
+               CASE WHEN structural THEN symbol END AS symbol,
+               CASE WHEN structural AND symbol IS NOT NULL THEN CASE
+                    WHEN regexp_matches(t, '(?i)호출자|누가\\s*호출|(무엇|뭐|누가|어디서).{{0,40}}(참조|의존)|에\\s*(참조|의존)하는|callers?|who calls|what\\s+references?|who\\s+depends?\\s+on') THEN 'callers'
+                    WHEN regexp_matches(t, '(?i)상속|inherits?|base\\s+type|derived\\s+type') THEN 'inherits'
+                    WHEN regexp_matches(t, '(?i)구현|implements?|interface') THEN 'implements' ELSE 'callees' END END AS direction
+        FROM s
+    """.replace("\\\\", "\\"),
+    "identifiers": f"""
+        WITH q AS (SELECT id, text, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_.]*'), lambda x: length(x) >= 2) AS a FROM ({SAID})), t AS (
+            SELECT id, unnest(a) AS x, unnest(range(0, len(a))) AS i FROM q
+        ), f AS (
+            SELECT id, min(i) AS i, arg_min(x, i) AS x FROM t GROUP BY id, lower(x)
+        ), r AS (
+            SELECT id, x, i, row_number() OVER (PARTITION BY id ORDER BY i) AS n FROM f
+        ), j AS (
+            SELECT id, substr(string_agg(x, ' ' ORDER BY i), 1, 512) AS v FROM r WHERE n <= 8 GROUP BY id
+        )
+        SELECT q.id, CASE WHEN strlen(text) > length(text) THEN v END AS identifiers FROM q LEFT JOIN j ON j.id = q.id
+    """,
+    "coalesce_bursts": """
+        WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts FROM events), b AS (
+            SELECT user_id, min(ts) AS started FROM e GROUP BY user_id
+            UNION ALL SELECT e.user_id, min(e.ts) FROM b JOIN e ON e.user_id = b.user_id AND e.ts >= b.started + INTERVAL 6 HOUR GROUP BY e.user_id
+        )
+        SELECT b.user_id, b.started, count(*) AS n FROM b JOIN e ON e.user_id = b.user_id AND e.ts >= b.started AND e.ts < b.started + INTERVAL 6 HOUR GROUP BY ALL
+    """,
+}
