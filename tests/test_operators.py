@@ -60,7 +60,7 @@ def test_exact(spark):
 
 ROUTES = [
     ("Feature.Run", "exact", None, None), ("src/a/Feature.cs", "exact", None, None), ("why CS0246", "exact", None, None), ("ArgumentException here", "exact", None, None),
-    ("who calls Feature.Run", "graph", "Feature.Run", "callers"), ("Feature.Run 호출자", "graph", "Feature.Run", "callers"), ("what does Service inherit", "graph", "Service", "callees"),
+    ("who calls Feature.Run", "graph", "Feature.Run", "callers"), ("Feature.Run 호출자", "graph", "Feature.Run", "callers"), ("what does Service inherit", "graph", "Service", "inherits"),
     ("classes that inherits BaseType", "graph", "BaseType", "inherits"), ("IService 구현", "graph", "IService", "implements"), ("how is data stored", "semantic", None, None),
     ("references to 'Assets/My File.prefab'", "graph", "Assets/My File.prefab", "callees"), ("저장소 설계", "semantic", None, None), (None, "semantic", None, None), ("로그인 오류", "exact", None, None),
 ]
