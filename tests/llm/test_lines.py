@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.kernels import byte_table, words
-from tidemark.llm.lines import MOST_BITS, SEPARATORS, dedup_lines, line_bounds, simhashes
+from tidemark.llm.lines import MOST_BITS, SEPARATORS, dedup_lines, line_bounds, simhashes, within
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -89,3 +89,15 @@ def test_line_bounds():
     data = np.frombuffer(b"".join(raw), np.uint8)
     begin, end, text = line_bounds(data, ends - [len(x) for x in raw], ends)
     assert [(t, bytes(data[a:b])) for a, b, t in zip(begin, end, text)] == [(i, x) for i, r in enumerate(raw) for x in r.split(b"\n")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_within(seed):
+    rng = random.Random(seed)
+    for _ in range(400):
+        x = "".join(rng.choice("abé日𝄞"[: 2 + seed]) for _ in range(rng.randrange(0, 25)))
+        y = list(x) if rng.random() < 0.8 else [rng.choice("abz") for _ in range(rng.randrange(0, 25))]
+        for _ in range(rng.randrange(6)):
+            y[rng.randrange(len(y) + 1) : rng.randrange(len(y) + 1)] = rng.choice([[], ["b"], ["q", "a"]])
+        true = distance(x, "".join(y))
+        assert [within(x, "".join(y), k) for k in (true - 1, true, true + 1)] == [False, True, True]

@@ -60,15 +60,17 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         return np.concatenate([simhashes(h[:cut], n[:half]), simhashes(h[cut:], n[half:])])
     own = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40)) | (h >> np.uint64(24)))
     n = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=len(n))
-    x = np.stack([mix((own << np.uint64(24)) + r) for r in randoms(BLOCKS // 2, 41)], axis=1)
+    x = np.stack([mix((own << np.uint64(24)) + r) for r in randoms(BLOCKS // 2, 41)])
     at = np.cumsum(n) - n
     parts = -(-n // 255)  # sums of 255 words fit in a byte
     first = np.cumsum(parts) - parts
     begin = np.repeat(at, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
     ones = np.uint64(0x0101010101010101)
-    sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=0).view(np.uint8) for k in range(8)], axis=1)
-    sums = np.add.reduceat(sums.astype(np.uint16) if len(parts) == parts.sum() else sums.astype(np.uint32), first, axis=0)
-    bits = 2 * sums.astype(np.int64) > n[:, None, None]
+    sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=1).view(np.uint8).reshape(len(x), -1, 8) for k in range(8)])
+    sums = sums.transpose(2, 1, 3, 0)
+    if len(first) < len(begin):
+        sums = np.add.reduceat(sums.astype(np.uint32), first, axis=0)
+    bits = sums > (n // 2)[:, None, None, None]
     return np.packbits(bits.reshape(len(n), -1), axis=1)
 
 
@@ -127,15 +129,57 @@ def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
     return own.mapInArrow(texts, "node binary, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance of two texts is ``most`` or less.
+
+    What both begin and end with goes; columns of the table of distances are then bits of whole numbers.
+    """
+    a, b = (np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32) for s in (x, y))
+    for _ in range(2):
+        n = min(len(a), len(b))
+        differ = a[:n] != b[:n]
+        same = int(differ.argmax()) if differ.any() else n
+        a, b = a[same:][::-1], b[same:][::-1]
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) <= most:
+        return True
+    if len(b) - len(a) > most or not len(a):
+        return False
+    at = {c: int.from_bytes(np.packbits(a == c, bitorder="little").tobytes(), "little") for c in np.unique(a).tolist()}
+    full = (1 << len(a)) - 1
+    last = 1 << (len(a) - 1)
+    more, fewer, distance, left = full, 0, len(a), len(b)
+    for c in b.tolist():
+        equal = at.get(c, 0)
+        across = (((equal & more) + more) ^ more) | equal
+        up, down = fewer | full & ~(across | more), more & across
+        if up & last:
+            distance += 1
+        elif down & last:
+            distance -= 1
+        left -= 1
+        if distance - left > most:
+            return False
+        up, down = (up << 1 | 1) & full, down << 1 & full
+        diagonal = equal | fewer
+        more, fewer = down | full & ~(diagonal | up), up & diagonal
+    return distance <= most
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts (node, line) have an edit distance of at most 100 - ``percent`` hundredths of the longer. Few edits are looked for first, as most links need no more."""
+    """The pairs (a, b) whose texts (node, line) have an edit distance of at most 100 - ``percent`` hundredths of the longer."""
+
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("line").alias(y))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    both = both.withColumn("most", F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - percent) / 100).cast("int"))
-    near = F.expr("levenshtein(x, y, most) >= 0")
-    for few in (128, 40, 12):
-        near = F.when(F.expr(f"levenshtein(x, y, least(most, {few})) >= 0"), True).when(F.col("most") <= few, False).otherwise(near)
-    return both.where(F.abs(F.length("x") - F.length("y")) <= F.col("most")).where(near).select("a", "b")
+    return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
 def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str) -> DataFrame:
@@ -156,7 +200,7 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str)
 
 def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, dropped) of each different (id, text) that loses lines: h hashes its text, ``dropped`` has their sorted numbers, from 0."""
-    lines = named_lines(docs, min_words, id_col=id_col, text_col=text_col)
+    lines = staged(named_lines(docs, min_words, id_col=id_col, text_col=text_col).drop("n_lines"), "lines")
     places = lambda *more: lines.select("id", "h", F.explode(F.arrays_zip("lines", "nodes", *more)).alias("x"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("x.lines").alias("line"))
     nodes = places("sketches").groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
@@ -171,7 +215,7 @@ def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     def likely(names):
         import pandas as pd
 
-        return pd.Series(passes(bits.value, np.frombuffer(b"".join(x[:8] for x in names), dtype=np.uint64)))
+        return pd.Series(passes(bits.value, np.frombuffer(b"".join(names), dtype=np.uint64)[::2]))
 
     gone = places().select("id", "h", F.col("x.lines").alias("line"), F.col("x.nodes").alias("node")).where(likely("node")).join(keepers, "node")
     gone = gone.where(F.struct(F.col("id").isNull().alias("none"), "id", "h", "line") != F.col("first")).select("id", "h", "line").distinct()
