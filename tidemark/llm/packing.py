@@ -18,7 +18,7 @@ from tidemark.llm.common import id_text, staged
 from tidemark.llm.kernels import chunks
 
 #: Different words whose tokens a Python worker remembers, from one task to the next.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Words encoded in one call.
 LOT = 500
 #: About so many pieces of one length are ranked in one group at most.
