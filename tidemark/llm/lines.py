@@ -5,6 +5,10 @@ agree in a block are candidates: by the pigeonhole principle all whose SimHashes
 or fewer, and many beyond. Candidates are links when their SimHashes differ in a quarter of the bits at most
 and their edit similarity confirms it, and of every connected group of lines one occurrence is
 kept in the corpus, the first by document and line.
+
+In a wide comparison, which the queries use, every line with words takes part. Blocks are 24 bits
+and many, lines of few words have blocks of a SimHash of their bytes' trigrams too, and all
+candidates whose lengths allow a link are compared.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 from tidemark.llm.decontamination import SEPARATORS
-from tidemark.llm.kernels import _powers, byte_table, chunks, mix, randoms, words
+from tidemark.llm.kernels import _powers, byte_table, chunks, grams, mix, randoms, words
 from tidemark.llm.links import bucket_components, passes, row_filter
 
 BLOCKS = 6
@@ -24,6 +28,27 @@ BLOCKS = 6
 MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
+#: A wide comparison: lines of fewer words have all blocks, others WIDE_BLOCKS of words; 3 of a SimHash's 24 bytes are a block.
+FEW_WORDS, WIDE_BLOCKS, FEW_BLOCKS = 20, 20, 44
+#: Lines of few words and at most so many code points have blocks of 2 bytes of trigrams besides.
+SHORT_POINTS = 40
+
+
+def _triples() -> list[tuple[int, int, int]]:
+    """FEW_BLOCKS different threes of the numbers 0 to 23, of which any two share one number at most; the first ones use all alike."""
+    out, pairs, used = [], set(), [0] * 24
+    while len(out) < FEW_BLOCKS:
+        free = ((used[a] + used[b] + used[c], a, b, c) for a in range(24) for b in range(a) for c in range(b) if not {(a, b), (a, c), (b, c)} & pairs)
+        _, a, b, c = min(free)
+        out.append((a, b, c))
+        pairs |= {(a, b), (a, c), (b, c)}
+        for x in (a, b, c):
+            used[x] += 1
+    return out
+
+
+TRIPLES = _triples()
+PAIRS = [(a, (a + d) % 24) for d in (1, 5) for a in range(24)]
 
 
 def line_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,8 +99,40 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(len(n), -1), axis=1)
 
 
-def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def trigrams(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte trigrams of each line of n words, n > 0, with a space before, between and behind words, and how many a line has."""
+    size = last - first
+    line = np.repeat(np.arange(len(n)), n)
+    length = np.bincount(line, weights=size + 1, minlength=len(n)).astype(np.int64) + 1
+    at = np.cumsum(size + 1) - size + line
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    v = np.full(int(length.sum()), values[32])
+    v[np.repeat(at, size) + step] = values[data[np.repeat(first, size) + step]]
+    h = grams(v, 3)
+    ends = np.cumsum(length)
+    inside = np.ones(len(v), dtype=bool)
+    inside[ends - 1] = inside[ends - 2] = False
+    return h[inside[: len(h)]], length - 2
+
+
+def wide_sketches(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Of each line of n words, n > 0: 52 bytes: SimHash of words, then of trigrams (zeros where a line has many words), then the length in code points."""
+    out = np.zeros((len(n), 52), dtype=np.uint8)
+    if len(n):
+        out[:, :24] = simhashes(h, n)
+        few = n < FEW_WORDS
+        own = np.repeat(few, n)
+        if few.any():
+            out[few, 24:48] = simhashes(*trigrams(data, first[own], last[own], n[few], values))
+        points = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+        length = np.add.reduceat(points[last] - points[first], np.cumsum(n) - n) + n - 1
+        out[:, 48:] = length.astype(">u4").view(np.uint8).reshape(-1, 4)
+    return out
+
+
+def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, h (a hash of its text), n_lines, and for lines with words arrays of their numbers, names and SimHashes (null for short lines)."""
+    width = 52 if wide else 4 * BLOCKS
 
     def name(batches):
         import pyarrow as pa
@@ -85,17 +142,20 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, id_col: str = "d
             own = batch.column(2).to_numpy().view(np.uint64)  # short lines have names of their document
             for row, data, starts, ends in chunks(batch.column(3)):
                 begin, end, text = line_bounds(data, starts, ends)
-                h, _, _, n = words(data, begin, end, table)
+                h, first, last, n = words(data, begin, end, table)
                 full = np.flatnonzero(n > 0)
                 names, long = line_names(h, n)[full], n[full] >= min_words
                 names[~long] = mix(names[~long] ^ mix(own[row + text[full[~long]]])[:, None])
-                blocks = simhashes(h, n[full]) if len(full) else np.zeros((0, 4 * BLOCKS), dtype=np.uint8)
+                if wide:
+                    blocks = wide_sketches(data, h, first, last, n[full], table[1])
+                else:
+                    blocks = simhashes(h, n[full]) if len(full) else np.zeros((0, width), dtype=np.uint8)
                 count = np.bincount(text, minlength=len(starts))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(text[full], minlength=len(starts)))]).astype(np.int32)
                 numbers = (full - (np.cumsum(count) - count)[text[full]]).astype(np.int32)
                 raw = names.tobytes()
                 each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BLOCKS), len(full), [None, pa.py_buffer(blocks.tobytes())]).cast(pa.binary())
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(full), [None, pa.py_buffer(blocks.tobytes())]).cast(pa.binary())
                 sketches = sketches.filter(pa.array(long)).take(pa.array(np.cumsum(long) - 1, mask=~long))
                 arrays = [batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array(count.astype(np.int32))]
                 arrays += [pa.ListArray.from_arrays(pa.array(lists), x) for x in (pa.array(numbers), each, sketches)]
@@ -167,6 +227,18 @@ def within(x: str, y: str, most: int) -> bool:
     return distance <= most
 
 
+def far(x: str, y: str, most: int) -> bool:
+    """Whether trigrams prove an edit distance of more than ``most``: an edit takes three away from a text at most."""
+    counts = []
+    for s in (x, y):
+        a = np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
+        if len(a) < 32:
+            return False
+        counts.append(np.bincount((a[:-2] * np.uint32(2654435761) + a[1:-1] * np.uint32(2246822519) + a[2:] * np.uint32(3266489917)) >> np.uint32(20), minlength=4096))
+    gone = counts[0] - counts[1]
+    return max(int(gone[gone > 0].sum()), -int(gone[gone < 0].sum())) > 3 * most
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts (node, line) have an edit distance of at most 100 - ``percent`` hundredths of the longer."""
 
@@ -174,7 +246,8 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         import pyarrow as pa
 
         for batch in batches:
-            keep = [within(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            both = [(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [not far(*x) and within(*x) for x in both]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda x, y: texts.select(F.col("node").alias(x), F.col("line").alias(y))
@@ -182,12 +255,23 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
 
 
-def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str) -> DataFrame:
+def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str, wide: bool = False) -> DataFrame:
     """(node, component) of the lines that links connect; ``nodes`` is a stored table (node, sketch, first), sketch null for lines that are compared exactly only."""
-    own = nodes.where("sketch IS NOT NULL").select("node", "sketch", F.lit(0).cast("long").alias("size"))
-    blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring("sketch", i * 4 + 1, F.lit(4)))
-
-    def plausible(left: np.ndarray, right: np.ndarray, *_) -> np.ndarray:
+    size = F.conv(F.hex(F.substring("sketch", 49, 4)), 16, 10).cast("long") if wide else F.lit(0).cast("long")
+    own = nodes.where("sketch IS NOT NULL").select("node", "sketch", size.alias("size"))
+    if wide:
+        own = staged(own, "sketches")
+        few = F.substring("sketch", 25, 24) != F.lit(bytes(24))
+        threes = [[x + 1 for x in t] for t in TRIPLES] + [[x + 25 for x in t] for t in TRIPLES] + [[a + 25, b + 25, b + 25] for a, b in PAIRS]
+        chosen = F.slice(F.lit(threes), F.lit(1), F.when(few & (F.col("size") <= SHORT_POINTS), F.lit(len(threes))).when(few, F.lit(2 * FEW_BLOCKS)).otherwise(F.lit(WIDE_BLOCKS)))
+        blocks = F.transform(chosen, lambda t: F.concat(*[F.substring("sketch", t[i], F.lit(1)) for i in range(3)]))
+    else:
+        blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring("sketch", i * 4 + 1, F.lit(4)))
+
+    def plausible(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        if wide:
+            longer = np.maximum(n, m)
+            return longer - np.minimum(n, m) <= longer * (100 - percent) // 100
         return np.bitwise_count(left ^ right).sum(axis=1) <= MOST_BITS
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -198,14 +282,14 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str)
     return bucket_components(own, blocks, plausible, verify)
 
 
-def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, dropped) of each different (id, text) that loses lines: h hashes its text, ``dropped`` has their sorted numbers, from 0."""
-    lines = staged(named_lines(docs, min_words, id_col=id_col, text_col=text_col).drop("n_lines"), "lines")
+    lines = staged(named_lines(docs, min_words, wide=wide, id_col=id_col, text_col=text_col).drop("n_lines"), "lines")
     places = lambda *more: lines.select("id", "h", F.explode(F.arrays_zip("lines", "nodes", *more)).alias("x"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("x.lines").alias("line"))
     nodes = places("sketches").groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
     nodes = staged(nodes, "nodes")
-    named = nodes.select("node", "first", "n").join(line_groups(docs, nodes, percent, text_col), "node", "left")
+    named = nodes.select("node", "first", "n").join(line_groups(docs, nodes, percent, text_col, wide), "node", "left")
     joined = named.where("component IS NOT NULL")
     keepers = joined.join(joined.groupBy("component").agg(F.min("first").alias("keeper")), "component").where("n > 1 OR first <> keeper").select("node", F.col("keeper").alias("first"))
     keepers = staged(keepers.union(named.where("component IS NULL AND n > 1").select("node", "first")), "keepers")
@@ -222,18 +306,18 @@ def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs``, the text without its dropped lines, and ``n_lines`` and ``dropped_lines`` (array<int>).
 
     Lines end at newlines. Normalised, they are their words (runs of letters, digits and
     non-ASCII) in lower case of A-Z. Lines of ``min_words`` words or more are linked at an edit
     similarity of ``percent`` hundredths within the corpus; shorter ones only when equal and in
-    one document. Of each group the first occurrence stays, by id (null last), text, line number.
+    one document. ``wide`` finds more of the links. Of each group the first occurrence stays, by id (null last), text, line number.
     Lines without words stay. Null texts stay null. Rows with the same id and text keep the same
     lines. A text all of whose lines go becomes empty; columns of ``docs`` named like the two
     added ones are replaced.
     """
-    found = dropped_lines(docs, percent, min_words, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dropped").alias("dropped_lines"))
+    found = dropped_lines(docs, percent, min_words, wide=wide, id_col=id_col, text_col=text_col).select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("dropped").alias("dropped_lines"))
     found = staged(found, "dropped")
     bits = docs.sparkSession.sparkContext.broadcast(row_filter(found.select("_h")))
 

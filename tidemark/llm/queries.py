@@ -49,7 +49,7 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.lines import dedup_lines
 
-    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
 
 
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
