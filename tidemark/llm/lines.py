@@ -284,7 +284,7 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str,
 
 def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, dropped) of each different (id, text) that loses lines: h hashes its text, ``dropped`` has their sorted numbers, from 0."""
-    lines = staged(named_lines(docs, min_words, wide=wide, id_col=id_col, text_col=text_col).drop("n_lines"), "lines")
+    lines = staged(named_lines(docs, 1 if wide else min_words, wide=wide, id_col=id_col, text_col=text_col).drop("n_lines"), "lines")
     places = lambda *more: lines.select("id", "h", F.explode(F.arrays_zip("lines", "nodes", *more)).alias("x"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("x.lines").alias("line"))
     nodes = places("sketches").groupBy(F.col("x.nodes").alias("node")).agg(F.first("x.sketches").alias("sketch"), F.min(place).alias("first"), F.count("*").alias("n"))
@@ -312,7 +312,7 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS,
     Lines end at newlines. Normalised, they are their words (runs of letters, digits and
     non-ASCII) in lower case of A-Z. Lines of ``min_words`` words or more are linked at an edit
     similarity of ``percent`` hundredths within the corpus; shorter ones only when equal and in
-    one document. ``wide`` finds more of the links. Of each group the first occurrence stays, by id (null last), text, line number.
+    one document. ``wide`` links lines of any number of words, and finds more of the links. Of each group the first occurrence stays, by id (null last), text, line number.
     Lines without words stay. Null texts stay null. Rows with the same id and text keep the same
     lines. A text all of whose lines go becomes empty; columns of ``docs`` named like the two
     added ones are replaced.
