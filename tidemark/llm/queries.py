@@ -55,7 +55,7 @@ def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.syncmers import fingerprint_edits
 
-    return fingerprint_edits(_table(spark, sf_dir, "documents"))
+    return fingerprint_edits(_table(spark, sf_dir, "documents"), every=True)
 
 
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

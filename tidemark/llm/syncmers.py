@@ -26,18 +26,27 @@ def tokens(text) -> F.Column:
     return F.array_remove(F.split(F.lower(text), r"\s+"), "")
 
 
-def anchors(text, k: int = K) -> F.Column:
-    """array<bigint>: the 32-bit hashes of a text's anchors in order. Fewer than k tokens are one anchor; none, no anchor."""
+def anchors(text, k: int = K, every: bool = False) -> F.Column:
+    """array<bigint>: the 32-bit hashes of a text's anchors in order. Fewer than k tokens are one anchor; none, no anchor.
+
+    Of k to k + 4 tokens, many texts have no anchor; ``every`` makes their least k-mer one, so that only texts without tokens have none.
+    """
     inner = k - 1  # pairs in a k-mer
 
     def of_pairs(pairs):
+        def name(i):
+            return F.shiftrightunsigned(F.xxhash64(*[F.get(pairs, i + j) for j in (*range(0, inner - 1, 2), inner - 1)]), 32)
+
         def anchor(first, i):
             edge = F.least(first, F.get(pairs, i + inner - 1))
             middle = F.least(*[F.get(pairs, i + j) for j in range(1, inner - 1)])
-            name = F.xxhash64(*[F.get(pairs, i + j) for j in (*range(0, inner - 1, 2), inner - 1)])
-            return F.when(edge <= middle, F.shiftrightunsigned(name, 32))
+            return F.when(edge <= middle, name(i))
 
-        return F.filter(F.transform(F.slice(pairs, 1, F.size(pairs) - (inner - 1)), anchor), lambda x: x.isNotNull())
+        starts = F.slice(pairs, 1, F.size(pairs) - (inner - 1))
+        found = F.filter(F.transform(starts, anchor), lambda x: x.isNotNull())
+        if not every:
+            return found
+        return let(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.array_min(F.transform(starts, lambda _, i: name(i))))))
 
     def of_hashes(h):
         n = F.size(h)
@@ -60,9 +69,9 @@ def likeness(x, y) -> F.Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def anchor_positions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
+def anchor_positions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = K, every: bool = False) -> DataFrame:
     """(id, ordinal, anchor) for positional matching: a row for each anchor of each text."""
-    return docs.select(docs[id_col].alias("id"), F.posexplode(anchors(F.coalesce(docs[text_col], F.lit("")), k)).alias("ordinal", "anchor"))
+    return docs.select(docs[id_col].alias("id"), F.posexplode(anchors(F.coalesce(docs[text_col], F.lit("")), k, every)).alias("ordinal", "anchor"))
 
 
 def followers(texts: DataFrame) -> DataFrame:
@@ -83,24 +92,24 @@ def followers(texts: DataFrame) -> DataFrame:
     return joined.select("id", "h", "n", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
 
 
-def fingerprint_edits(docs: DataFrame, k: int = K, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, k: int = K, *, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: its id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has the last floor(n_chars / 2) code points replaced by the first as many of
     the next document. Null texts are empty. Rows with equal id and text are one document, given
     as often as they occur; rows with equal ids and other texts are in order of a hash of the
-    text; a null id comes last. A single document is its own next one.
+    text; a null id comes last. A single document is its own next one. ``every`` is that of ``anchors``.
     """
     texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     distinct = texts.select("id", "h", F.length("text").alias("n")).distinct()
     after = followers(distinct)
     wanted = after.select(F.col("next_id").alias("i"), F.col("next_h").alias("x"), F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    heads = texts.join(wanted, texts.id.eqNullSafe(wanted.i) & (texts.h == wanted.x)).select("for_id", "for_h", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), anchors("text", k).alias("next_anchors")).dropDuplicates(["for_id", "for_h"])
+    heads = texts.join(wanted, texts.id.eqNullSafe(wanted.i) & (texts.h == wanted.x)).select("for_id", "for_h", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), anchors("text", k, every).alias("next_anchors")).dropDuplicates(["for_id", "for_h"])
     joined = texts.join(heads, texts.id.eqNullSafe(heads.for_id) & (texts.h == heads.for_h))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.col("half")), F.col("head"))
-    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), anchors("text", k).alias("own"), "next_anchors")
-    out = out.select("*", anchors("edited", k).alias("other"))
+    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), anchors("text", k, every).alias("own"), "next_anchors")
+    out = out.select("*", anchors("edited", k, every).alias("other"))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint("own").alias("fingerprint"),
         fingerprint("other").alias("edited_fingerprint"), likeness("own", "other").alias("near_edited"), likeness("own", "next_anchors").alias("near_next"),
