@@ -7,7 +7,7 @@ file events, ``conversations`` for queries and notes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import routing, text
@@ -71,6 +71,37 @@ def rrf_fuse(spark, sf_dir):
     return retrieval.fuse(ranked, "label").select("label", F.round("score", 9).alias("score"), "list", "rank")
 
 
+def _found(spark, sf_dir, rests, k):
+    """(query, vec_id, score, label): the ``k`` vectors nearest to each whose id has one of the ``rests`` by 100."""
+    v = _table(spark, sf_dir, "embeddings")
+    hits = retrieval.nearest_of_each(v, v.where((F.col("vec_id") % 100).isin(*rests)), k, id_col="vec_id")
+    return hits.join(v.select("vec_id", "label"), "vec_id")
+
+
+def _first_labels(hits):
+    """One hit for each label of a query, and its rank among these."""
+    order = [F.col("score").desc(), F.col("vec_id")]
+    one = hits.withColumn("_n", F.row_number().over(Window.partitionBy("query", "label").orderBy(*order))).where("_n = 1").drop("_n")
+    return one.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+
+
+def vector_topk_each(spark, sf_dir):
+    return _found(spark, sf_dir, [0], 20).select("query", "vec_id", F.round("score", 6).alias("score"))
+
+
+def vector_dedup_each(spark, sf_dir):
+    hits = _first_labels(_found(spark, sf_dir, [0], retrieval.overfetch(20)))
+    return hits.select("query", "label", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+def rrf_fuse_each(spark, sf_dir):
+    """Each query's list of labels fused with that of the vector after it."""
+    ranked = _first_labels(_found(spark, sf_dir, [0, 1], 160)).withColumn("list", (F.col("query") % 100).cast("int"))
+    ranked = ranked.withColumn("query", F.col("query") - F.col("list"))
+    fused = ranked.groupBy("query", "label").agg(F.sum(1.0 / (retrieval.RANK_OFFSET + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first"))
+    return fused.select("query", "label", F.round("score", 9).alias("score"), "first.list", "first.rank")
+
+
 def _states(spark, sf_dir):
     """Labelled documents as they were indexed, and all documents now, with runs of white space made one space."""
     docs = _table(spark, sf_dir, "documents")
@@ -197,7 +228,7 @@ QUERIES = {
     "vector_topk": vector_topk, "vector_dedup": vector_dedup, "rrf_fuse": rrf_fuse, "index_diff": index_diff, "run_totals": run_totals, "stale_ids": stale_ids,
     "fresh_hits": fresh_hits, "edge_dedup": edge_dedup, "node_cap": node_cap, "callers": callers, "callees": callees, "seed_overlap": seed_overlap, "expand_2hop": expand_2hop,
     "graphrag_merge": graphrag_merge, "hierarchy": hierarchy_modules, "cochange": cochange, "link_extract": link_extract, "route_query": route_query,
-    "identifiers": identifiers, "coalesce_bursts": coalesce_bursts,
+    "identifiers": identifiers, "coalesce_bursts": coalesce_bursts, "vector_topk_each": vector_topk_each, "vector_dedup_each": vector_dedup_each, "rrf_fuse_each": rrf_fuse_each,
 }
 
 LINES = "SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"
@@ -242,6 +273,15 @@ CHUNKS = f"""
 """
 NEAR = "SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id = {} ORDER BY score DESC, e.vec_id LIMIT {}"
 FIRST = "SELECT label, vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM ({})) WHERE n = 1"
+# The same for many queries at once.
+NEAR_EACH = """
+    SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM (
+            SELECT q.vec_id AS query, e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 IN ({})
+        )
+    ) WHERE place <= {}
+"""
+FIRST_EACH = "SELECT query, label, vec_id, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id) AS n FROM ({})) WHERE n = 1"
 EDGES = "SELECT 's' || l_suppkey AS from_id, 'p' || l_partkey AS to_id, l_returnflag AS relation, l_orderkey AS ev_path, l_linenumber AS ev_line FROM lineitem"
 EXPAND = """
     WITH e AS (
@@ -278,6 +318,12 @@ ORACLES: dict[str, str] = {
         WITH r AS (SELECT label, 0 AS list, rank FROM ({FIRST.format(NEAR.format(0, 160))}) UNION ALL SELECT label, 1, rank FROM ({FIRST.format(NEAR.format(1, 160))}))
         SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(min(list) AS INTEGER) AS list, CAST(arg_min(rank, list) AS INTEGER) AS rank FROM r GROUP BY label
     """,
+    "vector_topk_each": f"SELECT query, vec_id, round(score, 6) AS score FROM ({NEAR_EACH.format('0', 20)})",
+    "vector_dedup_each": f"SELECT query, label, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ({FIRST_EACH.format(NEAR_EACH.format('0', 160))})",
+    "rrf_fuse_each": f"""
+        WITH r AS (SELECT query - query % 100 AS query, label, query % 100 AS list, rank FROM ({FIRST_EACH.format(NEAR_EACH.format('0, 1', 160))}))
+        SELECT query, label, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(min(list) AS INTEGER) AS list, CAST(arg_min(rank, list) AS INTEGER) AS rank FROM r GROUP BY query, label
+    """,
     "index_diff": DIFF,
     "run_totals": f"""
         WITH d AS ({DIFF})
