@@ -1,19 +1,27 @@
-"""What several operators need: staged tables, text batches for numpy, hashing and text clean-up."""
+"""What several operators need: staged tables, sizes of Arrow batches, texts with their ids."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch at most: rows hold whole texts, and a worker has a batch in memory at once.
+BATCH_ROWS = 1000
+
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, as in tests, one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset and all run on one machine, as in tests, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -23,11 +31,29 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def short_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session have BATCH_ROWS rows at most."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read again: it is not computed twice, and outlives lost executors."""
-    path = new_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    short_batches(spark)
+    path = new_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the files of staged tables that no later step reads."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(_PATHS.pop(table))
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

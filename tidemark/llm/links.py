@@ -1,33 +1,54 @@
 """Links between nodes that share a bucket, and the groups that they connect, for similarity joins of any kind.
 
-A bucket may hold a large share of all nodes, so its pairs are not listed. Every node is compared
-with two hubs of each of its buckets, the least and the greatest node; the links found connect
-most of a true group. Only pairs of one bucket that are still in different groups, and have no
-hub among them, are then compared too, tile by tile, and only those whose sketches may belong to
-a link become rows. So no candidate link that would join two groups is missed.
+A bucket may hold a large share of all nodes, so its pairs are not listed. First every node is
+compared with the hub of each of its buckets, the least node; the links found connect most of a
+true group. Buckets whose nodes are still in different groups are then compared tile by tile, by
+sketches, and groups with a plausible pair form a cluster. Last, clusters are compared in tiles
+with the full objects. A tile joins groups as it goes and returns only the pairs that joined two,
+fewer than it has nodes. So no candidate link that would join two groups is missed, and what is
+stored grows with the nodes alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 from tidemark.llm.kernels import cut_points, packed, unpacked
 
-#: (sketches of the left, of the right, sizes of the left, of the right) of pairs, a row each -> which may be links.
-Plausible = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: Nodes on a side of what a task compares at once.
-TILE = 512
-#: Bits of the filter by which tasks turn away rows that no pair names; its size is fixed, a full one only lets more pass.
-FILTER_BITS = 1 << 24
+#: (sketches of the left, of the right, sizes of the left, of the right) of pairs, a row each -> a number for each.
+Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: (node) -> (node, full: binary), a staged table of the full objects.
+Fulls = Callable[[DataFrame], DataFrame]
+#: Nodes on a side of what a task compares at once, and bytes of their objects, about.
+TILE, TILE_BYTES = 512, 16 << 20
+#: Bits of a filter by which tasks turn rows away: so many for each key, from the least to the most; a full filter only lets more rows pass.
+KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+#: Bytes of a filter that are put together in one task.
+FILTER_PART = 1 << 16
 #: Numbers that a task sorts at once.
 PART = 2_000_000
 
 
+@dataclass
+class Likeness:
+    """How nodes of one kind are compared."""
+
+    #: A quick estimate: how alike a pair may be, 0 when it is no link.
+    quick: Judge
+    #: Which pairs may be links, by all that sketches and sizes tell.
+    plausible: Judge
+    #: Whether two full objects are a link.
+    confirm: Callable[[bytes, bytes], bool]
+    #: Bytes of a full object for each unit of a node's size, about.
+    unit: int
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b), where component is the least node reachable.
 
@@ -46,17 +67,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, both.a == least.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = large.join(least, large.a == least.u).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = staged(small.where("a <> b").distinct(), "edges")
+        before, now = now, staged(small.where("a <> b").distinct(), "edges")
+        release(before)
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
 def _matrix(column) -> np.ndarray:
     """Rows of bytes from an Arrow column of binaries of one length."""
-    return np.stack([np.frombuffer(x, dtype=np.uint8) for x in column.to_pylist()])
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(len(column), -1)
 
 
-def plausible_pairs(pairs: DataFrame, nodes: DataFrame, plausible: Plausible) -> DataFrame:
+def plausible_pairs(pairs: DataFrame, nodes: DataFrame, plausible: Judge) -> DataFrame:
     """The pairs (a, b) that ``plausible`` lets pass, by the sketches and sizes in ``nodes``."""
 
     def judge(batches):
@@ -72,55 +94,87 @@ def plausible_pairs(pairs: DataFrame, nodes: DataFrame, plausible: Plausible) ->
     return both.mapInArrow(judge, "a binary, b binary")
 
 
-def _compared(batches, plausible: Plausible):
-    """Within each run of equal (bucket, i, j): pairs of a left and a right row of different components that ``plausible`` lets pass."""
-    import pyarrow as pa
-
-    def pairs(rows):
-        left, right = ([r for r in rows if r[3] == side] for side in (True, False))
-        if not left or not right:
-            return
-        sketches = np.stack([np.frombuffer(r[6], dtype=np.uint8) for r in right])
-        sizes, groups = np.array([r[7] for r in right]), np.array([r[5] for r in right], dtype=object)
-        for r in left:
-            other = np.flatnonzero(groups != r[5])
-            own = np.broadcast_to(np.frombuffer(r[6], dtype=np.uint8), (len(other), sketches.shape[1]))
-            for k in other[plausible(own, sketches[other], np.full(len(other), r[7]), sizes[other])] if len(other) else ():
-                yield (r[4], right[k][4]) if r[4] < right[k][4] else (right[k][4], r[4])
-
-    def out(found):
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
-
-    held, key = [], None
-    for batch in batches:
-        found = []
-        for row in zip(*(x.to_pylist() for x in batch.columns)):
-            if row[:3] != key:
-                found += pairs(held)
-                held, key = [], row[:3]
-            held.append(row)
-        yield out(found)
-    yield out(list(pairs(held)))
-
-
-def split_buckets(rest: DataFrame, nodes: DataFrame, plausible: Plausible) -> DataFrame:
-    """Plausible pairs (a, b) of nodes of one bucket in different components, for ``rest`` (bucket, node, component).
+def confirmed_pairs(pairs: DataFrame, fulls: DataFrame, confirm: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs (a, b) that are links by the full objects (node, full)."""
+
+    def judge(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = [confirm(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x, y: fulls.select(F.col("node").alias(x), F.col("full").alias(y))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(judge, "a binary, b binary")
+
+
+def _joined(rows: list[tuple], like: Likeness, whole: bool):
+    """Pairs of a left and a right row of one tile that join two components: of nodes that are links, or, without full objects, of components that may have some."""
+    left, right = ([r for r in rows if r[3] == side] for side in (True, False))
+    if not left or not right:
+        return
+    number = {c: i for i, c in enumerate({r[5] for r in rows})}
+    roots = np.arange(len(number))
+    own = np.array([number[r[5]] for r in right])
+    sketches = np.frombuffer(b"".join(r[7] for r in right), dtype=np.uint8).reshape(len(right), -1)
+    sizes = np.array([r[6] for r in right])
+    for r in left:
+        me = number[r[5]]
+        other = np.flatnonzero(roots[own] != roots[me])
+        if not len(other):
+            continue
+        mine = np.broadcast_to(np.frombuffer(r[7], dtype=np.uint8), (len(other), sketches.shape[1]))
+        of_me = np.full(len(other), r[6])
+        score = like.quick(mine, sketches[other], of_me, sizes[other])
+        if whole and score.any():
+            at = np.flatnonzero(score)
+            score[at] *= like.plausible(mine[at], sketches[other[at]], of_me[at], sizes[other[at]])
+        for k in other[np.argsort(-score, kind="stable")[: np.count_nonzero(score)]]:
+            if roots[own[k]] != roots[me] and (not whole or like.confirm(r[8], right[k][8])):
+                roots[roots == roots[own[k]]] = roots[me]
+                yield (r[4], right[k][4]) if whole else (r[5], right[k][5])
+
+
+def tiles(rest: DataFrame, like: Likeness) -> DataFrame:
+    """(a, b) by ``_joined`` for ``rest`` (bucket, node, component, size, sketch, and full objects or not).
 
     In each bucket the nodes outside its largest component meet all nodes. Large buckets are dealt
-    out in tiles of about TILE nodes a side, each compared by itself.
+    out in tiles of about TILE nodes a side, fewer where objects are large, each compared by itself.
     """
-    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
-    rest = rest.join(sizes, "bucket").join(nodes, "node")
-    tiles = lambda n: F.ceil(n / TILE).cast("int")
-    minor, rows, columns = F.col("component") != F.col("major"), tiles(F.col("all") - F.col("most")), tiles(F.col("all"))
+    sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).groupBy("bucket")
+    sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("sum").alias("sum")).where("most < all")
+    whole = "full" in rest.columns
+    payload = ["node", "component", "size", "sketch"] + ["full"] * whole
+    side = F.greatest(F.lit(1.0), F.least(F.lit(float(TILE)), F.lit(TILE_BYTES / like.unit) * F.col("all") / F.col("sum"))) if whole else F.lit(float(TILE))
+    cuts = lambda n: F.ceil(n / side).cast("int")
+    minor, rows, columns = F.col("component") != F.col("major"), cuts(F.col("all") - F.col("most")), cuts(F.col("all"))
     own = F.xxhash64("node")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     as_left = F.when(minor, F.transform(every(columns), lambda j: F.struct(F.pmod(own, rows).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("left"))))
     as_right = F.transform(every(rows), lambda i: F.struct(i.alias("i"), F.pmod(own, columns).cast("int").alias("j"), F.lit(False).alias("left")))
     none = F.array().cast("array<struct<i:int,j:int,left:boolean>>")
-    dealt = rest.select("bucket", "node", "component", "sketch", "size", F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("t"))
-    dealt = dealt.select("bucket", "t.i", "t.j", "t.left", "node", "component", "sketch", "size")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(lambda x: _compared(x, plausible), "a binary, b binary")
+    dealt = rest.join(sizes, "bucket").select("bucket", *payload, F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("t"))
+    dealt = dealt.select("bucket", "t.i", "t.j", "t.left", *payload)
+
+    def compare(batches):
+        import pyarrow as pa
+
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.binary())], names=["a", "b"])
+
+        held, key = [], None
+        for batch in batches:
+            found = []
+            for row in zip(*(x.to_pylist() for x in batch.columns)):
+                if row[:3] != key:
+                    found += _joined(held, like, whole)
+                    held, key = [], row[:3]
+                held.append(row)
+            yield out(found)
+        yield out(list(_joined(held, like, whole)))
+
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
@@ -187,62 +241,92 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(own[keep]), batch.column(0).take(pa.array(row))], names=["bucket", "node"])
 
     kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.mapInArrow(likely, f"bucket long, node {kind}").join(shared, "bucket", "left_semi")
+    out = staged(nodes.mapInArrow(likely, f"bucket long, node {kind}").join(shared, "bucket", "left_semi"), "members")
+    release(shared)
+    bits.destroy()
+    return out
 
 
-def bucket_components(nodes: DataFrame, keys: F.Column, plausible: Plausible, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_components(nodes: DataFrame, keys: F.Column, like: Likeness, full_objects: Fulls) -> DataFrame:
     """(node, component) for all nodes that a chain of links connects to others.
 
     ``nodes`` is a stored table (node, sketch, size) of binary names and sketches; ``keys`` an
-    array, the key of each band, a node being in a bucket for each. Links are pairs that share a
-    bucket, that ``plausible`` lets pass by sketches and sizes, and that ``verify`` returns of
-    distinct pairs (a, b), a < b.
+    array, the key of each band, a node being in a bucket for each that isn't null. Links are
+    pairs that ``like`` confirms, of those that share a bucket or are in a cluster, and are plausible.
     """
-    members = staged(shared_buckets(nodes.select("node", F.transform(keys, lambda k, i: F.xxhash64(i, k)).alias("buckets"))), "members")
-    buckets = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    crowded = staged(members.join(buckets, "bucket"), "crowded")
-    spokes = crowded.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("node").alias("b")), F.struct(F.col("node").alias("a"), F.col("high").alias("b")))).alias("e")).select("e.*")
-    spokes = plausible_pairs(spokes.where("a < b").distinct(), nodes, plausible)
-    links = staged(verify(staged(spokes, "likely")), "links")
-    groups = connected_components(links)
-    rest = crowded.where("node <> low AND node <> high").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    more = verify(staged(split_buckets(rest, nodes, plausible).distinct(), "likely"))
-    return connected_components(links.select("a", "b").union(more.select("a", "b")))
+    keys = F.filter(F.transform(keys, lambda k, i: F.when(k.isNotNull(), F.xxhash64(i, k))), lambda x: x.isNotNull())
+    members = shared_buckets(nodes.select("node", keys.alias("buckets")))
+    crowded = staged(members.join(members.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket"), "crowded")
+    release(members)
+    likely = staged(plausible_pairs(crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, like.plausible), "likely")
+    fulls = full_objects(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = staged(confirmed_pairs(likely, fulls, like.confirm).distinct(), "links")
+    release(likely, fulls)
+    groups = staged(connected_components(links), "groups")
+
+    rest = crowded.where("node <> hub").join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    mixed = rest.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    rest = staged(rest.join(mixed, "bucket", "left_semi").join(nodes, "node").select("bucket", "node", "component", "size", "sketch"), "rest")
+    release(crowded)
+    clusters = connected_components(tiles(rest, like)).select(F.col("node").alias("component"), F.col("component").alias("bucket"))
+    every = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    every = staged(every.join(clusters, "component").select("bucket", "node", "component", "size", "sketch"), "every")
+    release(rest)
+    fulls = full_objects(every.select("node"))
+    more = staged(tiles(every.join(fulls, "node"), like), "links")
+    release(every, fulls, groups)
+    out = staged(connected_components(links.union(more)), "groups")
+    release(links, more)
+    return out
 
 
 def row_filter(ids: DataFrame) -> np.ndarray:
-    """Bits for the one column of ``ids``, of longs or of names whose first 8 bytes count: FILTER_BITS, packed, however many there are."""
+    """Packed bits for the one column of ``ids``, a stored table of hashes, longs or names whose first 8 bytes count; MOST_BITS at most, however many there are."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(1, ids.count() * KEY_BITS).bit_length()))
 
     def fill(batches):
         import pyarrow as pa
 
-        bits = np.zeros(FILTER_BITS, dtype=bool)
+        bits = np.zeros(size, dtype=bool)
         for batch in batches:
             x = batch.column(0)
             x = np.frombuffer(b"".join(y[:8] for y in x.to_pylist()), dtype=np.uint64) if pa.types.is_binary(x.type) else x.to_numpy().view(np.uint64)
-            bits[(x >> np.uint64(40)).astype(np.int64) & FILTER_BITS - 1] = True
-            bits[x.astype(np.int64) & FILTER_BITS - 1] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()])], names=["bits"])
+            for at in _places(x, size):
+                bits[at] = True
+        raw = np.packbits(bits).reshape(-1, FILTER_PART)
+        rows = np.flatnonzero(raw.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array([raw[i].tobytes() for i in rows], pa.binary())], names=["part", "bits"])
 
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    for row in ids.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():  # eight at most, of fixed size
-        out |= np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-    return out
+    def merge(batches):
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(*(x.to_pylist() for x in batch.columns)):
+                held[part] = held.get(part, 0) | np.frombuffer(raw, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
+
+    out = np.zeros((size // 8 // FILTER_PART, FILTER_PART), dtype=np.uint8)
+    for row in ids.mapInArrow(fill, "part long, bits binary").repartition("part").mapInArrow(merge, "part long, bits binary").toLocalIterator():  # MOST_BITS in all
+        out[row["part"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def _places(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return (x >> np.uint64(36)).astype(np.int64) & size - 1, x.astype(np.int64) & size - 1
 
 
 def passes(bits: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Which 64-bit values the filter lets pass: all that it was made of, and few others."""
     x = x.view(np.uint64)
     out = np.ones(len(x), dtype=bool)
-    for at in ((x >> np.uint64(40)).astype(np.int64) & FILTER_BITS - 1, x.astype(np.int64) & FILTER_BITS - 1):
+    for at in _places(x, 8 * len(bits)):
         out &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
     return out
 
 
-def matching(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key``, a long, is in the one column of ``ids``. A filter of fixed size turns most others away before they are shuffled."""
-    ids = staged(ids.select(F.col(ids.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct(), "ids")
-    bits = rows.sparkSession.sparkContext.broadcast(row_filter(ids.select(F.xxhash64(key))))
+def in_filter(bits):
+    """A column function: which of a column of 64-bit hashes a broadcast filter lets pass."""
 
     @F.pandas_udf("boolean")
     def likely(x):
@@ -250,4 +334,11 @@ def matching(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
         return pd.Series(passes(bits.value, x.to_numpy()))
 
-    return rows.where(likely(F.xxhash64(rows[key]))).join(ids, key, "left_semi")
+    return likely
+
+
+def matching(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key``, a long, is in the one column of ``ids``. A filter of bounded size turns most others away before they are shuffled."""
+    ids = staged(ids.select(F.col(ids.columns[0]).cast("long").alias(key)).where(F.col(key).isNotNull()).distinct(), "ids")
+    bits = rows.sparkSession.sparkContext.broadcast(row_filter(ids.select(F.xxhash64(key))))
+    return rows.where(in_filter(bits)(F.xxhash64(rows[key]))).join(ids, key, "left_semi")

@@ -14,12 +14,12 @@ import hashlib
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 from tidemark.llm.kernels import byte_table, chunks, grams, randoms, whole, words
-from tidemark.llm.links import bucket_components, passes, row_filter
+from tidemark.llm.links import Likeness, bucket_components, in_filter, passes, row_filter
 
 #: Band by band: a pair at a similarity of 0.8 shares none of 30 bands of 4 registers once in 8 million times, at 0.85 once in 4 billion.
 BANDS, ROWS = 30, 4
@@ -64,11 +64,16 @@ def log_likelihoods(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_r
     return np.where((up < 0) | (down < 0), -np.inf, sum(terms))
 
 
+def alike(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
+    """The share of equal registers of each pair; 0 where sizes exclude the threshold, or registers do by six deviations."""
+    same = (left == right).mean(axis=1)
+    fits = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
+    return np.where(fits & (same >= threshold - 6 * math.sqrt(threshold * (1 - threshold) / left.shape[1])), same, 0.0)
+
+
 def possible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs may reach the threshold, by sizes and by likelihood."""
-    out = np.minimum(n_left, n_right) >= threshold * np.maximum(n_left, n_right) - 1e-9
-    m = left.shape[1]
-    out &= (left == right).sum(axis=1) >= threshold * m - 6 * math.sqrt(m * threshold * (1 - threshold))  # so few are in question
+    out = alike(left, right, n_left, n_right, threshold) > 0
     rows = np.flatnonzero(out)
     usual = np.sort(np.append(np.linspace(0.005, 1, 200), threshold))
     for i in range(0, len(rows), 500):
@@ -125,37 +130,36 @@ def _row_hashes(docs: DataFrame, id_col: str, text_col: str) -> list[F.Column]:
 def groups(docs: DataFrame, k: int, percent: int, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows as of ``sketches``, without sketches; node, component and least id of each different set)."""
     rows = staged(sketches(docs, k, id_col=id_col, text_col=text_col), "sketches")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min(F.xxhash64("id")).alias("hash"))
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min("x").alias("x"))
     nodes = staged(nodes, "nodes")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * width + 1, F.lit(width)))
+    judge = lambda f: lambda left, right, n, m: f(left.view("<u2"), right.view("<u2"), n.astype(np.float64), m.astype(np.float64), percent / 100)
 
-    def plausible(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray) -> np.ndarray:
-        return possible(left.view("<u2"), right.view("<u2"), n_left.astype(np.float64), n_right.astype(np.float64), percent / 100)
-
-    def verify(likely: DataFrame) -> DataFrame:
-        ends = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        bits = docs.sparkSession.sparkContext.broadcast(row_filter(ends.join(nodes, "node").select("hash")))
+    def fulls(ends: DataFrame) -> DataFrame:
+        held = staged(nodes.join(ends, "node", "left_semi").select("node", "x"), "ends")
+        bits = docs.sparkSession.sparkContext.broadcast(row_filter(held.select("x")))
 
-        def full(batches):
+        def sets(batches):
             import pyarrow as pa
 
             for batch in batches:
                 keep = np.flatnonzero(passes(bits.value, batch.column(0).to_numpy()))
-                if not len(keep):
-                    continue
-                own = [x for _, x in shingle_sets(batch.column(1).take(pa.array(keep)), k) if len(x)]
-                for i in range(0, len(own), 500):
-                    part = own[i : i + 500]
-                    yield pa.RecordBatch.from_arrays([pa.array([_name(x) for x in part], pa.binary()), pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64()))], names=["node", "s"])
-
-        sets = docs.select(F.xxhash64(docs[id_col]).alias("hash"), docs[text_col].alias("text")).mapInArrow(full, "node binary, s array<long>")
-        sets = staged(sets.join(ends, "node", "left_semi"), "sets")
-        both = likely.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
-        both = both.withColumn("i", F.size(F.array_intersect("x", "y")))
-        return both.where(100 * F.col("i") >= percent * (F.size("x") + F.size("y") - F.col("i"))).select("a", "b").distinct()
-
-    linked = bucket_components(nodes.select("node", "sketch", "size"), bands, plausible, verify)
+                own = {_name(x): x.tobytes() for _, x in shingle_sets(batch.column(1).take(pa.array(keep)), k) if len(x)} if len(keep) else {}
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.binary())], names=["node", "full"])
+
+        own = docs.select(_row_hashes(docs, id_col, text_col)[0], docs[text_col].alias("text")).mapInArrow(sets, "node binary, full binary")
+        out = staged(own.join(held.select("node"), "node", "left_semi"), "fulls")
+        release(held)
+        bits.destroy()
+        return out
+
+    def confirm(x: bytes, y: bytes) -> bool:
+        a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= percent * (len(a) + len(b) - both)
+
+    linked = bucket_components(nodes.select("node", "sketch", "size"), bands, Likeness(judge(alike), judge(possible), confirm, 8), fulls)
     named = nodes.join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id")
     return rows.drop("sketch"), named
 
@@ -184,10 +188,15 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, *, id_col:
     Of rows with the same id and text one stays, whichever: they may differ in other columns.
     """
     rows, named = groups(docs, k, percent, id_col=id_col, text_col=text_col)
-    found = rows.join(named.select("node", "component"), "node", "left")
-    best = F.struct(F.col("id").isNull().alias("none"), "id", "x", "y")
-    one = found.where("component IS NOT NULL").groupBy("component").agg(F.min(best).alias("best")).select("best.x", "best.y", F.lit(True).alias("worded"))
-    stay = one.union(found.where("component IS NULL").select("x", "y", F.lit(False)).distinct())
-    own = docs.select(F.struct(*docs.columns).alias("row"), *_row_hashes(docs, id_col, text_col)).join(stay, ["x", "y"])
-    own = own.withColumn("copy", F.row_number().over(Window.partitionBy("x", "y").orderBy("x")))
-    return own.where("copy = 1 OR NOT worded").select("row.*")
+    found = rows.join(named.select("node", "component"), "node").select("component", "id", "x", "y")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "x", "y")).alias("best"))
+    copies = found.groupBy("component", "x", "y").agg(F.count("*").alias("n"))
+    stays = (F.col("x") == F.col("best.x")) & (F.col("y") == F.col("best.y"))
+    copies = copies.join(best, "component").select("x", "y", stays.alias("stays"), "n").where("n > 1 OR NOT stays")
+    copies = staged(copies.select("x", "y", "stays"), "copies")  # rows that go, or of which one stays
+    likely = in_filter(docs.sparkSession.sparkContext.broadcast(row_filter(copies.select("x"))))
+    own = docs.select(F.struct(*docs.columns).alias("row"), *_row_hashes(docs, id_col, text_col))
+    # Rows that are no copies stay in their tasks.
+    rest, some = own.where(~likely("x")), own.where(likely("x")).join(copies, ["x", "y"], "left")
+    one = some.where("stays").dropDuplicates(["x", "y"])
+    return rest.select("row.*").union(some.where("stays IS NULL").select("row.*")).union(one.select("row.*"))
