@@ -8,10 +8,13 @@ gives both the same anchors, in the same order.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 
 #: Tokens of an anchor and of its inner s-mers (pairs); two of seven k-mers are anchors.
 K = 8
@@ -74,22 +77,44 @@ def anchor_positions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return docs.select(docs[id_col].alias("id"), F.posexplode(anchors(F.coalesce(docs[text_col], F.lit("")), k, every)).alias("ordinal", "anchor"))
 
 
-def followers(texts: DataFrame) -> DataFrame:
-    """``texts`` (id, h, n), each (id, h) once, with next_id and next_h by descending id, null last; after the last comes the first.
+#: Ranges of documents for each shuffle partition, and in all.
+RANGES, MOST_RANGES = 4, 4096
+
+
+@dataclass
+class Ranges:
+    """Where rows by (id, r, salt) are cut into ranges, and which documents stand at a range's beginning."""
+
+    #: The least (id, r, salt) of each range, ascending.
+    bounds: list[tuple]
+    #: (range, 0, id, r) of the document before a range's first one (before the first: the last of all), (range, 1, id, r) of the first one.
+    heads: list[tuple]
 
-    Ids are dealt out in ranges, so each range finds its own followers; only the ranges' first
-    rows meet in one task, as many as there are shuffle partitions.
-    """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("id").desc_nulls_last(), F.col("h")]
-    ranged = staged(texts.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy("part").orderBy(*order)
-    ranged = ranged.withColumn("next", F.lead(F.struct("id", "h")).over(within))
-    heads = ranged.withColumn("rank", F.row_number().over(within)).where("rank = 1").select("part", F.struct("id", "h").alias("head"))
-    over = Window.partitionBy(F.lit(0)).orderBy("part")
-    heads = heads.select("part", F.coalesce(F.lead("head").over(over), F.first("head").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    joined = ranged.join(heads, "part").withColumn("next", F.coalesce("next", "after"))
-    return joined.select("id", "h", "n", F.col("next.id").alias("next_id"), F.col("next.h").alias("next_h"))
+
+def ranges(rows: DataFrame) -> Ranges:
+    """Ranges of about equal size of ``rows`` (id, r, salt): a document is the rows that share id and r, and may fill several."""
+    spark = rows.sparkSession
+    parts = min(MOST_RANGES, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = staged(rows, "keys")
+    cut = staged(keys.repartitionByRange(parts, "id", "r", "salt").withColumn("part", F.spark_partition_id()), "ranges")
+    own = F.struct("id", "r")
+    ends = cut.groupBy("part").agg(F.min(F.struct("id", "r", "salt")).alias("least"), F.max(own).alias("last"))
+    other = cut.join(ends.select("part", "last"), "part").where(own < F.col("last")).groupBy("part").agg(F.max(own).alias("before"))
+    found = sorted(ends.join(other, "part", "left").collect(), key=lambda x: x["part"])  # MOST_RANGES at most
+    release(keys, cut)
+    heads = []
+    for p, row in enumerate(found):
+        first = row["least"][:2]
+        behind = [tuple(x) for q in (*range(p - 1, -1, -1), *range(len(found) - 1, p - 1, -1)) for x in (found[q]["last"], found[q]["before"]) if x is not None]
+        heads += [(p, 0, *next((x for x in behind if x != tuple(first)), first)), (p, 1, *first)]
+    return Ranges([tuple(x["least"]) for x in found], heads)
+
+
+def range_of(bounds: list[tuple], key, kind: str) -> F.Column:
+    """The number of the last of ``bounds`` that isn't greater than ``key`` (0 if all are), by halving."""
+    low = F.from_json(F.lit(json.dumps([dict(zip(("id", "r", "salt"), x)) for x in bounds])), f"array<struct<id:{kind},r:bigint,salt:bigint>>")
+    steps = [1 << i for i in reversed(range(max(1, len(bounds)).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(F.get(low, at + step) <= key, at + step).otherwise(at))
 
 
 def fingerprint_edits(docs: DataFrame, k: int = K, *, every: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,16 +124,31 @@ def fingerprint_edits(docs: DataFrame, k: int = K, *, every: bool = False, id_co
     the next document. Null texts are empty. Rows with equal id and text are one document, given
     as often as they occur; rows with equal ids and other texts are in order of a hash of the
     text; a null id comes last. A single document is its own next one. ``every`` is that of ``anchors``.
+
+    Texts are shuffled once, to ranges of ids, in which a row finds its follower; each range is
+    given the document before it.
     """
-    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    distinct = texts.select("id", "h", F.length("text").alias("n")).distinct()
-    after = followers(distinct)
-    wanted = after.select(F.col("next_id").alias("i"), F.col("next_h").alias("x"), F.col("id").alias("for_id"), F.col("h").alias("for_h"), F.floor(F.col("n") / 2).cast("int").alias("half"))
-    heads = texts.join(wanted, texts.id.eqNullSafe(wanted.i) & (texts.h == wanted.x)).select("for_id", "for_h", "half", F.substring("text", F.lit(1), F.col("half")).alias("head"), anchors("text", k, every).alias("next_anchors")).dropDuplicates(["for_id", "for_h"])
-    joined = texts.join(heads, texts.id.eqNullSafe(heads.for_id) & (texts.h == heads.for_h))
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("r", F.bitwise_not(F.xxhash64("text")))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(997)).alias("salt")
+    cut = ranges(texts.select("id", "r", salt))
+    heads = spark.createDataFrame(cut.heads, f"part int, at int, id {kind}, r long")
+    heads = texts.join(F.broadcast(heads), texts.id.eqNullSafe(heads.id) & (texts.r == heads.r)).select("part", "at", texts.id, "text", texts.r).dropDuplicates(["part", "at"])
+    part = range_of(cut.bounds, F.struct("id", "r", "salt"), kind)
+    rows = texts.select("*", salt).select(part.alias("part"), F.lit(1).alias("at"), "id", "text", "r", F.lit(True).alias("own")).unionByName(heads.withColumn("own", F.lit(False)))
+
+    # By ascending id, the next document is the last one with another key.
+    over = Window.partitionBy("part").orderBy("at", "id", "r")
+    so_far = over.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.struct("at", "id", "r")
+    rows = rows.withColumn("starts", F.lag(key).over(over) != key)
+    rows = rows.withColumn("lagged", F.when(F.col("starts"), F.lag("text").over(over))).withColumn("next", F.last("lagged", ignorenulls=True).over(so_far)).drop("lagged")
+    rows = rows.withColumn("anchors", anchors("text", k, every))
+    rows = rows.withColumn("lagged", F.when(F.col("starts"), F.lag("anchors").over(over))).withColumn("next_anchors", F.last("lagged", ignorenulls=True).over(so_far))
     n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.col("half")), F.col("head"))
-    out = joined.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), anchors("text", k, every).alias("own"), "next_anchors")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))
+    out = rows.where("own").select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), F.col("anchors").alias("own"), "next_anchors")
     out = out.select("*", anchors("edited", k, every).alias("other"))
     return out.select(
         F.col("id").alias(id_col), "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), fingerprint("own").alias("fingerprint"),
