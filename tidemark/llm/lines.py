@@ -1,54 +1,53 @@
 """Fuzzy line dedup.
 
-A normalised line has a SimHash of 192 bits over its different words, cut into 6 blocks. Lines that
-agree in a block are candidates: by the pigeonhole principle all whose SimHashes differ in 5 bits
-or fewer, and many beyond. Candidates are links when their SimHashes differ in a quarter of the bits at most
-and their edit similarity confirms it, and of every connected group of lines one occurrence is
-kept in the corpus, the first by document and line.
-
-In a wide comparison, which the queries use, every line with words takes part. Blocks are 24 bits
-and many, lines of few words have blocks of a SimHash of their bytes' trigrams too, and all
-candidates whose lengths allow a link are compared.
+A normalised line has a SimHash cut into blocks. Lines that agree in a block are candidates, their
+edit similarity confirms links, and of every connected group of lines one occurrence is kept in
+the corpus, the first by document and line.
+
+In a wide comparison, which the queries use, every line with words takes part. A line's features,
+pairs of words or, in lines of few words, q-grams of bytes, are dealt out to classes by their
+hashes, and each block is the SimHash of one class. By the pigeonhole principle a line that
+differs in fewer features than it has blocks shares one, however short it is, and a block, a
+SimHash of several features, is rarely shared by chance. All candidates whose lengths allow a link
+are compared.
+
+In a narrow one, a SimHash of 192 bits over a line's different words has 6 blocks, so candidates
+are those whose SimHashes differ in 5 bits or fewer, and many beyond; and links are those that
+differ in a quarter of the bits at most.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from operator import ne
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import release, staged
 from tidemark.llm.decontamination import SEPARATORS
 from tidemark.llm.kernels import _powers, byte_table, chunks, grams, mix, randoms, words
-from tidemark.llm.links import bucket_components, passes, row_filter
+from tidemark.llm.links import Likeness, bucket_components, in_filter, passes, row_filter
 
 BLOCKS = 6
 #: Bits in which the SimHashes of a link may differ: an angle of 45 degrees.
 MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
-#: A wide comparison: lines of fewer words have all blocks, others WIDE_BLOCKS of words; 3 of a SimHash's 24 bytes are a block.
-FEW_WORDS, WIDE_BLOCKS, FEW_BLOCKS = 20, 20, 44
-#: Lines of few words and at most so many code points have blocks of 2 bytes of trigrams besides.
-SHORT_POINTS = 40
-
-
-def _triples() -> list[tuple[int, int, int]]:
-    """FEW_BLOCKS different threes of the numbers 0 to 23, of which any two share one number at most; the first ones use all alike."""
-    out, pairs, used = [], set(), [0] * 24
-    while len(out) < FEW_BLOCKS:
-        free = ((used[a] + used[b] + used[c], a, b, c) for a in range(24) for b in range(a) for c in range(b) if not {(a, b), (a, c), (b, c)} & pairs)
-        _, a, b, c = min(free)
-        out.append((a, b, c))
-        pairs |= {(a, b), (a, c), (b, c)}
-        for x in (a, b, c):
-            used[x] += 1
-    return out
-
-
-TRIPLES = _triples()
-PAIRS = [(a, (a + d) % 24) for d in (1, 5) for a in range(24)]
+#: A wide comparison: classes of features of a line, by its number of features: 2**j classes from LOW_* times as many on, to SPAN times that; only the first CLASSES of them.
+LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 1.75, 1.2, 2.57, 9, 28
+#: Features of a class without which it is no block: one or two q-grams are common to too many lines.
+LEAST_GRAMS, LEAST_PAIRS = 3, 2
+#: Lines of fewer words than GRAM_WORDS have blocks of their bytes' 5-grams, those of up to SHORT_BYTES of 3-grams too; lines of PAIR_WORDS or more, of pairs of words.
+GRAM_WORDS, PAIR_WORDS, SHORT_BYTES = 24, 18, 40
+#: Lines of up to so many bytes have blocks for what is left without one or two bytes.
+TINY_BYTES = 12
+#: Bytes of a block.
+BLOCK_BYTES = 6
+#: A line that makes up so small a part of all lines, or more, is common.
+COMMON = 20_000
 
 
 def line_bounds(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,6 +73,19 @@ def line_names(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def _majority(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit hashes: 8 bytes a row for each run of n from ``at`` on; a bit is set when it is in more than half of the run's hashes."""
+    parts = -(-n // 255)  # sums of 255 hashes fit in a byte
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(at, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    ones = np.uint64(0x0101010101010101)
+    sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=1).view(np.uint8).reshape(len(x), -1, 8) for k in range(8)])
+    sums = sums.transpose(2, 1, 3, 0)
+    if len(first) < len(begin):
+        sums = np.add.reduceat(sums.astype(np.uint32), first, axis=0)
+    return np.packbits((sums > (n // 2)[:, None, None, None]).reshape(len(n), -1), axis=1)
+
+
 def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Of each line of n words, n > 0: BLOCKS blocks of 4 bytes; a bit is set when it is in more than half of the hashes of the line's different words.
 
@@ -86,21 +98,11 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     own = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40)) | (h >> np.uint64(24)))
     n = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=len(n))
     x = np.stack([mix((own << np.uint64(24)) + r) for r in randoms(BLOCKS // 2, 41)])
-    at = np.cumsum(n) - n
-    parts = -(-n // 255)  # sums of 255 words fit in a byte
-    first = np.cumsum(parts) - parts
-    begin = np.repeat(at, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
-    ones = np.uint64(0x0101010101010101)
-    sums = np.stack([np.add.reduceat(x >> np.uint64(k) & ones, begin, axis=1).view(np.uint8).reshape(len(x), -1, 8) for k in range(8)])
-    sums = sums.transpose(2, 1, 3, 0)
-    if len(first) < len(begin):
-        sums = np.add.reduceat(sums.astype(np.uint32), first, axis=0)
-    bits = sums > (n // 2)[:, None, None, None]
-    return np.packbits(bits.reshape(len(n), -1), axis=1)
+    return _majority(x, np.cumsum(n) - n, n)
 
 
-def trigrams(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the byte trigrams of each line of n words, n > 0, with a space before, between and behind words, and how many a line has."""
+def byte_grams(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the byte q-grams of each line of n words, n > 0, with a space before, between and behind words, and how many a line has."""
     size = last - first
     line = np.repeat(np.arange(len(n)), n)
     length = np.bincount(line, weights=size + 1, minlength=len(n)).astype(np.int64) + 1
@@ -108,31 +110,89 @@ def trigrams(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarra
     step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
     v = np.full(int(length.sum()), values[32])
     v[np.repeat(at, size) + step] = values[data[np.repeat(first, size) + step]]
-    h = grams(v, 3)
-    ends = np.cumsum(length)
-    inside = np.ones(len(v), dtype=bool)
-    inside[ends - 1] = inside[ends - 2] = False
-    return h[inside[: len(h)]], length - 2
-
-
-def wide_sketches(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Of each line of n words, n > 0: 52 bytes: SimHash of words, then of trigrams (zeros where a line has many words), then the length in code points."""
-    out = np.zeros((len(n), 52), dtype=np.uint8)
-    if len(n):
-        out[:, :24] = simhashes(h, n)
-        few = n < FEW_WORDS
-        own = np.repeat(few, n)
-        if few.any():
-            out[few, 24:48] = simhashes(*trigrams(data, first[own], last[own], n[few], values))
-        points = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
-        length = np.add.reduceat(points[last] - points[first], np.cumsum(n) - n) + n - 1
-        out[:, 48:] = length.astype(">u4").view(np.uint8).reshape(-1, 4)
-    return out
+    count = np.maximum(length - q + 1, 0)
+    return grams(v, q)[np.repeat(np.cumsum(length) - length - np.cumsum(count) + count, count) + np.arange(count.sum())], count
+
+
+def word_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each line's pairs of neighbouring words, with its beginning and end as one more word, and how many a line has."""
+    v = np.full(len(h) + len(n) + 1, np.uint64(77))
+    v[np.arange(len(h)) + np.repeat(np.arange(len(n)), n) + 1] = h
+    return grams(v, 2), n + 1
+
+
+def class_blocks(h: np.ndarray, n: np.ndarray, kind: int, low: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(line, block) of lines of n features each: a block is the SimHash of a line's features in one class, with the class.
+
+    A feature's class is a part of its hash, and of a line's 2**j classes each has a few features.
+    So a change of a line touches a few of its blocks only, and lines whose features differ in
+    fewer than they have blocks share one. Lines whose number of features suits two j have blocks
+    for both. Classes of fewer than ``least`` features give no block.
+    """
+    lines, blocks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
+    at = np.cumsum(n) - n
+    for j in range(1, MOST_CLASSES + 1):
+        rows = np.flatnonzero((n >= low * 2**j) & ((n < low * SPAN * 2**j) | (j == MOST_CLASSES)))
+        if not len(rows):
+            continue
+        x = h[np.repeat(at[rows] - np.cumsum(n[rows]) + n[rows], n[rows]) + np.arange(n[rows].sum())]
+        x = np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(40), n[rows]) | mix(x + np.uint64(j)) >> np.uint64(24)
+        if 1 << j > CLASSES:
+            x = x[(x >> np.uint64(40 - j) & np.uint64((1 << j) - 1)) < CLASSES]
+        x = np.sort(x)
+        x = x[np.append(True, x[1:] != x[:-1])[: len(x)]]  # a feature counts once
+        group = x >> np.uint64(40 - j)
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(x)])
+        size = np.diff(np.append(first, len(x)))
+        x, first, size = x[np.repeat(size >= least, size)], first[size >= least], size[size >= least]
+        if not len(first):
+            continue
+        group, first = group[first], np.cumsum(size) - size
+        lines.append(rows[(group >> np.uint64(j)).astype(np.int64)])
+        signs = _majority(mix(x & np.uint64((1 << 40) - 1))[None], first, size)
+        blocks.append(mix(signs.view(np.uint64).ravel() ^ mix(group & np.uint64((1 << j) - 1) | np.uint64((kind << 8 | j) << 32))))
+    return np.concatenate(lines), np.concatenate(blocks)
+
+
+def _shortened(lines: list[bytes]) -> tuple[list[int], list[int]]:
+    """(line, block) for what is left of each line without one or two of its bytes, and for the whole of it."""
+    from hashlib import blake2b
+    from itertools import combinations
+
+    rows, blocks = [], []
+    for i, line in enumerate(lines):
+        left = {bytes(b for k, b in enumerate(line) if k not in gone) for away in range(3 if len(line) > 9 else 2) for gone in combinations(range(len(line)), away)}
+        rows += [i] * len(left)
+        blocks += [int.from_bytes(blake2b(b"-" + x, digest_size=8).digest(), "little") for x in left]
+    return rows, blocks
+
+
+def wide_blocks(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Of each line of n words, n > 0: its blocks, BLOCK_BYTES each, side by side, and its length in code points."""
+    points = np.concatenate([[0], np.cumsum(data & 0xC0 != 0x80)])
+    begin = np.cumsum(n) - n
+    length = np.add.reduceat(points[last] - points[first], begin) + n - 1 if len(n) else n
+    size = np.add.reduceat(last - first, begin) + n - 1 if len(n) else n
+    rows, blocks = [], []
+    for kind, (q, low, least, chosen) in enumerate(((5, LOW_GRAMS, LEAST_GRAMS, n < GRAM_WORDS), (3, LOW_GRAMS, LEAST_GRAMS, size <= SHORT_BYTES), (0, LOW_PAIRS, LEAST_PAIRS, n >= PAIR_WORDS))):
+        own, some = np.repeat(chosen, n), np.flatnonzero(chosen)
+        if len(some):
+            features = byte_grams(data, first[own], last[own], n[some], values, q) if q else word_pairs(h[own], n[some])
+            line, block = class_blocks(*features, kind, low, least)
+            rows.append(some[line])
+            blocks.append(block)
+    tiny = np.flatnonzero(size <= TINY_BYTES)
+    line, block = _shortened([b" ".join(data[a:b].tobytes() for a, b in zip(first[x : x + k], last[x : x + k])).lower() for x, k in zip(begin[tiny], n[tiny])])
+    rows, blocks = np.concatenate([*rows, tiny[line]]).astype(np.int64), np.concatenate([*blocks, np.array(block, dtype=np.uint64)])
+    order = np.argsort(rows, kind="stable")
+    raw = np.ascontiguousarray(blocks[order].view(np.uint8).reshape(-1, 8)[:, :BLOCK_BYTES]).tobytes()
+    ends = np.cumsum(np.bincount(rows, minlength=len(n))) * BLOCK_BYTES
+    return [raw[a:b] for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)], length
 
 
 def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, h (a hash of its text), n_lines, and for lines with words arrays of their numbers, names and SimHashes (null for short lines)."""
-    width = 52 if wide else 4 * BLOCKS
+    """Per row: id, h (a hash of its text), n_lines, and for lines with words arrays of their numbers, names and SimHashes (null for short lines, and if ``wide``)."""
+    width = 4 * BLOCKS
 
     def name(batches):
         import pyarrow as pa
@@ -146,17 +206,15 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = Fal
                 full = np.flatnonzero(n > 0)
                 names, long = line_names(h, n)[full], n[full] >= min_words
                 names[~long] = mix(names[~long] ^ mix(own[row + text[full[~long]]])[:, None])
-                if wide:
-                    blocks = wide_sketches(data, h, first, last, n[full], table[1])
-                else:
-                    blocks = simhashes(h, n[full]) if len(full) else np.zeros((0, width), dtype=np.uint8)
+                hashed = np.zeros(len(full), dtype=bool) if wide else long
+                blocks = simhashes(h, n[full]) if len(full) and not wide else np.zeros((0 if wide else len(full), width), dtype=np.uint8)
                 count = np.bincount(text, minlength=len(starts))
                 lists = np.concatenate([[0], np.cumsum(np.bincount(text[full], minlength=len(starts)))]).astype(np.int32)
                 numbers = (full - (np.cumsum(count) - count)[text[full]]).astype(np.int32)
                 raw = names.tobytes()
                 each = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(full), [None, pa.py_buffer(raw)]).cast(pa.binary())
-                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(full), [None, pa.py_buffer(blocks.tobytes())]).cast(pa.binary())
-                sketches = sketches.filter(pa.array(long)).take(pa.array(np.cumsum(long) - 1, mask=~long))
+                sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(blocks), [None, pa.py_buffer(blocks.tobytes())]).cast(pa.binary())
+                sketches = pa.nulls(len(full), pa.binary()) if wide else sketches.filter(pa.array(hashed)).take(pa.array(np.cumsum(hashed) - 1, mask=~hashed))
                 arrays = [batch.column(0).slice(row, len(starts)), batch.column(1).slice(row, len(starts)), pa.array(count.astype(np.int32))]
                 arrays += [pa.ListArray.from_arrays(pa.array(lists), x) for x in (pa.array(numbers), each, sketches)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["id", "h", "n_lines", "lines", "nodes", "sketches"])
@@ -166,8 +224,34 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = Fal
     return docs.select(i.alias("id"), F.xxhash64(text).alias("h"), F.xxhash64(i, text).alias("own"), text.alias("text")).mapInArrow(name, f"id {kind}, h long, n_lines int, lines array<int>, nodes array<binary>, sketches array<binary>")
 
 
-def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, line): the normalised text of each line named in ``nodes`` (node, and h of a text that has it), once."""
+def blocked_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, size, blocks) of each different line that has blocks; ``nodes`` (node, n) says how often each occurs."""
+    spark = docs.sparkSession
+    often = spark.sparkContext.broadcast(row_filter(nodes.where("n > 1").select("node")))
+
+    def block(batches):
+        import pyarrow as pa
+
+        table = byte_table(SEPARATORS)
+        for batch in batches:
+            for _, data, starts, ends in chunks(batch.column(0)):
+                begin, end, _ = line_bounds(data, starts, ends)
+                h, first, last, n = words(data, begin, end, table)
+                names, n = line_names(h, n)[n > 0], n[n > 0]
+                blocks, size = wide_blocks(data, h, first, last, n, table[1])
+                again = passes(often.value, np.ascontiguousarray(names[:, 0]))
+                keep = {names[i].tobytes(): i for i, x in enumerate(blocks) if x}  # once in a chunk
+                rows = list(keep.values())
+                arrays = [pa.array(list(keep), pa.binary()), pa.array(size[rows], pa.int64()), pa.array([blocks[i] for i in rows], pa.binary()), pa.array(again[rows])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "blocks", "again"])
+
+    found = staged(docs.select(docs[text_col].alias("text")).where("text IS NOT NULL").mapInArrow(block, "node binary, size long, blocks binary, again boolean"), "blocks")
+    several = staged(found.where("again").drop("again").dropDuplicates(["node"]), "blocks")
+    return found.where("NOT again").drop("again").union(several)
+
+
+def normal_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
+    """(node, full): the normalised text of each line named in ``nodes`` (node, and h of a text that has it), once, as UTF-8."""
     spark = docs.sparkSession
     bits, holders = (spark.sparkContext.broadcast(row_filter(nodes.select(c))) for c in ("node", "h"))
 
@@ -181,12 +265,15 @@ def _normal_texts(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
                 begin, end, _ = line_bounds(data, starts, ends)
                 h, first, last, n = words(data, begin, end, table)
                 names, at = line_names(h, n), np.cumsum(n)
-                rows = np.flatnonzero((n > 0) & passes(bits.value, names[:, 0]))
-                lines = [b" ".join(data[a:b].tobytes() for a, b in zip(first[at[i] - n[i] : at[i]], last[at[i] - n[i] : at[i]])).lower() for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([names[i].tobytes() for i in rows], pa.binary()), pa.array(lines, pa.binary()).cast(pa.string())], names=["node", "line"])
+                rows = np.flatnonzero((n > 0) & passes(bits.value, np.ascontiguousarray(names[:, 0])))
+                lines = {names[i].tobytes(): b" ".join(data[a:b].tobytes() for a, b in zip(first[at[i] - n[i] : at[i]], last[at[i] - n[i] : at[i]])).lower() for i in rows}
+                yield pa.RecordBatch.from_arrays([pa.array(list(lines), pa.binary()), pa.array(list(lines.values()), pa.binary())], names=["node", "full"])
 
     own = docs.where(docs[text_col].isNotNull()).select(F.xxhash64(docs[text_col]).alias("h"), docs[text_col].alias("text"))
-    return own.mapInArrow(texts, "node binary, line string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    out = staged(own.mapInArrow(texts, "node binary, full binary").join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    bits.destroy()
+    holders.destroy()
+    return out
 
 
 def within(x: str, y: str, most: int) -> bool:
@@ -239,34 +326,54 @@ def far(x: str, y: str, most: int) -> bool:
     return max(int(gone[gone > 0].sum()), -int(gone[gone < 0].sum())) > 3 * most
 
 
-def similar_pairs(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts (node, line) have an edit distance of at most 100 - ``percent`` hundredths of the longer."""
-
-    def judge(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            both = [(x, y, max(len(x), len(y)) * (100 - percent) // 100) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            keep = [not far(*x) and within(*x) for x in both]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda x, y: texts.select(F.col("node").alias(x), F.col("line").alias(y))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(judge, "a binary, b binary")
+def near(x: str, y: str, most: int) -> bool:
+    """Whether words that both texts have once, in the same order, prove an edit distance of ``most`` or less: what lies between them is replaced place by place."""
+    a, b = x.split(" "), y.split(" ")
+    seen_a, seen_b = ({} for _ in range(2))
+    for own, seen in ((a, seen_a), (b, seen_b)):
+        for i, w in enumerate(own):
+            seen[w] = -1 if w in seen else i
+    ends: list[int] = []  # the least last place of an ascending chain of each length
+    chain, before = [], []
+    for w, i in seen_a.items():
+        j = seen_b.get(w, -1)
+        if i >= 0 and j >= 0:
+            k = bisect_left(ends, j, key=lambda e: chain[e][1])
+            before.append(ends[k - 1] if k else -1)
+            ends[k : k + 1] = [len(chain)]
+            chain.append((i, j))
+    anchors, e = [(len(a), len(b))], ends[-1] if ends else -1
+    while e >= 0:
+        anchors.append(chain[e])
+        e = before[e]
+    cost, p, q = 0, 0, 0
+    for i, j in reversed(anchors):
+        if a[p:i] != b[q:j]:
+            u, v = " ".join(a[p:i]), " ".join(b[q:j])
+            cost += sum(map(ne, u, v)) + abs(len(u) - len(v)) + ((p == i) != (q == j))
+            if cost > most:
+                return False
+        p, q = i + 1, j + 1
+    return True
+
+
+def similar(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two lines have an edit distance of at most 100 - ``percent`` hundredths of the longer."""
+    a, b = x.decode("utf-8", "replace"), y.decode("utf-8", "replace")
+    most = max(len(a), len(b)) * (100 - percent) // 100
+    return near(a, b, most) or not far(a, b, most) and within(a, b, most)
 
 
 def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str, wide: bool = False) -> DataFrame:
-    """(node, component) of the lines that links connect; ``nodes`` is a stored table (node, sketch, first), sketch null for lines that are compared exactly only."""
-    size = F.conv(F.hex(F.substring("sketch", 49, 4)), 16, 10).cast("long") if wide else F.lit(0).cast("long")
-    own = nodes.where("sketch IS NOT NULL").select("node", "sketch", size.alias("size"))
+    """(node, component) of the lines that links connect; ``nodes`` is a stored table (node, sketch, first, n), sketch null for lines that are compared exactly only."""
     if wide:
-        own = staged(own, "sketches")
-        few = F.substring("sketch", 25, 24) != F.lit(bytes(24))
-        threes = [[x + 1 for x in t] for t in TRIPLES] + [[x + 25 for x in t] for t in TRIPLES] + [[a + 25, b + 25, b + 25] for a, b in PAIRS]
-        chosen = F.slice(F.lit(threes), F.lit(1), F.when(few & (F.col("size") <= SHORT_POINTS), F.lit(len(threes))).when(few, F.lit(2 * FEW_BLOCKS)).otherwise(F.lit(WIDE_BLOCKS)))
-        blocks = F.transform(chosen, lambda t: F.concat(*[F.substring("sketch", t[i], F.lit(1)) for i in range(3)]))
+        own = blocked_lines(docs, nodes, text_col)
+        places = F.sequence(F.lit(0), (F.length("blocks") / BLOCK_BYTES - 1).cast("int"))
+        buckets = F.transform(places, lambda i: F.xxhash64(F.substring("blocks", i * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))))
+        own = own.withColumn("sketch", F.lit(b"-"))
     else:
-        blocks = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.substring("sketch", i * 4 + 1, F.lit(4)))
+        own = nodes.where("sketch IS NOT NULL").select("node", "sketch", F.lit(0).cast("long").alias("size"))
+        buckets = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 4 + 1, F.lit(4))))
 
     def plausible(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         if wide:
@@ -274,12 +381,26 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str,
             return longer - np.minimum(n, m) <= longer * (100 - percent) // 100
         return np.bitwise_count(left ^ right).sum(axis=1) <= MOST_BITS
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def full_objects(ends: DataFrame) -> DataFrame:
         ends = staged(nodes.join(ends, "node", "left_semi").select("node", F.col("first.h").alias("h")), "ends")
-        return similar_pairs(pairs, staged(_normal_texts(docs, ends, text_col), "texts"), percent)
+        out = normal_lines(docs, ends, text_col)
+        release(ends)
+        return out
 
-    return bucket_components(own, blocks, plausible, verify)
+    like = Likeness(lambda *x: plausible(*x).astype(float), plausible, lambda x, y: similar(x, y, percent), 1, clusters=False)
+    return bucket_components(own, buckets, like, full_objects)
+
+
+def in_names(bits):
+    """A column function: which of a column of names a broadcast filter lets pass."""
+
+    @F.pandas_udf("boolean")
+    def likely(names):
+        import pandas as pd
+
+        return pd.Series(passes(bits.value, np.frombuffer(b"".join(names), dtype=np.uint64)[::2]))
+
+    return likely
 
 
 def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS, *, wide: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,18 +412,18 @@ def dropped_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS
     nodes = staged(nodes, "nodes")
     named = nodes.select("node", "first", "n").join(line_groups(docs, nodes, percent, text_col, wide), "node", "left")
     joined = named.where("component IS NOT NULL")
-    keepers = joined.join(joined.groupBy("component").agg(F.min("first").alias("keeper")), "component").where("n > 1 OR first <> keeper").select("node", F.col("keeper").alias("first"))
-    keepers = staged(keepers.union(named.where("component IS NULL AND n > 1").select("node", "first")), "keepers")
-    bits = docs.sparkSession.sparkContext.broadcast(row_filter(keepers.select("node")))
-
-    @F.pandas_udf("boolean")
-    def likely(names):
-        import pandas as pd
-
-        return pd.Series(passes(bits.value, np.frombuffer(b"".join(names), dtype=np.uint64)[::2]))
-
-    gone = places().select("id", "h", F.col("x.lines").alias("line"), F.col("x.nodes").alias("node")).where(likely("node")).join(keepers, "node")
-    gone = gone.where(F.struct(F.col("id").isNull().alias("none"), "id", "h", "line") != F.col("first")).select("id", "h", "line").distinct()
+    keepers = joined.join(joined.groupBy("component").agg(F.min("first").alias("keeper")), "component").where("n > 1 OR first <> keeper").select("node", F.col("keeper").alias("first"), "n")
+    keepers = staged(keepers.union(named.where("component IS NULL AND n > 1").select("node", "first", "n")), "keepers")
+    likely = in_names(docs.sparkSession.sparkContext.broadcast(row_filter(keepers.select("node"))))
+
+    # Lines that make up a COMMON-th of all are fewer than COMMON, so their keepers go to the tasks; the others are met by their names.
+    total = nodes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    common = F.col("n") * COMMON >= F.lit(total)
+    each = places().select(F.struct(F.col("id").isNull().alias("none"), "id", "h", F.col("x.lines").alias("line")).alias("place"), F.col("x.nodes").alias("node"))
+    each = each.where(likely("node")).join(F.broadcast(keepers.where(common).select("node", F.col("first").alias("kept"))), "node", "left")
+    gone = each.where("kept IS NOT NULL AND place <> kept").select("place")
+    rest = each.where("kept IS NULL").join(keepers.where(~common).select("node", "first"), "node").where("place <> first").select("place")
+    gone = gone.union(rest).select("place.id", "place.h", "place.line").distinct()
     return gone.groupBy("id", "h").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
 
 
@@ -333,17 +454,11 @@ def dedup_lines(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS,
 
         return pd.Series(out, dtype=object)
 
-    @F.pandas_udf("boolean")
-    def likely(hashes):
-        import pandas as pd
-
-        return pd.Series(passes(bits.value, hashes.to_numpy()))
-
     own = docs.drop("n_lines", "dropped_lines")
     lines = F.when(F.col(text_col).isNotNull(), F.size(F.split(text_col, "\n", -1))).alias("n_lines")
     none = F.array().cast("array<int>")
     # Texts that lose nothing stay in their tasks.
-    touched = likely(F.xxhash64(own[text_col]))
+    touched = in_filter(bits)(F.xxhash64(own[text_col]))
     same = own.where(~touched).select(*own.columns, lines, none.alias("dropped_lines"))
     some = own.where(touched)
     some = some.join(found, some[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(some[text_col]) == found["_h"]), "left")

@@ -4,7 +4,8 @@ A bucket may hold a large share of all nodes, so its pairs are not listed. First
 compared with the hub of each of its buckets, the least node; the links found connect most of a
 true group. Buckets whose nodes are still in different groups are then compared tile by tile, by
 sketches, and groups with a plausible pair form a cluster. Last, clusters are compared in tiles
-with the full objects. A tile joins groups as it goes and returns only the pairs that joined two,
+with the full objects; where sketches tell too little, buckets are. Of buckets with the same
+nodes one is looked at. A tile joins groups as it goes and returns only the pairs that joined two,
 fewer than it has nodes. So no candidate link that would join two groups is missed, and what is
 stored grows with the nodes alone.
 """
@@ -47,6 +48,8 @@ class Likeness:
     confirm: Callable[[bytes, bytes], bool]
     #: Bytes of a full object for each unit of a node's size, about.
     unit: int
+    #: Whether sketches tell strangers apart: then groups with a plausible pair form clusters, and full objects are compared within these; else within buckets.
+    clusters: bool = True
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -247,16 +250,17 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def bucket_components(nodes: DataFrame, keys: F.Column, like: Likeness, full_objects: Fulls) -> DataFrame:
+def bucket_components(nodes: DataFrame, buckets: F.Column, like: Likeness, full_objects: Fulls) -> DataFrame:
     """(node, component) for all nodes that a chain of links connects to others.
 
-    ``nodes`` is a stored table (node, sketch, size) of binary names and sketches; ``keys`` an
-    array, the key of each band, a node being in a bucket for each that isn't null. Links are
-    pairs that ``like`` confirms, of those that share a bucket or are in a cluster, and are plausible.
+    ``nodes`` is a stored table (node, sketch, size) of binary names and sketches; ``buckets`` an
+    array of longs, a node's buckets. Links are pairs that ``like`` confirms, of those that share
+    a bucket or are in a cluster, and are plausible.
     """
-    keys = F.filter(F.transform(keys, lambda k, i: F.when(k.isNotNull(), F.xxhash64(i, k))), lambda x: x.isNotNull())
-    members = shared_buckets(nodes.select("node", keys.alias("buckets")))
-    crowded = staged(members.join(members.groupBy("bucket").agg(F.min("node").alias("hub")), "bucket"), "crowded")
+    members = shared_buckets(nodes.select("node", buckets.alias("buckets")))
+    same = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    same = same.groupBy("hub", "n", "x", "y").agg(F.min("bucket").alias("bucket")).where("n > 1").select("bucket", "hub")
+    crowded = staged(members.join(same, "bucket"), "crowded")
     release(members)
     likely = staged(plausible_pairs(crowded.where("hub < node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes, like.plausible), "likely")
     fulls = full_objects(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -268,13 +272,15 @@ def bucket_components(nodes: DataFrame, keys: F.Column, like: Likeness, full_obj
     mixed = rest.groupBy("bucket").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("bucket")
     rest = staged(rest.join(mixed, "bucket", "left_semi").join(nodes, "node").select("bucket", "node", "component", "size", "sketch"), "rest")
     release(crowded)
-    clusters = connected_components(tiles(rest, like)).select(F.col("node").alias("component"), F.col("component").alias("bucket"))
-    every = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    every = staged(every.join(clusters, "component").select("bucket", "node", "component", "size", "sketch"), "every")
-    release(rest)
-    fulls = full_objects(every.select("node"))
-    more = staged(tiles(every.join(fulls, "node"), like), "links")
-    release(every, fulls, groups)
+    if like.clusters:
+        clusters = connected_components(tiles(rest, like)).select(F.col("node").alias("component"), F.col("component").alias("bucket"))
+        every = nodes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        every = staged(every.join(clusters, "component").select("bucket", "node", "component", "size", "sketch"), "every")
+        release(rest)
+        rest = every
+    fulls = full_objects(rest.select("node").distinct())
+    more = staged(tiles(rest.join(fulls, "node"), like), "links")
+    release(rest, fulls, groups)
     out = staged(connected_components(links.union(more)), "groups")
     release(links, more)
     return out

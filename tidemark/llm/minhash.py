@@ -133,7 +133,7 @@ def groups(docs: DataFrame, k: int, percent: int, *, id_col: str = "doc_id", tex
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"), F.min("x").alias("x"))
     nodes = staged(nodes, "nodes")
     width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * width + 1, F.lit(width)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width))))
     judge = lambda f: lambda left, right, n, m: f(left.view("<u2"), right.view("<u2"), n.astype(np.float64), m.astype(np.float64), percent / 100)
 
     def fulls(ends: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import id_text, staged
 from tidemark.llm.kernels import chunks
 
-#: Different words whose tokens a Python worker remembers, from one task to the next.
-REMEMBERED = 200_000
+#: Bytes of different words and their tokens that a Python worker remembers, from one task to the next; about WORD_BYTES more for each.
+REMEMBERED, WORD_BYTES = 24 << 20, 120
 #: Words encoded in one call.
 LOT = 500
 #: About so many pieces of one length are ranked in one group at most.
@@ -66,7 +66,7 @@ class WordTokens:
         return kept.tokens
 
     def forget(self) -> None:
-        self.words = _Words()
+        self.words, self.held = _Words(), 0
         self.flat, self.first = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
 
     def _encode(self, new: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -83,7 +83,7 @@ class WordTokens:
 
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For texts that lie side by side in ``data``: all ids in a row, and how many each text has."""
-        if len(self.words) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.forget()
         letter = (data | 32) - np.uint8(97) < 26
         stop = (data == 44) | (data == 46)
@@ -99,6 +99,7 @@ class WordTokens:
             ids, sizes = self._encode([x.decode("utf-8", "replace") for x in new])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
             self.flat = np.concatenate([self.flat, *ids])
+            self.held += sum(len(x) + WORD_BYTES for x in new) + 4 * sum(map(len, ids))
             self.words.new = []
         first = self.first[known]
         sizes = self.first[known + 1] - first
@@ -139,6 +140,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, *,
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
                 arrays = [ids_of.take(pa.array(rows))] + [pa.array(x, type=t) for x, t in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
+        if tokens.held > REMEMBERED:
+            tokens.forget()
 
     return id_text(docs, id_col, text_col).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 

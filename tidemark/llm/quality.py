@@ -13,6 +13,7 @@ import math
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import staged
 from tidemark.llm.kernels import byte_table, chunks, randoms, words
@@ -68,8 +69,9 @@ def statistics(texts) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros((0, len(STATISTICS)))
 
 
-def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, x: array<double> of STATISTICS) of each row."""
+def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """(id, x: array<double> of STATISTICS) of each row, and its own columns as c0, c1 ... if they are to be carried."""
+    kept = docs.columns if carry else []
 
     def measure(batches):
         import pyarrow as pa
@@ -77,10 +79,13 @@ def with_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             x = statistics(batch.column(1))
             at = np.arange(0, x.size + 1, len(STATISTICS), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))], names=["id", "x"])
+            x = pa.ListArray.from_arrays(pa.array(at), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), x, *batch.columns[2:]], names=["id", "x", *batch.schema.names[2:]])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(measure, f"id {kind}, x array<double>")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("x", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType(schema.fields + [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(kept)])
+    own = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *[docs[c].alias(f"c{i}") for i, c in enumerate(kept)])
+    return own.mapInArrow(measure, schema)
 
 
 def isotonic(x: np.ndarray, total: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +141,8 @@ def fit(stats: DataFrame, labels: DataFrame, fold: F.Column, *, label_id: str =
     total = known.count()
     if total > sample_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < (1 << 20) * sample_rows / total)
-    rows = staged(stats.join(known, "id").select("x", "y", "fold").coalesce(32), "training")
+    # Of ``known`` there are about ``sample_rows`` at most, so it goes to the statistics, which stay where they are.
+    rows = staged(stats.join(F.broadcast(known), "id").select("x", "y", "fold").repartition(32), "training")
     size = FEATURES + len(STATISTICS) + 1
 
     def sums(batches):
@@ -205,15 +211,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The rows of ``docs`` that ``score_quality`` predicts good, all columns."""
-    stats = staged(with_statistics(docs, id_col=id_col, text_col=text_col), "statistics")
+    """The rows of ``docs`` that ``score_quality`` predicts good, all columns. Texts are measured once: rows are stored with their statistics."""
+    stats = staged(with_statistics(docs, id_col=id_col, text_col=text_col, carry=True), "statistics")
     model = fit(stats, labels, crc_fold(F.col("id")), label_id=id_col, label_col=label_col)
 
     @F.pandas_udf("double")
-    def score(texts):
+    def score(x):
         import pandas as pd
-        import pyarrow as pa
 
-        return pd.Series(model.score(statistics(pa.array(texts, pa.string(), from_pandas=True))))
+        return pd.Series(model.score(np.stack(x)) if len(x) else [], dtype=float)
 
-    return docs.where(score(docs[text_col]) >= 0.5)
+    return stats.where(score("x") >= 0.5).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
