@@ -2,9 +2,10 @@
 
 Of every window of consecutive k-gram hashes the least is kept, on both sides; a span of
 ``window`` words that a document shares with an item holds one whole window of k-grams, so both
-keep the same fingerprint from it. Shared fingerprints are then extended word by word in both
-directions, and spans of ``window`` words or more are hits. Items shorter than a window must occur
-whole; for them every gram of their length is a fingerprint.
+keep the same fingerprint from it. Texts that share a fingerprint are then looked at whole: each
+of their windows is looked up among the items' windows, and what hits cover is joined, which
+extends a hit as far as it goes. Items shorter than a window must occur whole; for them every gram
+of their length is a fingerprint. Windows are told by hashes, so words that repeat cost no more.
 
 The benchmark is the small side: its blocks, of ``BLOCK_BYTES`` of text each, go to the tasks one
 after the other, so documents are never shuffled and no block outgrows a task.
@@ -41,73 +42,75 @@ def winnow(g: np.ndarray, w: int) -> np.ndarray:
 
 
 class _Lookup:
-    """Rows by a 64-bit hash; a table of bits turns most strangers away."""
+    """Items by a 64-bit hash; a table of bits turns most strangers away."""
 
-    def __init__(self, hashes: np.ndarray, *rows: np.ndarray):
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.rows = hashes[order], [x[order] for x in rows]
+    def __init__(self, hashes: np.ndarray, items: np.ndarray):
+        order = np.lexsort((items, hashes))
+        hashes, items = hashes[order], items[order]
+        first = np.append(True, (hashes[1:] != hashes[:-1]) | (items[1:] != items[:-1]))[: len(hashes)]
+        self.hashes, self.items = hashes[first], items[first]
         self.shift = np.uint64(64 - max(20, 4 + int(len(hashes)).bit_length()))
         self.bits = np.zeros(1 << int(64 - self.shift), dtype=bool)
         self.bits[(hashes >> self.shift).astype(np.int64)] = True
 
-    def pairs(self, g: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(place, *row) for each place of ``at`` and each row with its hash."""
+    def found(self, g: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The places of ``at`` whose hash is there."""
         at = at[self.bits[(g[at] >> self.shift).astype(np.int64)]]
-        low = np.searchsorted(self.hashes, g[at], side="left")
-        n = np.searchsorted(self.hashes, g[at], side="right") - low
-        rows = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else low
-        return np.repeat(at, n), *(x[rows] for x in self.rows)
+        return at[self.hashes[np.minimum(np.searchsorted(self.hashes, g[at]), len(self.hashes) - 1)] == g[at]]
+
+    def items_of(self, g: np.ndarray) -> np.ndarray:
+        """The items that have one of the hashes, each once."""
+        g = np.unique(g)
+        low, high = (np.searchsorted(self.hashes, g, side=x) for x in ("left", "right"))
+        n = high - low
+        return np.unique(self.items[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())])
 
 
 class Items:
-    """Fingerprints of a block of items, (id or None, text) each."""
+    """Fingerprints and windows of a block of items, (id or None, text) each."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int, k: int):
         table = byte_table(SEPARATORS)
         self.window, self.k, self.w, self.table = window, k, window - k + 1, table
-        self.names, self.words = [x for x, _ in items], []
-        prints: list[list[np.ndarray]] = [[], [], []]
-        short: dict[int, list[tuple[int, int]]] = {}
+        self.names = [x for x, _ in items]
+        prints: list[np.ndarray] = []
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for i, (_, text) in enumerate(items):
             raw = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
             h = words(raw, np.array([0]), np.array([len(raw)]), table)[0]
-            self.words.append(h)
             if len(h) >= window:
                 g = grams(h, k)
-                at = np.flatnonzero(winnow(g, self.w))
-                for x, y in zip(prints, (g[at], np.full(len(at), i), at)):
-                    x.append(y)
-            elif len(h):
-                short.setdefault(len(h), []).append((int(grams(h, len(h))[0]), i))
-        self.long = _Lookup(*map(np.concatenate, prints)) if prints[0] else None
-        self.short = {n: _Lookup(np.array([x for x, _ in v], dtype=np.uint64), np.array([i for _, i in v])) for n, v in short.items()}
-
-    def spans(self, h: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, start, end) of hits in ``h``, the words of texts that begin at ``first``; ``last`` ends them, ``doc`` is each word's text."""
-        found = []
-        if self.long is not None and len(h) >= self.window:
-            g = grams(h, self.k)
-            kept = winnow(g, self.w)
-            kept &= doc[: len(g)] == doc[self.k - 1 :]
-            reached: dict[tuple[int, int, int], int] = {}
-            for p, i, q in zip(*(x.tolist() for x in self.long.pairs(g, np.flatnonzero(kept)))):
-                d, own = doc[p], self.words[i]
-                if reached.get((d, i, p - q), -1) >= p:
-                    continue
-                a = 0
-                while a < q and p - a > first[d] and h[p - a - 1] == own[q - a - 1]:
-                    a += 1
-                b = 0
-                while q + b < len(own) and p + b < last[d] and h[p + b] == own[q + b]:
-                    b += 1
-                reached[d, i, p - q] = p + b
-                if a + b >= self.window:
-                    found.append((i, p - a, p + b))
-        for n, lookup in self.short.items():
+                prints.append(np.unique(g[winnow(g, self.w)]))
+            if len(h):
+                g = np.unique(grams(h, min(window, len(h))))
+                windows.setdefault(min(window, len(h)), []).append((g, np.full(len(g), i)))
+        self.prints = _Lookup(np.concatenate(prints), np.zeros(sum(map(len, prints)), dtype=np.int64)) if prints else None
+        self.windows = {n: _Lookup(*map(np.concatenate, zip(*v))) for n, v in windows.items()}
+
+    def hits(self, h: np.ndarray, first: np.ndarray, last: np.ndarray, doc: np.ndarray) -> dict[int, tuple[list[tuple[int, int]], set[int]]]:
+        """{text: (spans, items)} of hits in ``h``, the words of texts that begin at ``first``; ``last`` ends them, ``doc`` is each word's text."""
+        out: dict[int, tuple[list[tuple[int, int]], set[int]]] = {}
+        for n, lookup in self.windows.items():
+            if len(h) < n:
+                continue
+            inside = doc[: len(h) - n + 1] == doc[n - 1 :]
+            if n == self.window:
+                g = grams(h, self.k)
+                kept = winnow(g, self.w)
+                kept &= doc[: len(g)] == doc[self.k - 1 :]
+                near = np.zeros(len(first), dtype=bool)
+                near[doc[self.prints.found(g, np.flatnonzero(kept))]] = True
+                inside &= near[doc[: len(inside)]]
+            if not inside.any():
+                continue
             g = grams(h, n)
-            inside = np.flatnonzero(doc[: len(g)] == doc[n - 1 :][: len(g)])
-            found += [(i, p, p + n) for p, i in zip(*(x.tolist() for x in lookup.pairs(g, inside)))]
-        return found
+            at = lookup.found(g, np.flatnonzero(inside))
+            for own in np.split(at, np.flatnonzero(np.diff(doc[at])) + 1) if len(at) else ():
+                spans, items = out.setdefault(int(doc[own[0]]), ([], set()))
+                ends = np.flatnonzero(np.append(np.diff(own) > n, True))
+                spans += zip(own[np.append(0, ends[:-1] + 1)].tolist(), (own[ends] + n).tolist())
+                items.update(lookup.items_of(g[own]).tolist())
+        return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -161,13 +164,10 @@ def _scan(block, window: int, k: int, width: int, more: bool):
                 counts[row : row + len(n)] = n
                 last = np.cumsum(n)
                 doc = np.repeat(np.arange(len(n)), n)
-                new: dict[int, list[tuple[int, int, int]]] = {}
-                for x in items.spans(h, last - n, last, doc):
-                    new.setdefault(int(doc[x[1]]), []).append(x)
-                for d, found in new.items():
+                for d, (found, own) in items.hits(h, last - n, last, doc).items():
                     at, r = int(last[d] - n[d]), row + d
-                    spans[r] = _merged([*zip(spans[r][::2], spans[r][1::2]), *((a - at, z - at) for _, a, z in found)])
-                    names[r] = sorted({*names[r], *(items.names[i] for i, _, _ in found if items.names[i] is not None)})
+                    spans[r] = _merged([*zip(spans[r][::2], spans[r][1::2]), *((a - at, z - at) for a, z in found)])
+                    names[r] = sorted({*names[r], *(items.names[i] for i in own if items.names[i] is not None)})
             arrays = [*batch.columns[:width], pa.array(counts), pa.array(spans, type=pa.list_(pa.int32())), pa.array(names, type=pa.list_(pa.string()))]
             fields = [*batch.schema.names[:width], "n", "s", "i"]
             yield pa.RecordBatch.from_arrays(arrays + [batch.column(width + 3)] * more, names=fields + ["t"] * more)

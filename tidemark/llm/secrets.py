@@ -11,6 +11,8 @@ from __future__ import annotations
 import json
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
 LEET = str.maketrans("4@8360!157$2", "aabegoilstsz")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])([-/._]?)(?:3[01]|[12]\d|0?[1-9])\2(?:19|20)\d\d)")
 YEAR = re.compile(r"(?:19|20)\d\d")
-LONGEST_WORD = 24
+LONGEST_WORD, LONGEST_WALK, LONGEST_PERIOD, MANY = 24, 24, 8, 16
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -63,6 +65,7 @@ class GuessCost:
 
     def __init__(self, words: dict[str, int]):
         self.words, self.near = words, _neighbours()
+        self.endings = {x[-3:] for x in words}
 
     @staticmethod
     def brute(c: str) -> float:
@@ -82,37 +85,50 @@ class GuessCost:
         return math.log10(rank + 1) + extra
 
     def cost(self, s: str) -> float:
-        """log10 of the guesses, by dynamic programming over the ends of segments."""
+        """log10 of the guesses, by dynamic programming over the ends of segments; time grows with the length alone.
+
+        A walk has LONGEST_WALK keys at most. A repeat has the least of its periods; of those that
+        end at a place, ones of up to MANY times count, and the longest.
+        """
         n = len(s)
         best = [0.0] + [math.inf] * n
         walk = [0] * (n + 1)  # length and turns of the walk that ends here
         turns = [0] * (n + 1)
+        run = [0] * (LONGEST_PERIOD + 1)  # how many characters up to here equal the one a period before
         low = s.lower()
-        dates = {i: m.end() for i in range(n) if (m := DATE.match(s, i))}
+        plain = low.translate(LEET)
+        dates: dict[int, list[int]] = {}
+        for i in range(n):
+            if s[i] in "0123456789" and (m := DATE.match(s, i)):
+                dates.setdefault(m.end(), []).append(i)
         for j in range(1, n + 1):
             c = low[j - 1]
-            best[j] = min(best[j], best[j - 1] + self.brute(s[j - 1]))
+            top = best[j - 1] + self.brute(s[j - 1])
             if j > 1 and c in self.near.get(low[j - 2], ()):
                 walk[j] = walk[j - 1] + 1
                 turns[j] = turns[j - 1] + (j > 2 and walk[j - 1] > 0 and self._way(low[j - 3], low[j - 2]) != self._way(low[j - 2], c))
-                for size in range(3, walk[j] + 2):
+                for size in range(3, min(walk[j] + 1, LONGEST_WALK) + 1):
                     t = turns[j] - turns[j - size + 2]
-                    best[j] = min(best[j], best[j - size] + math.log10(47 * size) + math.log10(5) * (t + 1))
-            for i in range(max(0, j - LONGEST_WORD), j - 2):
-                if (w := self.word(s[i:j])) is not None:
-                    best[j] = min(best[j], best[i] + w)
+                    top = min(top, best[j - size] + math.log10(47 * size) + math.log10(5) * (t + 1))
+            if plain[j - 3 : j] in self.endings or low[j - 3 : j] in self.endings:
+                for i in range(max(0, j - LONGEST_WORD), j - 2):
+                    if (w := self.word(s[i:j])) is not None:
+                        top = min(top, best[i] + w)
             if j >= 4 and YEAR.fullmatch(s, j - 4, j):
-                best[j] = min(best[j], best[j - 4] + math.log10(200))
-            for i, end in dates.items():
-                if end == j:
-                    best[j] = min(best[j], best[i] + math.log10(365 * 200 * 4))
-            for period in range(1, min(8, j // 2) + 1):
-                block, times = s[j - period : j], 1
-                while s[j - period * (times + 1) : j - period * times] == block and j - period * (times + 1) >= 0:
-                    times += 1
-                    start = j - period * times
-                    unit = min(sum(map(self.brute, block)), self.word(block) if period > 2 and self.word(block) is not None else math.inf)
-                    best[j] = min(best[j], best[start] + unit + math.log10(times))
+                top = min(top, best[j - 4] + math.log10(200))
+            for i in dates.get(j, ()):
+                top = min(top, best[i] + math.log10(365 * 200 * 4))
+            found = False
+            for period in range(1, min(LONGEST_PERIOD, j - 1) + 1):
+                run[period] = run[period] + 1 if s[j - 1] == s[j - 1 - period] else 0
+                if not found and run[period] >= period:
+                    found, block, longest = True, s[j - period : j], run[period] // period + 1
+                    unit = sum(map(self.brute, block))
+                    if period > 2 and (w := self.word(block)) is not None:
+                        unit = min(unit, w)
+                    for times in {*range(2, min(longest, MANY) + 1), longest}:
+                        top = min(top, best[j - period * times] + unit + math.log10(times))
+            best[j] = top
         return best[n]
 
     @staticmethod
@@ -124,11 +140,11 @@ def find_spans(text: str, costs: GuessCost, secret: float = SECRET) -> tuple[lis
     """Base spans (kind, start, end) by start, then kind; and added ones with their costs: context values that cost enough and lie in no base span."""
     base = [(kind, *m.span()) for kind, (pattern, group, least) in BASE.items() for m in pattern.finditer(text) if len(m[group]) >= least]
     base.sort(key=lambda x: (x[1], KINDS.index(x[0])))
-    added = []
+    begins, ends, added = [x[1] for x in base], [0, *accumulate((x[2] for x in base), max)], []
     for m in CONTEXT.finditer(text):
         group = m.lastindex
         start, end = m.span(group)
-        if not any(a <= start and end <= b for _, a, b in base) and (cost := costs.cost(m[group])) >= secret:
+        if ends[bisect_right(begins, start)] < end and (cost := costs.cost(m[group])) >= secret:
             added.append(("guess", start, end, cost))
     return base, added
 
