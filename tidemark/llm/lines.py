@@ -37,9 +37,9 @@ MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
 #: A wide comparison: classes of features of a line, by its number of features: 2**j classes from LOW_* times as many on, to SPAN times that; only the first CLASSES of them.
-LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 1.75, 1.2, 2.57, 9, 28
-#: Features of a class without which it is no block: one or two q-grams are common to too many lines.
-LEAST_GRAMS, LEAST_PAIRS = 3, 2
+LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 2.5, 1.75, 2.57, 9, 28
+#: Features of a class without which it is no block: one or two are common to too many lines.
+LEAST = 3
 #: Lines of fewer words than GRAM_WORDS have blocks of their bytes' 5-grams, those of up to SHORT_BYTES of 3-grams too; lines of PAIR_WORDS or more, of pairs of words.
 GRAM_WORDS, PAIR_WORDS, SHORT_BYTES = 24, 18, 40
 #: Lines of up to so many bytes have blocks for what is left without one or two bytes.
@@ -121,7 +121,7 @@ def word_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams(v, 2), n + 1
 
 
-def class_blocks(h: np.ndarray, n: np.ndarray, kind: int, low: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+def class_blocks(h: np.ndarray, n: np.ndarray, kind: int, low: float, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(line, block) of lines of n features each: a block is the SimHash of a line's features in one class, with the class.
 
     A feature's class is a part of its hash, and of a line's 2**j classes each has a few features.
@@ -174,11 +174,11 @@ def wide_blocks(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.nda
     length = np.add.reduceat(points[last] - points[first], begin) + n - 1 if len(n) else n
     size = np.add.reduceat(last - first, begin) + n - 1 if len(n) else n
     rows, blocks = [], []
-    for kind, (q, low, least, chosen) in enumerate(((5, LOW_GRAMS, LEAST_GRAMS, n < GRAM_WORDS), (3, LOW_GRAMS, LEAST_GRAMS, size <= SHORT_BYTES), (0, LOW_PAIRS, LEAST_PAIRS, n >= PAIR_WORDS))):
+    for kind, (q, low, chosen) in enumerate(((5, LOW_GRAMS, n < GRAM_WORDS), (3, LOW_GRAMS, size <= SHORT_BYTES), (0, LOW_PAIRS, n >= PAIR_WORDS))):
         own, some = np.repeat(chosen, n), np.flatnonzero(chosen)
         if len(some):
             features = byte_grams(data, first[own], last[own], n[some], values, q) if q else word_pairs(h[own], n[some])
-            line, block = class_blocks(*features, kind, low, least)
+            line, block = class_blocks(*features, kind, low)
             rows.append(some[line])
             blocks.append(block)
     tiny = np.flatnonzero(size <= TINY_BYTES)
@@ -276,6 +276,10 @@ def normal_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
     return out
 
 
+#: Columns after which the whole column of distances is looked at.
+LOOK = 48
+
+
 def within(x: str, y: str, most: int) -> bool:
     """Whether the edit distance of two texts is ``most`` or less.
 
@@ -297,7 +301,8 @@ def within(x: str, y: str, most: int) -> bool:
     full = (1 << len(a)) - 1
     last = 1 << (len(a) - 1)
     more, fewer, distance, left = full, 0, len(a), len(b)
-    for c in b.tolist():
+    rows = np.arange(1, len(a) + 1)
+    for j, c in enumerate(b.tolist(), 1):
         equal = at.get(c, 0)
         across = (((equal & more) + more) ^ more) | equal
         up, down = fewer | full & ~(across | more), more & across
@@ -311,6 +316,10 @@ def within(x: str, y: str, most: int) -> bool:
         up, down = (up << 1 | 1) & full, down << 1 & full
         diagonal = equal | fewer
         more, fewer = down | full & ~(diagonal | up), up & diagonal
+        if not j % LOOK:  # what a column has, and what must follow
+            steps = [np.unpackbits(np.frombuffer(x.to_bytes(len(a) // 8 + 1, "little"), dtype=np.uint8), bitorder="little")[: len(a)].astype(np.int32) for x in (more, fewer)]
+            if (j + np.cumsum(steps[0] - steps[1]) + np.abs(len(a) - rows - left)).min() > most and j + abs(len(a) - left) > most:
+                return False
     return distance <= most
 
 

@@ -177,7 +177,8 @@ def tiles(rest: DataFrame, like: Likeness) -> DataFrame:
             yield out(found)
         yield out(list(_joined(held, like, whole)))
 
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a binary, b binary")
+    parts = int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(compare, "a binary, b binary")
 
 
 def shared_buckets(nodes: DataFrame) -> DataFrame:
