@@ -37,7 +37,7 @@ MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
 #: A wide comparison: classes of features of a line, by its number of features: 2**j classes from LOW_* times as many on, to SPAN times that; only the first CLASSES of them.
-LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 2.5, 1.75, 2.57, 9, 28
+LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 1.75, 1.75, 2.57, 9, 28
 #: Features of a class without which it is no block: one or two are common to too many lines.
 LEAST = 3
 #: Lines of fewer words than GRAM_WORDS have blocks of their bytes' 5-grams, those of up to SHORT_BYTES of 3-grams too; lines of PAIR_WORDS or more, of pairs of words.
