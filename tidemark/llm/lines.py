@@ -9,7 +9,7 @@ pairs of words or, in lines of few words, q-grams of bytes, are dealt out to cla
 hashes, and each block is the SimHash of one class. By the pigeonhole principle a line that
 differs in fewer features than it has blocks shares one, however short it is, and a block, a
 SimHash of several features, is rarely shared by chance. All candidates whose lengths allow a link
-are compared.
+are compared, but for long ones that have few words in common.
 
 In a narrow one, a SimHash of 192 bits over a line's different words has 6 blocks, so candidates
 are those whose SimHashes differ in 5 bits or fewer, and many beyond; and links are those that
@@ -44,6 +44,8 @@ LEAST = 3
 GRAM_WORDS, PAIR_WORDS, SHORT_BYTES = 24, 18, 40
 #: Lines of up to so many bytes have blocks for what is left without one or two bytes.
 TINY_BYTES = 12
+#: Lines of so many code points or more whose SimHashes of all words differ in more bits have other words for the most part: strangers differ in 96.
+LONG_POINTS, WIDE_BITS = 120, 76
 #: Bytes of a block.
 BLOCK_BYTES = 6
 #: A line that makes up so small a part of all lines, or more, is common.
@@ -225,7 +227,7 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = Fal
 
 
 def blocked_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, size, blocks) of each different line that has blocks; ``nodes`` (node, n) says how often each occurs."""
+    """(node, size, sketch, blocks) of each different line that has blocks, the sketch a SimHash of all its words; ``nodes`` (node, n) says how often each occurs."""
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(row_filter(nodes.where("n > 1").select("node")))
 
@@ -242,10 +244,11 @@ def blocked_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
                 again = passes(often.value, np.ascontiguousarray(names[:, 0]))
                 keep = {names[i].tobytes(): i for i, x in enumerate(blocks) if x}  # once in a chunk
                 rows = list(keep.values())
-                arrays = [pa.array(list(keep), pa.binary()), pa.array(size[rows], pa.int64()), pa.array([blocks[i] for i in rows], pa.binary()), pa.array(again[rows])]
-                yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "blocks", "again"])
+                sketches = simhashes(h, n)[rows] if rows else ()
+                arrays = [pa.array(list(keep), pa.binary()), pa.array(size[rows], pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array([blocks[i] for i in rows], pa.binary()), pa.array(again[rows])]
+                yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "sketch", "blocks", "again"])
 
-    found = staged(docs.select(docs[text_col].alias("text")).where("text IS NOT NULL").mapInArrow(block, "node binary, size long, blocks binary, again boolean"), "blocks")
+    found = staged(docs.select(docs[text_col].alias("text")).where("text IS NOT NULL").mapInArrow(block, "node binary, size long, sketch binary, blocks binary, again boolean"), "blocks")
     several = staged(found.where("again").drop("again").dropDuplicates(["node"]), "blocks")
     return found.where("NOT again").drop("again").union(several)
 
@@ -379,15 +382,14 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str,
         own = blocked_lines(docs, nodes, text_col)
         places = F.sequence(F.lit(0), (F.length("blocks") / BLOCK_BYTES - 1).cast("int"))
         buckets = F.transform(places, lambda i: F.xxhash64(F.substring("blocks", i * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES))))
-        own = own.withColumn("sketch", F.lit(b"-"))
     else:
         own = nodes.where("sketch IS NOT NULL").select("node", "sketch", F.lit(0).cast("long").alias("size"))
         buckets = F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * 4 + 1, F.lit(4))))
 
     def plausible(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         if wide:
-            longer = np.maximum(n, m)
-            return longer - np.minimum(n, m) <= longer * (100 - percent) // 100
+            longer, shorter = np.maximum(n, m), np.minimum(n, m)
+            return (longer - shorter <= longer * (100 - percent) // 100) & ((shorter < LONG_POINTS) | (np.bitwise_count(left ^ right).sum(axis=1) <= WIDE_BITS))
         return np.bitwise_count(left ^ right).sum(axis=1) <= MOST_BITS
 
     def full_objects(ends: DataFrame) -> DataFrame:
@@ -396,7 +398,10 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str,
         release(ends)
         return out
 
-    like = Likeness(lambda *x: plausible(*x).astype(float), plausible, lambda x, y: similar(x, y, percent), 1, clusters=False)
+    def alike(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return plausible(left, right, n, m) * (1.01 - np.bitwise_count(left ^ right).sum(axis=1) / (32 * BLOCKS))
+
+    like = Likeness(alike, plausible, lambda x, y: similar(x, y, percent), 1, clusters=False)
     return bucket_components(own, buckets, like, full_objects)
 
 
