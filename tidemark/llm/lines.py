@@ -369,6 +369,64 @@ def near(x: str, y: str, most: int) -> bool:
     return True
 
 
+def _number(bits: np.ndarray) -> int:
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+
+
+def _bits(x: int, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x.to_bytes(n // 8 + 1, "little"), dtype=np.uint8), count=n, bitorder="little")
+
+
+def within_many(x: str, ys: list[str], most: list[int], look: int = 64) -> list[bool]:
+    """Whether the edit distance of ``x`` to each of ``ys`` is that one's ``most`` or less.
+
+    As ``within``, but a whole number has the columns of all texts side by side, with a bit between
+    two that stops carries. After every ``look`` columns texts that must exceed their ``most`` are
+    given up, and taken out once they make up half of the bits.
+    """
+    codes = [np.frombuffer(f"{y} ".encode("utf-32-le"), dtype=np.uint32) for y in ys]
+    n, most = np.array([len(c) for c in codes], dtype=np.int64), np.array(most)
+    own, rows, out = np.concatenate([*codes, np.zeros(0, dtype=np.uint32)]), np.arange(len(ys)), np.zeros(len(ys), dtype=bool)
+    own[np.cumsum(n) - 1] = 1 << 31  # the bit between: no character
+    text = np.frombuffer(x.encode("utf-32-le"), dtype=np.uint32).tolist()
+
+    def masks():
+        first, between = np.cumsum(n) - n, np.cumsum(n) - 1
+        real, starts = np.ones(len(own), dtype=bool), np.zeros(len(own), dtype=bool)
+        real[between], starts[first] = False, True
+        return first, between, _number(real), _number(starts & real), {c: _number(own == c) for c in set(text)}
+
+    if not text:
+        return (n - 1 <= most).tolist()
+    first, between, full, starts, at = masks()
+    more, fewer = full, 0
+    for j, c in enumerate(text, 1):
+        equal = at[c]
+        across = (((equal & more) + more) ^ more) | equal
+        up, down = fewer | full & ~(across | more), more & across
+        up, down = (up << 1) & full | starts, down << 1 & full
+        diagonal = equal | fewer
+        more, fewer = down | full & ~(diagonal | up), up & diagonal
+        if not j % look or j == len(text):
+            m, f = _bits(more, len(own)), _bits(fewer, len(own))
+            value, left = np.cumsum(m.astype(np.int32) - f), len(text) - j
+            value += np.repeat(j - np.where(first > 0, value[first - 1], 0), n)
+            if not left:
+                out[rows] = value[between] <= most
+                break
+            value += np.abs(np.repeat(between, n) - np.arange(len(own)) - 1 - left)  # what must follow
+            value[between] = j + np.abs(n - 1 - left)  # nothing of the text used yet
+            keep = np.minimum.reduceat(value, first) <= most
+            if not keep.any():
+                break
+            if 2 * n[keep].sum() <= n.sum():
+                bits = np.repeat(keep, n)
+                own, n, most, rows = own[bits], n[keep], most[keep], rows[keep]
+                more, fewer = _number(m[bits]), _number(f[bits])
+                first, between, full, starts, at = masks()
+    return out.tolist()
+
+
 def similar(x: bytes, y: bytes, percent: int) -> bool:
     """Whether two lines have an edit distance of at most 100 - ``percent`` hundredths of the longer."""
     a, b = x.decode("utf-8", "replace"), y.decode("utf-8", "replace")
@@ -376,6 +434,18 @@ def similar(x: bytes, y: bytes, percent: int) -> bool:
     return near(a, b, most) or not far(a, b, most) and within(a, b, most)
 
 
+#: Lines of more code points are compared one by one: words and trigrams often settle those sooner.
+TOGETHER = 2048
+
+
+def similar_many(x: bytes, ys: list[bytes], percent: int) -> list[bool]:
+    """``similar`` for one line and each of a few."""
+    a, others = x.decode("utf-8", "replace"), [y.decode("utf-8", "replace") for y in ys]
+    short = [b for b in others if max(len(a), len(b)) <= TOGETHER]
+    found = iter(within_many(a, short, [max(len(a), len(b)) * (100 - percent) // 100 for b in short]) if short else ())
+    return [next(found) if max(len(a), len(b)) <= TOGETHER else similar(x, y, percent) for b, y in zip(others, ys)]
+
+
 def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str, wide: bool = False) -> DataFrame:
     """(node, component) of the lines that links connect; ``nodes`` is a stored table (node, sketch, first, n), sketch null for lines that are compared exactly only."""
     if wide:
@@ -401,7 +471,7 @@ def line_groups(docs: DataFrame, nodes: DataFrame, percent: int, text_col: str,
     def alike(left: np.ndarray, right: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
         return plausible(left, right, n, m) * (1.01 - np.bitwise_count(left ^ right).sum(axis=1) / (32 * BLOCKS))
 
-    like = Likeness(alike, plausible, lambda x, y: similar(x, y, percent), 1, clusters=False)
+    like = Likeness(alike, plausible, lambda x, y: similar(x, y, percent), 1, clusters=False, confirm_many=lambda x, ys: similar_many(x, ys, percent))
     return bucket_components(own, buckets, like, full_objects)
 
 

@@ -26,8 +26,10 @@ from tidemark.llm.kernels import cut_points, packed, unpacked
 Judge = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: (node) -> (node, full: binary), a staged table of the full objects.
 Fulls = Callable[[DataFrame], DataFrame]
-#: Nodes on a side of what a task compares at once, and bytes of their objects, about.
-TILE, TILE_BYTES = 512, 16 << 20
+#: Nodes on a side of what a task compares at once, by sketches and by full objects, and bytes of their objects, about.
+TILE, FULL_TILE, TILE_BYTES = 512, 256, 16 << 20
+#: Pairs of one node that are confirmed at once: a few at first, as a link makes others needless, then more, up to so many.
+FEW, MANY = 4, 64
 #: Bits of a filter by which tasks turn rows away: so many for each key, from the least to the most; a full filter only lets more rows pass.
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Bytes of a filter that are put together in one task.
@@ -50,6 +52,8 @@ class Likeness:
     unit: int
     #: Whether sketches tell strangers apart: then groups with a plausible pair form clusters, and full objects are compared within these; else within buckets.
     clusters: bool = True
+    #: Which of several full objects are links of one; by default each is confirmed by itself.
+    confirm_many: Callable[[bytes, list[bytes]], list[bool]] | None = None
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -112,44 +116,60 @@ def confirmed_pairs(pairs: DataFrame, fulls: DataFrame, confirm: Callable[[bytes
     return both.mapInArrow(judge, "a binary, b binary")
 
 
-def _joined(rows: list[tuple], like: Likeness, whole: bool):
-    """Pairs of a left and a right row of one tile that join two components: of nodes that are links, or, without full objects, of components that may have some."""
-    left, right = ([r for r in rows if r[3] == side] for side in (True, False))
+def _joined(rows: list[dict], like: Likeness, whole: bool):
+    """Pairs of a left and a right row of one tile that join two components: of nodes that are links, or, without full objects, of components that may have some.
+
+    Two minor nodes are a pair once, with the greater on the left, and of the buckets that a pair
+    shares only the least one confirms it.
+    """
+    left, right = ([r for r in rows if r["left"] == side] for side in (True, False))
     if not left or not right:
         return
-    number = {c: i for i, c in enumerate({r[5] for r in rows})}
+    many = like.confirm_many or (lambda x, ys: [like.confirm(x, y) for y in ys])
+    number = {c: i for i, c in enumerate({r["component"] for r in rows})}
+    rank = {x: i for i, x in enumerate(sorted({r["node"] for r in rows}))}
     roots = np.arange(len(number))
-    own = np.array([number[r[5]] for r in right])
-    sketches = np.frombuffer(b"".join(r[7] for r in right), dtype=np.uint8).reshape(len(right), -1)
-    sizes = np.array([r[6] for r in right])
+    own = np.array([number[r["component"]] for r in right])
+    after = np.array([rank[r["node"]] if r["minor"] else -1 for r in right])
+    sketches = np.frombuffer(b"".join(r["sketch"] for r in right), dtype=np.uint8).reshape(len(right), -1)
+    sizes = np.array([r["size"] for r in right])
+    lower = [[b for b in r.get("buckets", ()) if b < r["bucket"]] for r in right]
+    holder, lower = np.repeat(np.arange(len(right)), [len(x) for x in lower]), np.array([b for x in lower for b in x], dtype=np.int64)
     for r in left:
-        me = number[r[5]]
-        other = np.flatnonzero(roots[own] != roots[me])
+        me = number[r["component"]]
+        open_ = (roots[own] != roots[me]) & (after < rank[r["node"]])
+        if len(lower) and open_.any():
+            open_[holder[np.isin(lower, r["buckets"])]] = False
+        other = np.flatnonzero(open_)
         if not len(other):
             continue
-        mine = np.broadcast_to(np.frombuffer(r[7], dtype=np.uint8), (len(other), sketches.shape[1]))
-        of_me = np.full(len(other), r[6])
+        mine = np.broadcast_to(np.frombuffer(r["sketch"], dtype=np.uint8), (len(other), sketches.shape[1]))
+        of_me = np.full(len(other), r["size"])
         score = like.quick(mine, sketches[other], of_me, sizes[other])
         if whole and score.any():
             at = np.flatnonzero(score)
             score[at] *= like.plausible(mine[at], sketches[other[at]], of_me[at], sizes[other[at]])
-        for k in other[np.argsort(-score, kind="stable")[: np.count_nonzero(score)]]:
-            if roots[own[k]] != roots[me] and (not whole or like.confirm(r[8], right[k][8])):
-                roots[roots == roots[own[k]]] = roots[me]
-                yield (r[4], right[k][4]) if whole else (r[5], right[k][5])
+        queue, step = other[np.argsort(-score, kind="stable")[: np.count_nonzero(score)]], FEW
+        while len(queue):
+            now, queue = queue[:step], queue[step:]
+            for k, link in zip(now, many(r["full"], [right[k]["full"] for k in now]) if whole else [True] * len(now)):
+                if link and roots[own[k]] != roots[me]:
+                    roots[roots == roots[own[k]]] = roots[me]
+                    yield (r["node"], right[k]["node"]) if whole else (r["component"], right[k]["component"])
+            queue, step = queue[roots[own[queue]] != roots[me]], min(4 * step, MANY)
 
 
 def tiles(rest: DataFrame, like: Likeness) -> DataFrame:
-    """(a, b) by ``_joined`` for ``rest`` (bucket, node, component, size, sketch, and full objects or not).
+    """(a, b) by ``_joined`` for ``rest`` (bucket, node, component, size, sketch, and full objects or not, and all buckets of a node or not).
 
     In each bucket the nodes outside its largest component meet all nodes. Large buckets are dealt
-    out in tiles of about TILE nodes a side, fewer where objects are large, each compared by itself.
+    out in tiles of about TILE or FULL_TILE nodes a side, fewer where objects are large, each compared by itself.
     """
     sizes = rest.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum("size").alias("sum")).groupBy("bucket")
     sizes = sizes.agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all"), F.sum("sum").alias("sum")).where("most < all")
     whole = "full" in rest.columns
-    payload = ["node", "component", "size", "sketch"] + ["full"] * whole
-    side = F.greatest(F.lit(1.0), F.least(F.lit(float(TILE)), F.lit(TILE_BYTES / like.unit) * F.col("all") / F.col("sum"))) if whole else F.lit(float(TILE))
+    payload = ["node", "component", "size", "sketch"] + [c for c in ("full", "buckets") if c in rest.columns]
+    side = F.greatest(F.lit(1.0), F.least(F.lit(float(FULL_TILE)), F.lit(TILE_BYTES / like.unit) * F.col("all") / F.col("sum"))) if whole else F.lit(float(TILE))
     cuts = lambda n: F.ceil(n / side).cast("int")
     minor, rows, columns = F.col("component") != F.col("major"), cuts(F.col("all") - F.col("most")), cuts(F.col("all"))
     own = F.xxhash64("node")
@@ -157,8 +177,8 @@ def tiles(rest: DataFrame, like: Likeness) -> DataFrame:
     as_left = F.when(minor, F.transform(every(columns), lambda j: F.struct(F.pmod(own, rows).cast("int").alias("i"), j.alias("j"), F.lit(True).alias("left"))))
     as_right = F.transform(every(rows), lambda i: F.struct(i.alias("i"), F.pmod(own, columns).cast("int").alias("j"), F.lit(False).alias("left")))
     none = F.array().cast("array<struct<i:int,j:int,left:boolean>>")
-    dealt = rest.join(sizes, "bucket").select("bucket", *payload, F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("t"))
-    dealt = dealt.select("bucket", "t.i", "t.j", "t.left", *payload)
+    dealt = rest.join(sizes, "bucket").select("bucket", *payload, minor.alias("minor"), F.explode(F.concat(F.coalesce(as_left, none), as_right)).alias("t"))
+    dealt = dealt.select("bucket", "t.i", "t.j", "t.left", "minor", *payload)
 
     def compare(batches):
         import pyarrow as pa
@@ -169,10 +189,11 @@ def tiles(rest: DataFrame, like: Likeness) -> DataFrame:
         held, key = [], None
         for batch in batches:
             found = []
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if row[:3] != key:
+            for row in batch.to_pylist():
+                place = row["bucket"], row["i"], row["j"]
+                if place != key:
                     found += _joined(held, like, whole)
-                    held, key = [], row[:3]
+                    held, key = [], place
                 held.append(row)
             yield out(found)
         yield out(list(_joined(held, like, whole)))
@@ -280,7 +301,8 @@ def bucket_components(nodes: DataFrame, buckets: F.Column, like: Likeness, full_
         release(rest)
         rest = every
     fulls = full_objects(rest.select("node").distinct())
-    more = staged(tiles(rest.join(fulls, "node"), like), "links")
+    objects = fulls if like.clusters else fulls.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")  # no more than a node has blocks
+    more = staged(tiles(rest.join(objects, "node"), like), "links")
     release(rest, fulls, groups)
     out = staged(connected_components(links.union(more)), "groups")
     release(links, more)
