@@ -71,3 +71,27 @@ def test_watch(spark, tmp_path):
     with pytest.raises(ValueError):
         interval(100)
     assert interval(500) == "500 milliseconds" and F is not None
+
+
+def test_graphs_outlive_runs_and_hits_must_hold(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "index"))
+    with pytest.raises(ValueError):
+        engine.table("nodes")
+    files = spark.createDataFrame(FILES, SCHEMA)
+    engine.index(files)
+    hashes = {r["path"]: r["hash"] for r in engine.table("files").collect()}
+    node = lambda i, name, path, a, b: (i, name, f"N.{name}", f"N.{name}({i})", path, a, b, hashes[path])
+    nodes = spark.createDataFrame([node("1", "Invoke", "src/Feature.cs", 2, 2), node("2", "Save", "src/Store.cs", 2, 2), node("3", "Save", "src/Store.cs", 1, 1), node("4", "Far", "src/Store.cs", 2, 9)], "id string, name string, full_name string, signature string, path string, line_start int, line_end int, file_hash string")
+    edges = spark.createDataFrame([("1", x, "calls", "src/Feature.cs", 2, hashes["src/Feature.cs"]) for x in "234"], "from_id string, to_id string, relation string, ev_path string, ev_line int, file_hash string")
+    engine.save_graph(nodes, edges)
+    engine.index(files)
+    assert engine.graphs().count() == 1 and engine.trace("Save", "callers").count() == 2 and engine.trace("N.Save(3)", "callers").count() == 1
+    assert [tuple(r) for r in engine.trace("Invoke", now=files).select("to_id", "text").collect()] == [("2", "void Invoke() { Run(); }"), ("3", "void Invoke() { Run(); }")]
+    edited = spark.createDataFrame([(s, p, f"{t}\n// more" if p == "src/Store.cs" else t) for s, p, t in FILES], SCHEMA)
+    assert engine.trace("Invoke", now=edited).count() == 0
+    assert engine.semantic("class store save", now=edited).where("path = 'src/Store.cs'").count() == 0 < engine.semantic("class store save").where("path = 'src/Store.cs'").count()
+    assert {r["kind"] for r in engine.graph_search("class feature invoke run", now=files).where("text <> ''").collect()} == {"semantic", "graph"}
+    assert {r["kind"] for r in engine.graph_search("class feature invoke run", now=edited).collect()} == {"semantic"}
+    fused = engine.semantic("저장소 Store Save").collect()
+    assert fused[0]["path"] == "src/Store.cs" and fused[0]["score"] < 2 / 60 and len(fused) == 3
+    assert len(engine.semantic("저장소 Nowhere").collect()) == 3

@@ -5,10 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import routing, text
-from tidemark.operators import bursts, exact, graph, hierarchy, retrieval, snapshots
+from tidemark.operators import budgets, bursts, exact, graph, hierarchy, retrieval, snapshots
 from tidemark.operators.chunking import begins_section, chunk_files, chunks_of
 from tidemark.operators.embedding import Embedder, TooLong, embed_in_halves
-from tidemark.sources.files import asset_nodes, asset_references, glob_pattern, handoffs, markdown_metadata, scan
+from tidemark.sources.files import asset_nodes, asset_references, glob_pattern, handoffs, ignore_pattern, markdown_metadata, matching_projects, scan
 
 
 def one(spark, column):
@@ -192,3 +192,62 @@ def test_assets(spark):
     rows = spark.createDataFrame([("A/x.prefab", f"a\nb\nc\n  m: {{fileID: 1, guid: {g}}} guid: {'f' * 32}"), ("A/y.asset.meta", f"v: 2\nguid: {g}\n"), ("A/y.asset", "q")], "path string, text string")
     assert {tuple(r) for r in asset_references(rows).collect()} == {("A/x.prefab", "A/y.asset", "references", "A/x.prefab", 4), ("A/x.prefab", f"unresolved:{'f' * 32}", "references", "A/x.prefab", 4)}
     assert {r["id"]: r["kind"] for r in asset_nodes(rows).collect()} == {"A/x.prefab": "prefab", "A/y.asset.meta": "meta", "A/y.asset": "scriptable_object"}
+
+
+def test_budgets(spark):
+    rows = spark.createDataFrame([("a", 5), ("b", None), ("c", 5), ("d", 1)], "id string, n long")
+    fits = lambda b, **how: [r["id"] for r in budgets.prefix_within(rows, ["id"], "n", b, 9, **how).collect()]
+    assert (fits(10), fits(4), fits(11)) == (["a", "b", "c"], [], ["a", "b", "c", "d"]) and fits(11, used=rows.where("id = 'a'").select("n")) == ["a", "b"]
+    files = spark.createDataFrame([("a", "source", 6), ("b", "auxiliary", 9), ("c", "source", 4), ("d", "source", None), (None, "source", 1), ("e", "source", 99), ("c", "source", 4)], "path string, kind string, size long")
+    assert sorted(map(tuple, budgets.graph_inputs(files, 10, 50).collect())) == [("a", "source", 6), ("c", "source", 4)]
+    assert sorted(map(tuple, budgets.graph_inputs(files, 100, 50, {"source": 1, "auxiliary": 1}).collect())) == [("a", "source", 6), ("b", "auxiliary", 9)]
+    assert budgets.graph_inputs(files.limit(0)).count() == 0 and budgets.graph_inputs(files).count() == 5
+    nodes, edges = spark.createDataFrame([("a", 4), ("b", 4)], "id string, n long"), spark.createDataFrame([("a", "b", 3), ("b", "b", 3)], "from_id string, to_id string, n long")
+    assert [tuple(x.count() for x in graph.shard(nodes, edges, ["id"], "n", "n", b)) for b in (14, 13, 7, 3)] == [(2, 2), (2, 1), (1, 0), (0, 0)]
+
+
+def test_tree(spark):
+    items = spark.createDataFrame([("1", "src/a/b/x.cs"), ("2", "src/y.cs"), ("3", "src/lib/c/z.cs"), ("4", "other/q.cs"), ("5", None)], "id string, path string")
+    roots = ["src", "src/lib"]
+    modules = hierarchy.tree(items, roots)
+    assert {tuple(r)[:2] for r in modules.collect()} == {("project", None), ("root:src", "project"), ("root:src/lib", "root:src"), ("directory:src/a", "root:src"), ("directory:src/a/b", "directory:src/a"), ("directory:src/lib/c", "root:src/lib")}
+    held = hierarchy.members(items, items.where("id = '2'"), modules, roots)
+    assert {tuple(r)[:3] for r in held.collect()} == {("directory:src/a/b", "node", "1"), ("root:src", "node", "2"), ("root:src", "edge", "2"), ("directory:src/lib/c", "node", "3")}
+    small = hierarchy.tree(items, roots, 4)
+    assert small.count() == 4 and {r["module"] for r in hierarchy.placed(items, small, roots).where("id = '1'").collect()} == {"directory:src/a"}
+    up = {(r["id"], r["ancestor"], r["steps"]) for r in hierarchy.ancestors(modules).collect()}
+    assert ("directory:src/a/b", "project", 3) in up and ("project", "project", 0) in up and len(up) == 1 + 2 + 3 + 3 + 4 + 4
+    loop = spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string")
+    assert hierarchy.ancestors(loop).count() == 4
+    shown = lambda n: {tuple(r) for r in hierarchy.shown(modules, held, n).collect()}
+    assert shown(64) == {("project", 0, 0), ("root:src", 1, 1), ("directory:src/a", 0, 0), ("directory:src/a/b", 1, 0), ("root:src/lib", 0, 0), ("directory:src/lib/c", 1, 0)}
+    assert shown(4) == {("project", 0, 0), ("root:src", 1, 1), ("directory:src/a", 0, 0), ("directory:src/a/b", 1, 0)} and shown(3) == {("project", 0, 0), ("root:src", 1, 1)} and shown(1) == set()
+    assert hierarchy.shown(modules, held.limit(0)).count() == 0 and hierarchy.tree(items.limit(0), []).count() == 1
+    named = hierarchy.assembly_of(items, spark.createDataFrame([("src", "S"), ("src/lib", "L")], "directory string, name string"))
+    assert {r["id"]: r["assembly"] for r in named.where("path IS NOT NULL").collect()} == {"1": "S", "2": "S", "3": "L", "4": "Assembly-CSharp"}
+
+
+def test_burst_pieces_match_a_plain_fold(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice([rng.randrange(200), 1000 + rng.randrange(40), 5000])) for _ in range(300)]
+    want = {}
+    for k in {k for k, _ in rows}:
+        start = None
+        for t in sorted(t for own, t in rows if own == k):
+            start = t if start is None or t >= start + 7 else start
+            want[k, start] = want.get((k, start), 0) + 1
+    events = spark.createDataFrame(rows, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
+    got = bursts.coalesce_bursts(events, 7).select("user_id", F.unix_seconds(F.col("started").cast("timestamp")).alias("s"), "n").collect()
+    assert {(r["user_id"], r["s"]): r["n"] for r in got} == want and len(got) == len(want)
+
+
+def test_globs_and_projects(spark):
+    import re
+
+    fit = lambda glob, path: bool(re.match(ignore_pattern(glob), path))
+    assert fit("*.dll", "a/b.dll") and fit("gen/", "a/gen/x") and not fit("gen/", "gen") and fit("/gen", "gen/x") and not fit("/gen", "a/gen") and fit("a/*.cs", "a/x.cs") and not fit("a/*.cs", "b/a/x.cs")
+    rows = spark.createDataFrame([("a", "C:\\P\\x\\"), ("b", "c:/p/y"), ("c", "C:/P/Y/"), ("d", None)], "slug string, path string")
+    assert [tuple(r) for r in matching_projects(rows).select("slug", "key").collect()] == [("a", "c:/p/x")]
+    assert chunks_of("md", "a\n# b\nc", 3, 9) == [(0, 1, 3, "a\n# b\nc")]
+    assert one(spark, text.excerpt(F.lit(" a\nb\nc\nd"), F.lit(0), F.lit(9), 2)) == "a\nb" and one(spark, text.excerpt(F.lit("a"), F.lit(3), F.lit(1), 2)) == ""
+    assert one(spark, text.position_score(F.lit(None).cast("double"), F.lit(4))) == 1 / 64 and one(spark, text.position_score(F.lit(-1.0), F.lit(4))) == 0.001

@@ -85,3 +85,33 @@ def cosine(x, y) -> Column:
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(total(F.transform(x, lambda v: v * v))) * F.sqrt(total(F.transform(y, lambda v: v * v)))
     return F.when(norm > 0, total(F.zip_with(x, y, lambda a, b: a * b)) / norm).otherwise(0.0)
+
+
+def excerpt(text, start, end, most: int) -> Column:
+    """Lines ``start`` to ``end`` of a text, ``most`` lines and 2000 characters at most, without white space around."""
+    first = F.greatest(_col(start), F.lit(1))
+    n = F.greatest(F.least(_col(end) - first + 1, F.lit(most)), F.lit(0))
+    return F.substring(trimmed(F.array_join(F.slice(lines(text), first.cast("int"), n.cast("int")), "\n")), 1, 2000)
+
+
+def path_has_term(path, terms) -> Column:
+    """Whether a path holds one of the words of ``terms``, of two letters or more, in any case."""
+    return F.exists(F.split(_col(terms), r"\s+"), lambda t: (F.length(t) >= 2) & F.contains(F.lower(_col(path)), F.lower(t)))
+
+
+def position_score(score, rank) -> Column:
+    """A hit's score, or one by its rank if it has none; 0.001 at least."""
+    return F.greatest(F.lit(0.001), F.coalesce(_col(score), F.lit(1.0) / (F.lit(60) + _col(rank))))
+
+
+def nearest_root(path, roots: list[str]) -> Column:
+    """The longest of a few folders that a path is in, "." being all; null if it is in none."""
+    p, out = _col(path), F.lit("." if "." in roots else None).cast("string")
+    for root in sorted({*roots} - {"."}, key=lambda r: (len(r), r)):
+        out = F.when((p == root) | F.startswith(p, F.lit(f"{root}/")), root).otherwise(out)
+    return out
+
+
+def project_key(path) -> Column:
+    """A project's path with forward slashes, none at its end, in lower case."""
+    return F.lower(F.regexp_replace(F.replace(_col(path), F.lit("\\"), F.lit("/")), "/+$", ""))

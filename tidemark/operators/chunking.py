@@ -39,7 +39,8 @@ def chunks_of(path: str, text: str | None, target: int = TARGET, most: int = MOS
         rows.pop()
     if rows == [""]:
         return []
-    kind = "." + path.rpartition("/")[2].rpartition(".")[2].lower()
+    name = path.rpartition("/")[2]
+    kind = f".{name.rpartition('.')[2].lower()}" if "." in name else ""
     before = [0]  # characters before each line, with line ends
     for row in rows:
         before.append(before[-1] + len(row) + 1)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import joined_hash, ranges_overlap
+from tidemark.functions.text import excerpt, joined_hash, position_score, ranges_overlap
+from tidemark.operators.budgets import prefix_within
 
 HOPS, DECAY, MOST_NODES = 2, 0.72, 400
 NODE_CAP, EDGE_CAP = 20_000, 50_000
+#: Hits that seed a walk, lines of a node and of an edge that are shown, bytes of a stored shard.
+MOST_SEEDS, NODE_LINES, EDGE_LINES, SHARD_BYTES = 64, 60, 20, 24 << 20
 
 
 def with_node_id(nodes: DataFrame) -> DataFrame:
@@ -81,3 +84,48 @@ def match_symbols(nodes: DataFrame, query: str) -> DataFrame:
     if "." in query:
         return nodes.where((F.col("full_name") == query) | F.col("full_name").endswith(f".{query}"))
     return nodes.where(F.col("name") == query)
+
+
+def shard(nodes: DataFrame, edges: DataFrame, order: list[str], node_bytes: str, edge_bytes: str, budget: int = SHARD_BYTES, cap: int = NODE_CAP, edge_cap: int = EDGE_CAP) -> tuple[DataFrame, DataFrame]:
+    """``capped`` nodes and edges that fit in ``budget`` bytes together: nodes go first, by id, and edges, by ends, into what they leave. The columns named say a row's bytes."""
+    nodes, edges = capped(nodes, edges, order, cap, edge_cap)
+    used = nodes.agg(F.coalesce(F.sum(node_bytes), F.lit(0)).alias("_used"))
+    kept = prefix_within(nodes, ["id"], node_bytes, budget, cap)
+    return kept, prefix_within(edges, ["from_id", "to_id"], edge_bytes, budget, edge_cap, used=used)
+
+
+def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(language, nodes, edges): how many of each a graph has."""
+    count = lambda own, other, x: x.groupBy("language").agg(F.count("*").alias(own)).withColumn(other, F.lit(0).cast("long"))
+    both = count("nodes", "edges", nodes).unionByName(count("edges", "nodes", edges))
+    return both.groupBy("language").agg(F.sum("nodes").alias("nodes"), F.sum("edges").alias("edges"))
+
+
+def _held(rows: DataFrame, files: DataFrame, path: str, line: str) -> DataFrame:
+    f = files.select(F.col("path").alias("_path"), F.col("file_hash").alias("_hash"), F.col("n_lines").alias("_n"))
+    return rows.join(f, (rows[path] == f["_path"]) & (rows["file_hash"] == f["_hash"]) & (rows[line] <= f["_n"]), "left_semi")
+
+
+def fresh_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes whose file is as it was and as long as they reach; ``files`` (path, file_hash, n_lines) are the current ones. Nodes without path, hash or end go."""
+    return _held(nodes, files, "path", "line_end")
+
+
+def fresh_edges(edges: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose evidence still holds and whose ends are both in ``nodes``."""
+    ends = nodes.select("id")
+    own = _held(edges, files, "ev_path", "ev_line_end" if "ev_line_end" in edges.columns else "ev_line")
+    return own.join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
+
+
+def with_excerpts(rows: DataFrame, files: DataFrame, path: str, start: str, end: str, most: int) -> DataFrame:
+    """``rows`` with ``text``, their first ``most`` lines in ``files`` (path, text)."""
+    f = files.select(F.col("path").alias("_path"), F.col("text").alias("_text"))
+    return rows.join(f, rows[path] == f["_path"]).withColumn("text", excerpt("_text", start, end, most)).drop("_path", "_text")
+
+
+def seed_scores(hits: DataFrame, order: list, most: int = MOST_SEEDS) -> DataFrame:
+    """The first ``most`` hits (path, line_start, line_end, score) by ``order``, those without a score scored by their rank."""
+    first = hits.orderBy(*order).limit(most)
+    ranked = first.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))  # ``most`` rows
+    return ranked.withColumn("score", position_score("score", "_rank")).drop("_rank")

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import routing, text
-from tidemark.operators import bursts, chunking, exact, graph, hierarchy, retrieval, snapshots
+from tidemark.operators import budgets, bursts, chunking, exact, graph, hierarchy, retrieval, snapshots
+from tidemark.sources import files as sources
 
 PHRASE = "of the"
 
@@ -151,7 +152,7 @@ def node_cap(spark, sf_dir):
     """The nodes with the most edges, and the edges between them."""
     pairs = _edges(spark, sf_dir).select("from_id", "to_id").distinct()
     nodes = pairs.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return graph.capped(nodes, pairs, [F.col("degree").desc()], 1500, 2000)[1]
+    return graph.capped(nodes, pairs, [F.col("degree").desc()])[1]
 
 
 def callers(spark, sf_dir):
@@ -223,12 +224,187 @@ def coalesce_bursts(spark, sf_dir):
     return bursts.coalesce_bursts(_table(spark, sf_dir, "events"), 6 * 3600)
 
 
+#: Folders of pages that are roots of the tree.
+ROOTS = [".", "www.cheap-pills.example.com", "www.cheap-pills.example.com/en"]
+
+
+def _page_paths(spark, sf_dir, *more):
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "").alias("path"), *more)
+
+
+def _members(spark, sf_dir):
+    """Pages as nodes and, those with a table, as evidence of edges, in the tree of their paths."""
+    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit("<table")).alias("tabular"))
+    modules = hierarchy.tree(pages, ROOTS)
+    return modules, hierarchy.members(pages, pages.where("tabular"), modules, ROOTS)
+
+
+def module_tree(spark, sf_dir):
+    return hierarchy.tree(_page_paths(spark, sf_dir), ROOTS)
+
+
+def module_ancestors(spark, sf_dir):
+    return hierarchy.ancestors(module_tree(spark, sf_dir))
+
+
+def module_members(spark, sf_dir):
+    return _members(spark, sf_dir)[1].select("module", "kind", "id")
+
+
+def module_counts(spark, sf_dir):
+    return hierarchy.member_counts(_members(spark, sf_dir)[1])
+
+
+def summary_bytes(spark, sf_dir):
+    """Members of modules that fit in 8 KiB."""
+    held = _members(spark, sf_dir)[1].withColumn("size", F.octet_length(F.concat("module", "kind", "id", "path")))
+    return hierarchy.within_bytes(held, "size", 8192).select("module", "kind", "id")
+
+
+def summary_shown(spark, sf_dir):
+    """The modules that an answer with all members shows."""
+    return hierarchy.shown(*_members(spark, sf_dir))
+
+
+def assembly_names(spark, sf_dir):
+    """Pages under the folders of pages with a table."""
+    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit("<table")).alias("tabular"))
+    stated = pages.where("tabular").select(text.parent_directory("path").alias("directory"), F.concat(F.lit("A"), "id").alias("name"))
+    return hierarchy.assembly_of(pages.select("id", "path"), stated)
+
+
+def byte_budget(spark, sf_dir):
+    """Edges of a shard of 256 KiB."""
+    pairs = _edges(spark, sf_dir).select("from_id", "to_id").distinct()
+    nodes = pairs.select(F.explode(F.array("from_id", "to_id")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    edges = pairs.withColumn("bytes", F.octet_length("from_id") + F.octet_length("to_id"))
+    own, kept = graph.shard(nodes.withColumn("bytes", F.octet_length("id")), edges, [F.col("degree").desc()], "bytes", "bytes", 256 << 10)
+    return kept.select("from_id", "to_id").union(own.select("id", F.lit(None)))
+
+
+def greedy_budget(spark, sf_dir):
+    """Documents as files of two kinds, taken by path while they fit in 1 MiB."""
+    docs = _table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").cast("string").alias("path"), F.when(F.col("lang") == "en", "source").otherwise("auxiliary").alias("kind"), F.octet_length("text").alias("size"))
+    return budgets.graph_inputs(files, 1 << 20)
+
+
+def graph_totals(spark, sf_dir):
+    edges = _edges(spark, sf_dir).withColumnRenamed("relation", "language")
+    return graph.totals(edges.select("language", F.col("to_id").alias("id")).distinct(), edges)
+
+
+def _rewritten(spark, sf_dir):
+    """Documents as they were, as files, and as they are, where a phrase has changed."""
+    docs = _files(spark, sf_dir).where("text IS NOT NULL")
+    files = lambda t: docs.select(F.col("path").cast("string").alias("path"), t.alias("text")).select("path", "text", text.content_hash("text").alias("file_hash"), F.size(text.lines("text")).alias("n_lines"))
+    return files(F.col("text")), files(F.regexp_replace("text", PHRASE, "of a"))
+
+
+def _marked(old):
+    each = old.select("path", "file_hash", "n_lines", F.posexplode(text.lines("text")).alias("i", "line")).where(F.contains("line", F.lit("tion")))
+    return each.select("path", "file_hash", "n_lines", (F.col("i") + 1).alias("line_start"), F.concat_ws(":", "path", F.col("i") + 1).alias("id"))
+
+
+def fresh_trace(spark, sf_dir):
+    """Edges between neighbouring lines that hold a syllable, in documents that are as they were, with what lies there."""
+    old, now = _rewritten(spark, sf_dir)
+    marked = _marked(old)
+    after = Window.partitionBy("path").orderBy("line_start")
+    edges = marked.select(F.col("id").alias("from_id"), F.lead("id").over(after).alias("to_id"), F.col("path").alias("ev_path"), F.col("line_start").alias("ev_line"), F.lead("line_start").over(after).alias("ev_line_end"), "file_hash")
+    nodes = graph.fresh_nodes(marked.withColumn("line_end", F.col("line_start")), now)
+    held = graph.fresh_edges(edges.where("to_id IS NOT NULL"), now, nodes)
+    return graph.with_excerpts(held, now, "ev_path", "ev_line", "ev_line_end", graph.EDGE_LINES).select("from_id", "to_id", "ev_path", "ev_line", text.content_hash("text").alias("hash"))
+
+
+def node_excerpts(spark, sf_dir):
+    """From the first line with a syllable to the end of each document that is as it was."""
+    old, now = _rewritten(spark, sf_dir)
+    nodes = _marked(old).groupBy("path", "file_hash", F.col("n_lines").alias("line_end")).agg(F.min("line_start").alias("line_start"))
+    shown = graph.with_excerpts(graph.fresh_nodes(nodes, now), now, "path", "line_start", "line_end", graph.NODE_LINES)
+    return shown.select("path", "line_start", "line_end", text.content_hash("text").alias("hash"))
+
+
+def seeds_capped(spark, sf_dir):
+    """The first hits are seeds, those without a score by their rank; symbols as in ``seed_overlap``."""
+    docs = _table(spark, sf_dir, "documents")
+    hits = chunking.chunk_files(docs, path_col="doc_id").where(F.contains("text", F.lit(PHRASE))).withColumn("score", F.when(F.col("ordinal") > 0, 1.0 / F.col("ordinal")))
+    seeds = graph.seed_scores(hits.select("path", "ordinal", "line_start", "line_end", "score"), ["path", "ordinal"])
+    each = docs.select(F.col("doc_id").cast("string").alias("path"), F.posexplode(text.lines("text")).alias("i", "line")).where(F.contains("line", F.lit("tion")))
+    nodes = each.select("path", (F.col("i") + 1).alias("line_start"), (F.col("i") + 2).alias("line_end"), F.concat_ws(":", "path", F.col("i") + 1).alias("id"))
+    return graph.seed_nodes(seeds, nodes).select("node", F.round("score", 9).alias("score"))
+
+
+def symbol_match(spark, sf_dir):
+    """Parts as symbols, and what a simple name, a full name's end and a signature's end mean."""
+    full = F.concat_ws(".", "p_brand", "p_type", "p_name")
+    nodes = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), full.alias("full_name"), F.concat(full, F.lit("("), "p_size", F.lit(")")).alias("signature"))
+    found = [graph.match_symbols(nodes, q).select(F.lit(q).alias("query"), "p_partkey") for q in ("small ring", "ECONOMY.small ring", "ECONOMY.small ring(11)")]
+    return found[0].union(found[1]).union(found[2])
+
+
+def upsert(spark, sf_dir):
+    old, now = _states(spark, sf_dir)
+    return snapshots.upsert(old, now.where(F.contains("text", F.lit(PHRASE))), "doc_id").select("doc_id", text.content_hash("text").alias("hash"))
+
+
+def asset_links(spark, sf_dir):
+    """Pages as assets whose links are references by id; each page's first link is the id of an asset of its own."""
+    links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
+    own = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), links.alias("links")).where(F.size("links") > 0)
+    line = lambda x: F.concat(F.lit("guid: "), F.md5(x.cast("binary")))
+    assets = own.select(F.concat(F.lit("a/"), "id", F.lit(".prefab")).alias("path"), F.array_join(F.transform("links", line), "\n").alias("text"))
+    meta = own.select(F.concat(F.lit("m/"), "id", F.lit(".asset.meta")), line(F.get("links", F.lit(0))))
+    return sources.asset_references(assets.union(meta))
+
+
+def classify_paths(spark, sf_dir):
+    """Pages' paths by source, as text files or not, and whether two kinds of globs turn them away."""
+    paths = _page_paths(spark, sf_dir).select("id", F.concat("path", F.when(F.col("path").endswith("/"), "index.md").otherwise("")).alias("path"))
+    own = sources.classified(paths, ["."], ["www.cheap-pills.example.com", "blog.tionsh.example.net/en"])
+    return own.select("id", "source", text.is_text_file("path").alias("is_text"), F.col("path").rlike(sources.glob_pattern("**/en/*")).alias("excluded"), F.col("path").rlike(sources.ignore_pattern("fr/")).alias("ignored"))
+
+
+def semantic_only(spark, sf_dir):
+    """Documents as files of which some code isn't embedded."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "code").otherwise("document").alias("source"), F.concat_ws("/", F.col("source").alias("s"), F.col("doc_id")).alias("path"))
+    return sources.semantic_files(docs, ["src1/**", "**/*7"]).select("doc_id", "source")
+
+
+def notes_union(spark, sf_dir):
+    """Documents and conversations' turns, as notes, as one table of files."""
+    notes = _table(spark, sf_dir, "conversations").select(F.col("role").alias("project_slug"), F.concat_ws("-", "conv_id", "turn").alias("label"), "text")
+    files = _table(spark, sf_dir, "documents").select(F.lit("code").alias("source"), F.col("doc_id").cast("string").alias("path"), "text")
+    return files.unionByName(sources.notes_as_files(notes)).select("source", "path", text.content_hash("text").alias("hash"))
+
+
+def project_match(spark, sf_dir):
+    """Pages whose folder, in capitals and with backslashes, no other page has."""
+    folders = _page_paths(spark, sf_dir).select("id", F.upper(F.replace(text.parent_directory("path"), F.lit("/"), F.lit("\\"))).alias("path"))
+    return sources.matching_projects(folders).select("id", "key")
+
+
+def path_terms(spark, sf_dir):
+    return _page_paths(spark, sf_dir).where(text.path_has_term("path", F.lit("Blog x EN/1 pills"))).select("id")
+
+
+def chunk_sections(spark, sf_dir):
+    """Documents as Markdown in which lines with the phrase are headings."""
+    heading = lambda x: F.when(F.contains(x, F.lit(PHRASE)), F.concat(F.lit("# "), x)).otherwise(x)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.concat("doc_id", F.lit(".md")).alias("path"), F.array_join(F.transform(text.lines("text"), heading), "\n").alias("text"))
+    return chunking.chunk_files(docs).select("path", "ordinal", "line_start", "line_end", text.content_hash("text").alias("hash"))
+
+
 QUERIES = {
     "exact_content": exact_content, "exact_topk": exact_topk, "path_match": path_match, "content_hash": content_hash, "bounded_read": bounded_read, "chunk_pack": chunk_pack,
     "vector_topk": vector_topk, "vector_dedup": vector_dedup, "rrf_fuse": rrf_fuse, "index_diff": index_diff, "run_totals": run_totals, "stale_ids": stale_ids,
     "fresh_hits": fresh_hits, "edge_dedup": edge_dedup, "node_cap": node_cap, "callers": callers, "callees": callees, "seed_overlap": seed_overlap, "expand_2hop": expand_2hop,
     "graphrag_merge": graphrag_merge, "hierarchy": hierarchy_modules, "cochange": cochange, "link_extract": link_extract, "route_query": route_query,
     "identifiers": identifiers, "coalesce_bursts": coalesce_bursts, "vector_topk_each": vector_topk_each, "vector_dedup_each": vector_dedup_each, "rrf_fuse_each": rrf_fuse_each,
+    "module_tree": module_tree, "module_ancestors": module_ancestors, "module_members": module_members, "module_counts": module_counts, "summary_bytes": summary_bytes,
+    "summary_shown": summary_shown, "assembly_names": assembly_names, "byte_budget": byte_budget, "greedy_budget": greedy_budget, "graph_totals": graph_totals, "fresh_trace": fresh_trace,
+    "node_excerpts": node_excerpts, "seeds_capped": seeds_capped, "symbol_match": symbol_match, "upsert": upsert, "asset_links": asset_links, "classify_paths": classify_paths,
+    "semantic_only": semantic_only, "notes_union": notes_union, "project_match": project_match, "path_terms": path_terms, "chunk_sections": chunk_sections,
 }
 
 LINES = "SELECT doc_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INTEGER) AS line, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL"
@@ -300,6 +476,74 @@ EXPAND = """
         SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS n FROM x
     )
 """
+PATHS = "SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, contains(html, '<table') AS tabular FROM pages"
+PARENT = "CASE WHEN regexp_replace({0}, '(^|/)[^/]*$', '') = '' THEN '.' ELSE regexp_replace({0}, '(^|/)[^/]*$', '') END"
+TREE = f"""
+    WITH RECURSIVE paths AS MATERIALIZED (
+        SELECT id, path, tabular, {PARENT.format('path')} AS folder,
+               CASE WHEN starts_with(path, 'www.cheap-pills.example.com/en/') THEN 'www.cheap-pills.example.com/en' WHEN starts_with(path, 'www.cheap-pills.example.com/') THEN 'www.cheap-pills.example.com' ELSE '.' END AS root
+        FROM ({PATHS})
+    ), steps AS MATERIALIZED (
+        SELECT DISTINCT folder, root, array_to_string(string_split(folder, '/')[1:i], '/') AS step
+        FROM (SELECT DISTINCT folder, root, CASE WHEN root = '.' THEN 0 ELSE len(string_split(root, '/')) END AS depth FROM paths WHERE folder <> '.'), LATERAL (SELECT unnest(range(depth + 1, len(string_split(folder, '/')) + 1)) AS i)
+    ), folders AS MATERIALIZED (
+        SELECT DISTINCT step AS path, root FROM steps WHERE step NOT IN ('www.cheap-pills.example.com', 'www.cheap-pills.example.com/en') ORDER BY path LIMIT 2044
+    ), modules AS MATERIALIZED (
+        SELECT * FROM (VALUES ('project', NULL, 'project', NULL), ('root:.', 'project', 'code_root', '.'), ('root:www.cheap-pills.example.com', 'root:.', 'code_root', 'www.cheap-pills.example.com'),
+            ('root:www.cheap-pills.example.com/en', 'root:www.cheap-pills.example.com', 'code_root', 'www.cheap-pills.example.com/en')) t(id, parent_id, kind, path)
+        UNION ALL
+        SELECT 'directory:' || path, CASE WHEN {PARENT.format('path')} IN (root, '.') THEN 'root:' || root ELSE 'directory:' || {PARENT.format('path')} END, 'directory', path FROM folders
+    ), deepest AS (
+        SELECT folder, root, max(step) AS step FROM steps WHERE step IN (SELECT path FROM folders) GROUP BY ALL
+    ), items AS (
+        (SELECT 'node' AS kind, id, path, folder, root FROM paths ORDER BY id LIMIT 20000) UNION ALL (SELECT 'edge', id, path, folder, root FROM paths WHERE tabular ORDER BY id LIMIT 50000)
+    ), members AS MATERIALIZED (
+        SELECT coalesce('directory:' || step, 'root:' || i.root) AS module, kind, id, i.path FROM items i LEFT JOIN deepest d ON d.folder = i.folder AND d.root = i.root
+    ), up AS (
+        SELECT id, id AS ancestor, 0 AS steps FROM modules
+        UNION ALL SELECT up.id, m.parent_id, up.steps + 1 FROM up JOIN modules m ON m.id = up.ancestor WHERE m.parent_id IS NOT NULL
+    )
+"""
+SECTIONS = r"""
+    WITH RECURSIVE l AS MATERIALIZED (
+        SELECT doc_id, line, text, length(text) AS k FROM (SELECT doc_id, line, CASE WHEN contains(text, 'PHRASE') THEN '# ' || text ELSE text END AS text FROM (LINES))
+    ), t AS MATERIALIZED (
+        SELECT doc_id, max(line) AS n FROM l GROUP BY doc_id
+    ), z AS MATERIALIZED (
+        SELECT l.doc_id, CASE WHEN l.text = '' AND t.n > 1 THEN t.n - 1 ELSE t.n END AS n FROM t JOIN l ON l.doc_id = t.doc_id AND l.line = t.n
+    ), w AS MATERIALIZED (
+        SELECT l.*, CAST(sum(CASE WHEN line > 1 AND regexp_matches(text, '^#{1,6}\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY l.doc_id ORDER BY line) AS BIGINT) AS s FROM l JOIN z ON z.doc_id = l.doc_id AND l.line <= z.n
+    ), y AS MATERIALIZED (
+        SELECT doc_id, s, min(line) AS a, max(line) AS b, CAST(sum(k + 1) - 1 AS BIGINT) AS size FROM w GROUP BY doc_id, s
+    ), g AS (
+        SELECT doc_id, s, a, b, size FROM y WHERE s = 0
+        UNION ALL
+        SELECT y.doc_id, y.s, CASE WHEN y.size <= 1600 AND g.size + 1 + y.size <= 1200 THEN g.a ELSE y.a END, y.b, CASE WHEN y.size <= 1600 AND g.size + 1 + y.size <= 1200 THEN g.size + 1 + y.size ELSE y.size END
+        FROM g JOIN y ON y.doc_id = g.doc_id AND y.s = g.s + 1
+    ), r AS MATERIALIZED (
+        SELECT doc_id, a, max(b) AS b, max(size) AS size FROM g GROUP BY doc_id, a
+    ), v AS MATERIALIZED (
+        SELECT w.doc_id, w.line, w.text, w.k, r.a, r.size FROM w JOIN r ON r.doc_id = w.doc_id AND w.line BETWEEN r.a AND r.b
+    ), f AS (
+        SELECT doc_id, a, line, k > 1600 AS cut, CASE WHEN k > 1600 THEN line + 1 ELSE line END AS open_at, CASE WHEN k > 1600 THEN 0 ELSE k END AS held, line AS first FROM v WHERE size > 1600 AND line = a
+        UNION ALL
+        SELECT v.doc_id, v.a, v.line, v.k > 1600, CASE WHEN v.k > 1600 THEN v.line + 1 WHEN f.held > 0 AND f.held + 1 + v.k > 1600 THEN v.line ELSE f.open_at END,
+               CASE WHEN v.k > 1600 THEN 0 WHEN f.held > 0 AND f.held + 1 + v.k > 1600 THEN v.k WHEN f.held > 0 THEN f.held + 1 + v.k ELSE v.k END,
+               CASE WHEN v.k > 1600 OR f.held > 0 AND f.held + 1 + v.k > 1600 THEN v.line ELSE f.open_at END
+        FROM f JOIN v ON v.doc_id = f.doc_id AND v.a = f.a AND v.line = f.line + 1
+    ), p AS (
+        SELECT doc_id, a, max(line) AS b, 0 AS o, string_agg(text, chr(10) ORDER BY line) AS text FROM v WHERE size <= 1600 GROUP BY doc_id, a
+        UNION ALL
+        SELECT f.doc_id, min(f.line), max(f.line), 0, string_agg(v.text, chr(10) ORDER BY f.line) FROM f JOIN v ON v.doc_id = f.doc_id AND v.line = f.line WHERE NOT f.cut GROUP BY f.doc_id, f.a, f.first
+        UNION ALL
+        SELECT doc_id, line, line, unnest(range(0, CAST(ceil(k / 1600) AS BIGINT))), substr(text, 1 + 1600 * unnest(range(0, CAST(ceil(k / 1600) AS BIGINT))), 1600) FROM v WHERE k > 1600 AND size > 1600
+    )
+    SELECT doc_id || '.md' AS path, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, o) - 1 AS INTEGER) AS ordinal, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, sha256(text) AS hash
+    FROM p WHERE trim(text, chr(10) || chr(9) || ' ') <> ''
+""".replace("PHRASE", PHRASE).replace("LINES", LINES)
+MARKED = f"WITH m AS (SELECT doc_id, line FROM ({LINES}) WHERE contains(text, 'tion')), d AS (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE NOT contains(text, '{PHRASE}'))"
+EXCERPT = r"sha256(substr(regexp_replace(array_to_string(a[{0}:{1}], chr(10)), '^\s+|\s+$', '', 'g'), 1, 2000))"
+DEGREES = f"e AS (SELECT DISTINCT from_id, to_id FROM ({EDGES})), k AS (SELECT id FROM (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 20000)"
 SAID = "SELECT 'c-' || conv_id || '-' || turn AS id, text FROM conversations UNION ALL SELECT 'b-' || item_id, text FROM benchmark"
 
 ORACLES: dict[str, str] = {
@@ -335,8 +579,8 @@ ORACLES: dict[str, str] = {
     "fresh_hits": f"WITH {STATES} SELECT o.doc_id, sha256(o.text) AS hash FROM o WHERE EXISTS (SELECT 1 FROM n WHERE n.doc_id = o.doc_id AND n.text = o.text)",
     "edge_dedup": f"SELECT from_id, to_id, relation, ev_path, ev_line FROM (SELECT *, row_number() OVER (PARTITION BY from_id, to_id, relation ORDER BY ev_path, ev_line) AS n FROM ({EDGES})) WHERE n = 1",
     "node_cap": f"""
-        WITH e AS (SELECT DISTINCT from_id, to_id FROM ({EDGES})), k AS (SELECT id FROM (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 1500)
-        SELECT from_id, to_id FROM e WHERE from_id IN (FROM k) AND to_id IN (FROM k) ORDER BY from_id, to_id LIMIT 2000
+        WITH e AS (SELECT DISTINCT from_id, to_id FROM ({EDGES})), k AS (SELECT id FROM (SELECT from_id AS id FROM e UNION ALL SELECT to_id FROM e) GROUP BY id ORDER BY count(*) DESC, id LIMIT 20000)
+        SELECT from_id, to_id FROM e WHERE from_id IN (FROM k) AND to_id IN (FROM k) ORDER BY from_id, to_id LIMIT 50000
     """,
     "callers": f"SELECT * FROM ({EDGES}) WHERE to_id = 'p7' ORDER BY ev_path, ev_line, relation, from_id, to_id LIMIT 101",
     "callees": f"SELECT * FROM ({EDGES}) WHERE from_id = 's3' ORDER BY ev_path, ev_line, relation, from_id, to_id LIMIT 201",
@@ -413,6 +657,102 @@ ORACLES: dict[str, str] = {
         )
         SELECT q.id, CASE WHEN strlen(text) > length(text) THEN v END AS identifiers FROM q LEFT JOIN j ON j.id = q.id
     """,
+    "module_tree": f"{TREE} SELECT id, parent_id, kind, path FROM modules",
+    "module_ancestors": f"{TREE} SELECT id, ancestor, steps FROM up",
+    "module_members": f"{TREE} SELECT module, kind, id FROM members",
+    "module_counts": f"{TREE} SELECT module, count(*) FILTER (kind = 'node') AS nodes, count(*) FILTER (kind = 'edge') AS edges, count(DISTINCT path) AS sources FROM members GROUP BY module",
+    "summary_bytes": f"{TREE} SELECT module, kind, id FROM (SELECT *, sum(octet_length(encode(module || kind || id || path))) OVER (ORDER BY module, kind, id, path ROWS UNBOUNDED PRECEDING) AS n FROM members) WHERE n <= 8192",
+    "summary_shown": f"""
+        {TREE}, places AS (
+            SELECT id AS module, row_number() OVER (ORDER BY parent_id IS NOT NULL, coalesce(path, ''), id) AS place FROM modules
+        ), edges AS (
+            SELECT m.module FROM members m JOIN places p ON p.module = m.module WHERE kind = 'edge' ORDER BY place, id LIMIT 1000
+        ), counted AS (
+            SELECT module, count(*) FILTER (kind = 'node') AS nodes, count(*) FILTER (kind = 'edge') AS edges FROM (SELECT module, kind FROM members WHERE kind = 'node' UNION ALL SELECT module, 'edge' FROM edges) GROUP BY module
+        ), chains AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY any_value(p.place)) AS n, list(ancestor) AS chain FROM counted c JOIN places p ON p.module = c.module JOIN up ON up.id = c.module GROUP BY c.module
+        ), fold AS (
+            SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS kept
+            UNION ALL
+            SELECT chains.n, CASE WHEN len(list_distinct(list_concat(kept, chain))) <= 64 THEN list_distinct(list_concat(kept, chain)) ELSE kept END FROM fold JOIN chains ON chains.n = fold.n + 1
+        ), chosen AS (
+            SELECT unnest(arg_max(kept, n)) AS id FROM fold
+        )
+        SELECT chosen.id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM chosen LEFT JOIN counted ON module = chosen.id
+    """,
+    "assembly_names": f"""
+        WITH p AS (SELECT id, path, tabular, {PARENT.format('path')} AS folder FROM ({PATHS})), d AS (SELECT folder, min('A' || id) AS name FROM p WHERE tabular GROUP BY folder), f AS (SELECT DISTINCT folder FROM p), b AS (
+            SELECT f.folder, arg_max(d.name, CASE WHEN d.folder = '.' THEN 0 ELSE length(d.folder) END) AS name FROM f JOIN d ON d.folder = '.' OR f.folder = d.folder OR starts_with(f.folder, d.folder || '/') GROUP BY f.folder
+        )
+        SELECT id, path, coalesce(name, CASE WHEN list_contains(string_split(lower(path), '/'), 'editor') THEN 'Assembly-CSharp-Editor' ELSE 'Assembly-CSharp' END) AS assembly FROM p LEFT JOIN b ON b.folder = p.folder
+    """,
+    "byte_budget": f"""
+        WITH {DEGREES}, n AS (
+            SELECT id, sum(strlen(id)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS upto FROM k
+        ), i AS (
+            SELECT from_id, to_id FROM e WHERE from_id IN (SELECT id FROM k) AND to_id IN (SELECT id FROM k) ORDER BY from_id, to_id LIMIT 50000
+        ), j AS (
+            SELECT *, sum(strlen(from_id) + strlen(to_id)) OVER (ORDER BY from_id, to_id ROWS UNBOUNDED PRECEDING) AS upto FROM i
+        )
+        SELECT from_id, to_id FROM j WHERE upto + (SELECT max(upto) FROM n) <= 262144 UNION ALL SELECT id, NULL FROM n WHERE upto <= 262144
+    """,
+    "greedy_budget": """
+        WITH RECURSIVE d AS (
+            SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN lang = 'en' THEN 'source' ELSE 'auxiliary' END AS kind, CAST(strlen(text) AS BIGINT) AS size FROM documents WHERE strlen(text) <= 2097152
+        ), r AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY path) AS n FROM ((SELECT * FROM d WHERE kind = 'source' ORDER BY path LIMIT 2000) UNION ALL (SELECT * FROM d WHERE kind = 'auxiliary' ORDER BY path LIMIT 256))
+        ), f AS (
+            SELECT CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, false AS took
+            UNION ALL SELECT r.n, CASE WHEN total + size <= 1048576 THEN total + size ELSE total END, total + size <= 1048576 FROM f JOIN r ON r.n = f.n + 1
+        )
+        SELECT path, kind, size FROM r JOIN f ON f.n = r.n WHERE took
+    """,
+    "graph_totals": f"SELECT relation AS language, count(DISTINCT to_id) AS nodes, count(*) AS edges FROM ({EDGES}) GROUP BY relation",
+    "fresh_trace": f"""
+        {MARKED}, x AS (SELECT doc_id, line, lead(line) OVER (PARTITION BY doc_id ORDER BY line) AS after FROM m)
+        SELECT x.doc_id || ':' || line AS from_id, x.doc_id || ':' || after AS to_id, CAST(x.doc_id AS VARCHAR) AS ev_path, line AS ev_line, {EXCERPT.format('line', 'least(after, line + 19)')} AS hash FROM x JOIN d ON d.doc_id = x.doc_id WHERE after IS NOT NULL
+    """,
+    "node_excerpts": f"""
+        {MARKED}, x AS (SELECT doc_id, min(line) AS line FROM m GROUP BY doc_id)
+        SELECT CAST(x.doc_id AS VARCHAR) AS path, line AS line_start, CAST(len(a) AS INTEGER) AS line_end, {EXCERPT.format('line', 'least(len(a), line + 59)')} AS hash FROM x JOIN d ON d.doc_id = x.doc_id
+    """,
+    "seeds_capped": f"""
+        {CHUNKS}, h AS (
+            SELECT doc_id, line_start, line_end, ordinal, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR), ordinal) AS rank FROM c WHERE contains(text, '{PHRASE}')
+        ), s AS (
+            SELECT doc_id, line_start, line_end, greatest(0.001, CASE WHEN ordinal > 0 THEN 1.0::DOUBLE / ordinal ELSE 1.0::DOUBLE / (60 + rank) END) AS score FROM h WHERE rank <= 64
+        ), m AS (SELECT doc_id, line FROM ({LINES}) WHERE contains(text, 'tion'))
+        SELECT m.doc_id || ':' || line AS node, round(max(score), 9) AS score FROM m JOIN s ON s.doc_id = m.doc_id AND line_start <= line + 1 AND line <= line_end GROUP BY 1
+    """,
+    "symbol_match": """
+        WITH n AS (SELECT p_partkey, p_name AS name, p_brand || '.' || p_type || '.' || p_name AS full_name, p_brand || '.' || p_type || '.' || p_name || '(' || p_size || ')' AS signature FROM part)
+        SELECT 'small ring' AS query, p_partkey FROM n WHERE name = 'small ring'
+        UNION ALL SELECT 'ECONOMY.small ring', p_partkey FROM n WHERE full_name = 'ECONOMY.small ring' OR ends_with(full_name, '.ECONOMY.small ring')
+        UNION ALL SELECT 'ECONOMY.small ring(11)', p_partkey FROM n WHERE signature = 'ECONOMY.small ring(11)' OR ends_with(signature, '.ECONOMY.small ring(11)')
+    """,
+    "upsert": f"""
+        WITH {STATES}, c AS (SELECT * FROM n WHERE contains(text, '{PHRASE}'))
+        SELECT doc_id, sha256(text) AS hash FROM o WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT doc_id, sha256(text) FROM c
+    """,
+    "asset_links": """
+        WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages), t AS (SELECT md5(a[1]) AS guid, min('m/' || page_id || '.asset') AS target FROM p WHERE len(a) > 0 GROUP BY 1), r AS (
+            SELECT page_id, CAST(unnest(range(1, len(a) + 1)) AS INTEGER) AS line, md5(unnest(a)) AS guid FROM p
+        )
+        SELECT 'a/' || page_id || '.prefab' AS from_id, coalesce(target, 'unresolved:' || r.guid) AS to_id, 'references' AS relation, 'a/' || page_id || '.prefab' AS ev_path, line AS ev_line FROM r LEFT JOIN t ON t.guid = r.guid
+    """,
+    "classify_paths": f"""
+        WITH p AS (SELECT id, CASE WHEN ends_with(path, '/') THEN path || 'index.md' ELSE path END AS path FROM ({PATHS}))
+        SELECT id, CASE WHEN starts_with(path, 'www.cheap-pills.example.com/') OR starts_with(path, 'blog.tionsh.example.net/en/') OR path IN ('www.cheap-pills.example.com', 'blog.tionsh.example.net/en') THEN 'document' ELSE 'code' END AS source,
+               ends_with(path, '.md') AS is_text, regexp_matches(path, '^(.*/)?en/[^/]*$') AS excluded, regexp_matches(path, '^(.*/)?fr/.*$') AS ignored FROM p
+    """,
+    "semantic_only": "SELECT doc_id, CASE WHEN lang = 'en' THEN 'code' ELSE 'document' END AS source FROM documents WHERE lang <> 'en' OR NOT (source = 'src1' OR doc_id % 10 = 7)",
+    "notes_union": """
+        SELECT 'code' AS source, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash FROM documents
+        UNION ALL SELECT 'document', '@handoff/' || role || '/' || conv_id || '-' || turn || '.md', sha256(text) FROM conversations
+    """,
+    "project_match": f"SELECT any_value(id) AS id, lower(folder) AS key FROM (SELECT id, {PARENT.format('path')} AS folder FROM ({PATHS})) GROUP BY lower(folder) HAVING count(*) = 1",
+    "path_terms": f"SELECT id FROM ({PATHS}) WHERE contains(lower(path), 'blog') OR contains(lower(path), 'en/1') OR contains(lower(path), 'pills')",
+    "chunk_sections": SECTIONS,
     "coalesce_bursts": """
         WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, ts FROM events), b AS (
             SELECT user_id, min(ts) AS started FROM e GROUP BY user_id

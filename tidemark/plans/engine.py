@@ -2,7 +2,8 @@
 
 A snapshot is two Parquet tables, files and chunks, that nothing changes once they are written; a
 row in the table of runs, appended last, makes it the current one. So a run that fails leaves the
-one before in force, and readers never see half of one.
+one before in force, and readers never see half of one. Graphs are kept alike, two tables and a
+row in a table of their own, so they outlive runs; what no longer holds of them is told by hashes.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import routing
-from tidemark.functions.text import content_hash, joined_hash
+from tidemark.functions.text import content_hash, joined_hash, lines, path_has_term
 from tidemark.operators import exact, graph, hierarchy, retrieval, snapshots
 from tidemark.operators.chunking import chunk_files
 from tidemark.operators.embedding import Embedder, HashingEmbedder, with_embeddings
 
 RUNS = "run long, folder string, model string, at timestamp, seen long, unchanged long, changed long, new long, deleted long"
+GRAPHS = "graph long, folder string, at timestamp"
 VERSION = "chunks-1"
 
 
@@ -31,22 +33,31 @@ class Engine:
 
     # Snapshots
 
-    def runs(self) -> DataFrame:
-        """All runs, none if there were none."""
-        none = self.spark.createDataFrame([], RUNS)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/runs")
+    def _log(self, name: str, schema: str) -> DataFrame:
+        none = self.spark.createDataFrame([], schema)
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
             return none
-        return self.spark.read.schema(none.schema).parquet(f"{self.folder}/runs")
+        return self.spark.read.schema(none.schema).parquet(f"{self.folder}/{name}")
+
+    def runs(self) -> DataFrame:
+        """All runs, none if there were none."""
+        return self._log("runs", RUNS)
+
+    def graphs(self) -> DataFrame:
+        """All graphs that were saved."""
+        return self._log("graphs", GRAPHS)
 
     def current(self):
         """The row of the last run, or None."""
         return self.runs().orderBy(F.col("run").desc()).first()
 
     def table(self, name: str) -> DataFrame:
-        run = self.current()
+        """files or chunks of the last run, nodes or edges of the last graph."""
+        graph = name in ("nodes", "edges")
+        run = self.graphs().orderBy(F.col("graph").desc()).first() if graph else self.current()
         if run is None:
-            raise ValueError("nothing is indexed yet")
+            raise ValueError("no graph is saved yet" if graph else "nothing is indexed yet")
         return self.spark.read.parquet(f"{run['folder']}/{name}")
 
     def index(self, files: DataFrame, rebuild: bool = False) -> dict:
@@ -78,12 +89,20 @@ class Engine:
         return {"run": run, **totals}
 
     def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        """Nodes (id, name, full_name, signature, path, line_start, line_end, file_hash) and edges (from_id, to_id, relation, ev_path, ev_line, file_hash) beside the current snapshot."""
-        run = self.current()
-        nodes.write.mode("overwrite").parquet(f"{run['folder']}/nodes")
-        edges.write.mode("overwrite").parquet(f"{run['folder']}/edges")
+        """Nodes (id, name, full_name, signature, path, line_start, line_end, file_hash) and edges (from_id, to_id, relation, ev_path, ev_line, file_hash) as the current graph."""
+        folder = f"{self.folder}/{uuid.uuid4().hex}"
+        nodes.write.parquet(f"{folder}/nodes")
+        edges.write.parquet(f"{folder}/edges")
+        last = self.graphs().agg(F.coalesce(F.max("graph"), F.lit(0)).alias("n")).first()["n"]
+        row = self.spark.range(1).select(F.lit(last + 1).cast("long").alias("graph"), F.lit(folder).alias("folder"), F.current_timestamp().alias("at"))
+        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/graphs")
+
+    # Queries; each returns a DataFrame with one row more than ``limit`` if results are cut.
+    # ``now``, the files (source, path, text) as they are, tells which hits still hold; without it the indexed files do.
 
-    # Queries; each returns a DataFrame with one row more than ``limit`` if results are cut
+    def _now(self, now: DataFrame | None) -> DataFrame:
+        files = self.table("files") if now is None else now.where("path IS NOT NULL AND text IS NOT NULL").select("source", "path", "text", content_hash("text").alias("hash"))
+        return files.select("source", "path", F.col("hash").alias("file_hash"), F.size(lines("text")).alias("n_lines"), "text")
 
     def _scoped(self, df: DataFrame, scope: str) -> DataFrame:
         return df if scope == "all" else df.where(F.col("source") == ("document" if scope == "documents" else scope))
@@ -93,27 +112,46 @@ class Engine:
         files = self._scoped(self.table("files"), scope)
         return exact.first_matches(exact.content_matches(files, query), limit)
 
-    def semantic(self, query: str, scope: str = "all", limit: int = 50) -> DataFrame:
-        """(path, line_start, line_end, text, score): the nearest chunks, one for each path, of files that are still the same."""
+    def _near(self, chunks: DataFrame, query: str, limit: int, keep=None) -> DataFrame:
+        """The nearest chunks to a query, those that ``keep`` holds for, the best of each path, with its rank."""
+        hits = retrieval.nearest(chunks, self.embedder.embed([query])[0].tolist(), retrieval.overfetch(limit))
+        return retrieval.first_of_each(hits if keep is None else hits.where(keep), "path", F.col("score").desc(), "id")
+
+    def semantic(self, query: str, scope: str = "all", limit: int = 50, now: DataFrame | None = None) -> DataFrame:
+        """(path, line_start, line_end, text, score, source): the nearest chunks, one for each path, of files that are still the same.
+
+        A query with other than ASCII that has names in it is also asked by these alone; hits whose
+        path holds one of them make a second list, and the lists are fused by their ranks.
+        """
         exact.checked(query, limit)
-        vector = self.embedder.embed([query])[0].tolist()
-        chunks = snapshots.fresh(self._scoped(self.table("chunks"), scope), self.table("files").select("path", F.col("hash").alias("file_hash"), "source"), ["path", "file_hash", "source"])
-        hits = retrieval.nearest(chunks, vector, retrieval.overfetch(limit))
-        best = retrieval.first_of_each(hits, "path", F.col("score").desc(), "id")
-        return best.select("path", "line_start", "line_end", "text", "score").orderBy(F.col("score").desc(), "path").limit(limit + 1)
-
-    def graph_search(self, query: str, scope: str = "all", limit: int = 50) -> DataFrame:
-        """Semantic hits, and places in the graph near them: nodes that overlap the hits' lines, and what is two edges away, of files that are still the same."""
-        hits = self.semantic(query, scope, min(200, max(4 * limit, 32)))
-        current = self.table("files").select("path", F.col("hash").alias("file_hash"))
-        nodes = snapshots.fresh(self.table("nodes"), current, ["path", "file_hash"])
-        edges = snapshots.fresh(self.table("edges"), current.select(F.col("path").alias("ev_path"), "file_hash"), ["ev_path", "file_hash"])
-        ends = nodes.select("id")
-        edges = edges.join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
-        seeds = graph.seed_nodes(hits.select("path", "line_start", "line_end", F.greatest(F.lit(0.001), "score").alias("score")), nodes)
-        found = graph.expand(seeds, edges).orderBy(F.col("score").desc(), "node").limit(graph.MOST_NODES)
-        places = found.join(nodes, F.col("node") == F.col("id")).select("path", "line_start", "line_end", "score", F.lit("graph").alias("kind"))
-        return graph.merge_candidates(hits.select("path", "line_start", "line_end", "score", F.lit("semantic").alias("kind")), places, limit)
+        chunks = snapshots.fresh(self._scoped(self.table("chunks"), scope), self._now(now), ["path", "file_hash", "source"])
+        found = [self._near(chunks, query, limit)]
+        names = None if query.isascii() else self.spark.range(1).select(routing.identifiers(F.lit(query))).first()[0]
+        if names and names.lower() != query.lower():
+            second = self._near(chunks, names, limit, path_has_term("path", F.lit(names)))
+            found += [] if second.isEmpty() else [second]
+        place = ["path", "line_start", "line_end", "text"]
+        if len(found) == 1:
+            return found[0].select(*place, "score", "source").orderBy(F.col("score").desc(), "path").limit(limit + 1)
+        fused = retrieval.fuse(found, "path")
+        hits = found[0].select(*place, "source", F.lit(0).alias("list")).union(found[1].select(*place, "source", F.lit(1)))
+        return hits.join(fused, ["path", "list"]).orderBy(F.col("score").desc(), "list", "rank", "path").select(*place, "score", "source").limit(limit + 1)
+
+    def graph_search(self, query: str, scope: str = "all", limit: int = 50, now: DataFrame | None = None) -> DataFrame:
+        """(path, line_start, line_end, score, kind, text): semantic hits, and places in the graph near them: of the nodes that overlap the lines of the first code hits, what is up to two edges away, in files that are still the same."""
+        hits = self.semantic(query, scope, min(200, max(4 * limit, 32)), now)
+        files = self._now(now)
+        code = files.where("source = 'code'")
+        nodes = graph.fresh_nodes(self.table("nodes"), code)
+        edges = graph.fresh_edges(self.table("edges"), code, nodes)
+        seeds = graph.seed_scores(hits.where("source = 'code'").select("path", "line_start", "line_end", "score"), [F.col("score").desc(), F.col("path"), F.col("line_start")])
+        found = graph.expand(graph.seed_nodes(seeds, nodes), edges).orderBy(F.col("score").desc(), "node").limit(graph.MOST_NODES).where("hop > 0")
+        last = F.least("line_end", F.col("line_start") + graph.NODE_LINES - 1).alias("line_end")
+        places = found.join(nodes, F.col("node") == F.col("id")).select("path", "line_start", last, "score", F.lit("graph").alias("kind"))
+        near = hits.select("path", "line_start", "line_end", F.greatest(F.lit(0.001), "score").alias("score"), F.lit("semantic").alias("kind"))
+        merged = graph.merge_candidates(near, places, limit)
+        shown = graph.with_excerpts(merged, files, "path", "line_start", "line_end", graph.NODE_LINES)
+        return shown.orderBy(F.col("score").desc(), "path", "line_start", "line_end")
 
     def search(self, query: str, mode: str = "auto", scope: str = "all", limit: int = 50) -> tuple[str, DataFrame]:
         """The mode that answered (exact, graph or semantic) and its rows. "auto" goes by the query's text, and by meaning where the first way finds nothing."""
@@ -136,17 +174,25 @@ class Engine:
         """The lines of one file; no row if there is no such file, or it ends before."""
         return exact.bounded_read(self.table("files").where(F.col("path") == path), start, end)
 
-    def trace(self, symbol: str, direction: str = "callees", limit: int = 50) -> DataFrame:
-        """Stored edges from or to the symbol; raises if a name means several full names."""
-        names = [r["full_name"] for r in graph.match_symbols(self.table("nodes"), symbol).select("full_name").distinct().limit(11).collect()]
+    def trace(self, symbol: str, direction: str = "callees", limit: int = 50, now: DataFrame | None = None) -> DataFrame:
+        """Stored edges from or to the symbol; raises if a name means several full names. With ``now`` only edges that still hold at both ends and where they were seen, with the ``text`` of that place."""
+        matched = graph.match_symbols(self.table("nodes"), symbol)
+        names = [r["full_name"] for r in matched.select("full_name").distinct().limit(11).collect()]
         if len(names) > 1:
             raise ValueError(f"{symbol} means several symbols: {', '.join(sorted(names)[:10])}")
-        own = self.table("nodes").where(F.col("full_name") == (names[0] if names else symbol)).select("id")
         side = "to_id" if direction == "callers" else "from_id"
-        edges = self.table("edges").join(own.withColumnRenamed("id", side), side, "left_semi")
+        edges = self.table("edges").join(matched.select(F.col("id").alias(side)), side, "left_semi")
         if direction in ("inherits", "implements"):
             edges = edges.where(F.col("relation") == direction)
-        return edges.orderBy("ev_path", "ev_line", "relation", "from_id", "to_id").limit(limit + 1)
+        if now is not None:
+            files = self._now(now).where("source = 'code'")
+            edges = graph.fresh_edges(edges, files, graph.fresh_nodes(self.table("nodes"), files))
+        order = ["ev_path", "ev_line", "relation", "from_id", "to_id"]
+        edges = edges.orderBy(*order).limit(limit + 1)
+        if now is None:
+            return edges
+        end = "ev_line_end" if "ev_line_end" in edges.columns else "ev_line"
+        return graph.with_excerpts(edges, files, "ev_path", "ev_line", end, graph.EDGE_LINES).orderBy(*order)
 
     def impact(self, commit_files: DataFrame, target: str, limit: int = 50) -> DataFrame:
         return hierarchy.cochange(commit_files, target, limit)

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import META_GUID, asset_kind, content_hash, extension, guids, is_text_file, lines, parent_directory
+from tidemark.functions.text import META_GUID, asset_kind, content_hash, extension, guids, is_text_file, lines, parent_directory, project_key
 
 MOST_BYTES = 2 << 20
 
@@ -28,6 +28,34 @@ def glob_pattern(glob: str) -> str:
     return f"^{out}$"
 
 
+def ignore_pattern(glob: str) -> str:
+    """A glob of an ignore file as a regular expression: one without a slash but at its end holds at any depth, one for a folder holds for all in it."""
+    own = glob.strip().replace("\\", "/")
+    folder, anchored = own.endswith("/"), "/" in own.rstrip("/")
+    own = own.strip("/")
+    body = glob_pattern(own)[1:-1]
+    return f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
+
+
+def semantic_files(files: DataFrame, globs: list[str]) -> DataFrame:
+    """``files`` (source, path, ...) that are embedded: code whose path fits one of ``globs`` isn't, documents always are. Graphs are made of all."""
+    for glob in globs:
+        files = files.where((F.col("source") != "code") | ~F.col("path").rlike(glob_pattern(glob)))
+    return files
+
+
+def notes_as_files(notes: DataFrame) -> DataFrame:
+    """(source, path, text): notes (project_slug, label, text) as documents under paths of their own, to be indexed beside a project's files."""
+    return notes.select(F.lit("document").alias("source"), F.concat(F.lit("@handoff/"), "project_slug", F.lit("/"), "label", F.lit(".md")).alias("path"), "text")
+
+
+def matching_projects(projects: DataFrame, path_col: str = "path") -> DataFrame:
+    """The projects that alone have their path, slashes and case apart, with ``key``; a path that several have names none."""
+    own = projects.withColumn("key", project_key(projects[path_col]))
+    single = own.groupBy("key").agg(F.count("*").alias("_n")).where("_n = 1").select("key")
+    return own.join(single, "key", "left_semi").select(*own.columns)
+
+
 def classified(files: DataFrame, code: list[str], documents: list[str]) -> DataFrame:
     """``files`` with ``source``, code or document, by the folders that hold them; those in none go. A folder of documents within one of code holds documents."""
     inside = lambda folders: F.lit(False) if not folders else F.concat(F.lit("/"), F.col("path")).rlike("^(?:" + "|".join(r"/.*" if f.strip("/") in ("", ".") else rf"/{re.escape(f.strip('/'))}(?:/.*)?$" for f in folders) + ")")
@@ -38,12 +66,14 @@ def scan(spark: SparkSession, root: str, *, code: list[str], documents: list[str
     """(source, path, hash, length, encoding, text, skip_reason) of the text files under ``root``.
 
     Text is UTF-8, else the extended Korean code page; files over 2 MiB, with NUL bytes or in
-    neither encoding have a reason and no text. Sizes are looked at before contents are read.
+    neither encoding have a reason and no text. Contents of larger files are never read.
     """
     prefix = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    relative = F.expr(f"substring(path, position('{prefix.removeprefix('file://')}' IN path) + {len(prefix.removeprefix('file://'))})")
-    raw = raw.select(relative.alias("path"), "length", "content").where(is_text_file("path"))
+    prefix = prefix.removeprefix("file://")
+    relative = F.substr(F.col("path"), F.position(F.lit(prefix), F.col("path")) + F.lit(len(prefix)))
+    small, large = raw.where(F.col("length") <= MOST_BYTES), raw.where(F.col("length") > MOST_BYTES)
+    raw = small.select(relative.alias("path"), "length", "content").union(large.select(relative, "length", F.lit(None).cast("binary"))).where(is_text_file("path"))
     for glob in excludes:
         raw = raw.where(~F.col("path").rlike(glob_pattern(glob)))
     own = classified(raw, list(code), list(documents))
