@@ -233,10 +233,10 @@ def _page_paths(spark, sf_dir, *more):
 
 
 def _members(spark, sf_dir):
-    """Pages as nodes and, those with a table, as evidence of edges, in the tree of their paths."""
-    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit("<table")).alias("tabular"))
+    """Pages as nodes and, those in English, as evidence of edges, in the tree of their paths."""
+    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit('lang="en"')).alias("english"))
     modules = hierarchy.tree(pages, ROOTS)
-    return modules, hierarchy.members(pages, pages.where("tabular"), modules, ROOTS)
+    return modules, hierarchy.members(pages, pages.where("english"), modules, ROOTS)
 
 
 def module_tree(spark, sf_dir):
@@ -267,9 +267,9 @@ def summary_shown(spark, sf_dir):
 
 
 def assembly_names(spark, sf_dir):
-    """Pages under the folders of pages with a table."""
-    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit("<table")).alias("tabular"))
-    stated = pages.where("tabular").select(text.parent_directory("path").alias("directory"), F.concat(F.lit("A"), "id").alias("name"))
+    """Pages under the folders of English pages."""
+    pages = _page_paths(spark, sf_dir, F.contains("html", F.lit('lang="en"')).alias("english"))
+    stated = pages.where("english").select(text.parent_directory("path").alias("directory"), F.concat(F.lit("A"), "id").alias("name"))
     return hierarchy.assembly_of(pages.select("id", "path"), stated)
 
 
@@ -476,11 +476,11 @@ EXPAND = """
         SELECT *, row_number() OVER (PARTITION BY node ORDER BY score DESC, hop) AS n FROM x
     )
 """
-PATHS = "SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, contains(html, '<table') AS tabular FROM pages"
+PATHS = '''SELECT CAST(page_id AS VARCHAR) AS id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path, contains(html, 'lang="en"') AS english FROM pages'''
 PARENT = "CASE WHEN regexp_replace({0}, '(^|/)[^/]*$', '') = '' THEN '.' ELSE regexp_replace({0}, '(^|/)[^/]*$', '') END"
 TREE = f"""
     WITH RECURSIVE paths AS MATERIALIZED (
-        SELECT id, path, tabular, {PARENT.format('path')} AS folder,
+        SELECT id, path, english, {PARENT.format('path')} AS folder,
                CASE WHEN starts_with(path, 'www.cheap-pills.example.com/en/') THEN 'www.cheap-pills.example.com/en' WHEN starts_with(path, 'www.cheap-pills.example.com/') THEN 'www.cheap-pills.example.com' ELSE '.' END AS root
         FROM ({PATHS})
     ), steps AS MATERIALIZED (
@@ -496,7 +496,7 @@ TREE = f"""
     ), deepest AS (
         SELECT folder, root, max(step) AS step FROM steps WHERE step IN (SELECT path FROM folders) GROUP BY ALL
     ), items AS (
-        (SELECT 'node' AS kind, id, path, folder, root FROM paths ORDER BY id LIMIT 20000) UNION ALL (SELECT 'edge', id, path, folder, root FROM paths WHERE tabular ORDER BY id LIMIT 50000)
+        (SELECT 'node' AS kind, id, path, folder, root FROM paths ORDER BY id LIMIT 20000) UNION ALL (SELECT 'edge', id, path, folder, root FROM paths WHERE english ORDER BY id LIMIT 50000)
     ), members AS MATERIALIZED (
         SELECT coalesce('directory:' || step, 'root:' || i.root) AS module, kind, id, i.path FROM items i LEFT JOIN deepest d ON d.folder = i.folder AND d.root = i.root
     ), up AS (
@@ -681,7 +681,7 @@ ORACLES: dict[str, str] = {
         SELECT chosen.id, coalesce(nodes, 0) AS nodes, coalesce(edges, 0) AS edges FROM chosen LEFT JOIN counted ON module = chosen.id
     """,
     "assembly_names": f"""
-        WITH p AS (SELECT id, path, tabular, {PARENT.format('path')} AS folder FROM ({PATHS})), d AS (SELECT folder, min('A' || id) AS name FROM p WHERE tabular GROUP BY folder), f AS (SELECT DISTINCT folder FROM p), b AS (
+        WITH p AS (SELECT id, path, english, {PARENT.format('path')} AS folder FROM ({PATHS})), d AS (SELECT folder, min('A' || id) AS name FROM p WHERE english GROUP BY folder), f AS (SELECT DISTINCT folder FROM p), b AS (
             SELECT f.folder, arg_max(d.name, CASE WHEN d.folder = '.' THEN 0 ELSE length(d.folder) END) AS name FROM f JOIN d ON d.folder = '.' OR f.folder = d.folder OR starts_with(f.folder, d.folder || '/') GROUP BY f.folder
         )
         SELECT id, path, coalesce(name, CASE WHEN list_contains(string_split(lower(path), '/'), 'editor') THEN 'Assembly-CSharp-Editor' ELSE 'Assembly-CSharp' END) AS assembly FROM p LEFT JOIN b ON b.folder = p.folder
