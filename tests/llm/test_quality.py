@@ -71,3 +71,40 @@ def test_isotonic(seed):
     assert (np.diff(values) > 0).all()
     best = [max(min((y[a : b + 1] * n[a : b + 1]).sum() / n[a : b + 1].sum() for b in range(i, 9)) for a in range(i + 1)) for i in range(9)]
     assert np.allclose(sorted(set(np.round(best, 9))), np.round(values, 9))
+
+
+def test_scores_match_a_plain_fit(spark):
+    """Least squares on augmented rows and isotonic means by their min-max formula, with numpy alone."""
+    import zlib
+
+    from tidemark.llm.quality import BINS, FEATURES, PENALTY, Model
+
+    rng = random.Random(5)
+    docs, labels = corpus(400, 2)
+    labels = [(i, y ^ (rng.random() < 0.15), t) for i, y, t in labels]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string")
+    got = {r["doc_id"]: r["score"] for r in score_quality(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+
+    x = statistics(pa.array([t for _, t, *_ in docs]))
+    fixed = Model(x.mean(axis=0), x.std(axis=0))  # for its projections
+    z = np.clip((x - x.mean(axis=0)) / np.where(x.std(axis=0) > 1e-12, x.std(axis=0), 1), -4, 4)
+    waves = np.array([[np.sqrt(2 / FEATURES) * np.cos(row @ p + a) for p, a in zip(fixed.project.T, fixed.phase)] for row in z])
+    f = np.column_stack([waves, z, np.ones(len(z))])
+    y, rest = np.array([y for _, y, _ in labels], dtype=float), np.array([zlib.crc32(str(i).encode()) % 3 for i, *_ in docs])
+
+    def weights(own):
+        penalty = np.full(f.shape[1], PENALTY * own.sum())
+        penalty[-1] = 1e-9
+        return np.linalg.lstsq(np.vstack([f[own], np.diag(np.sqrt(penalty))]), np.concatenate([y[own], np.zeros(len(penalty))]), rcond=None)[0]
+
+    unseen = np.where(rest == 2, f @ weights(rest == 0), f @ weights(rest == 2))[rest != 1]
+    bins = np.rint(np.clip(unseen, -1, 2) * BINS)
+    places = np.unique(bins)
+    sums, counts = (np.array([w[bins == b].sum() for b in places]) for w in (y[rest != 1], np.ones(len(bins))))
+    mean = lambda a, b: sums[a : b + 1].sum() / counts[a : b + 1].sum()
+    n = len(places)
+    values = np.array([max(min(mean(a, b) for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+    levels = np.unique(np.round(values, 12))
+    middle = [np.average(places[np.round(values, 12) == v], weights=counts[np.round(values, 12) == v]) / BINS for v in levels]
+    want = np.clip(np.interp(f @ weights(rest != 1), middle, levels), 0, 1)
+    assert len(levels) > 3 and np.allclose([got[i] for i, *_ in docs], want, atol=1e-6)
