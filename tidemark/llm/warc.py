@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import new_folder, staged
+from tidemark.llm.links import in_filter, row_filter
 
 #: Uncompressed bytes after which a task begins another archive.
 ARCHIVE_BYTES = 256 << 20
@@ -87,15 +88,19 @@ def write_monolithic(pages: DataFrame, folder: str, *, id_col: str = "page_id",
 
     A null payload is an empty one. Of equal payloads of ``REVISIT_BYTES`` or more, the row with
     the largest id is the response and rows with smaller or no id are revisits of it; rows that
-    share the largest id are all responses. Payloads meet by their digests, counted before they
-    are shuffled; only digests that occur twice are joined back.
+    share the largest id are all responses. Ids and digests meet by digest, without payloads; a
+    payload is shuffled only if its digest occurs twice, by id and digest, so equal ones spread.
     """
     own = pages.select(pages[id_col].cast("string").alias("id"), pages[id_col].alias("key"), pages[url_col].alias("url"), F.coalesce(pages[payload_col], F.lit("")).alias("payload"))
     own = own.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    twice = own.where(F.octet_length("payload") >= REVISIT_BYTES).groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
-    typed = own.join(twice, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("key").isNull() | (F.col("key") < F.col("first")))
-    typed = typed.select("id", "url", "payload", "digest", F.when(revisit, F.col("first").cast("string")).alias("first"))
+    light = own.where(F.octet_length("payload") >= REVISIT_BYTES).select("key", "digest")
+    twice = staged(light.groupBy("digest").agg(F.max("key").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n"), "twice")
+    likely = in_filter(pages.sparkSession.sparkContext.broadcast(row_filter(twice.select(F.xxhash64("digest")))))(F.xxhash64("digest"))
+    revisits = light.where(likely).join(twice, "digest").where("key IS NULL OR key < first")
+    revisits = revisits.select(F.col("key").alias("_key"), F.col("digest").alias("_digest"), F.col("first").cast("string").alias("first")).distinct()
+    columns = ["id", "url", "payload", "digest", "first"]
+    typed = own.where(likely).join(revisits, F.col("key").eqNullSafe(F.col("_key")) & (F.col("digest") == F.col("_digest")), "left").select(*columns)
+    typed = typed.union(own.where(~likely).withColumn("first", F.lit(None).cast("string")).select(*columns))
 
     def write(batches):
         import pyarrow as pa
