@@ -97,7 +97,8 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
         half = len(n) // 2
         cut = int(n[:half].sum())
         return np.concatenate([simhashes(h[:cut], n[:half]), simhashes(h[cut:], n[half:])])
-    own = np.unique((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40)) | (h >> np.uint64(24)))
+    own = np.sort((np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40)) | (h >> np.uint64(24)))
+    own = own[np.append(True, own[1:] != own[:-1])[: len(own)]]
     n = np.bincount((own >> np.uint64(40)).astype(np.int64), minlength=len(n))
     x = np.stack([mix((own << np.uint64(24)) + r) for r in randoms(BLOCKS // 2, 41)])
     return _majority(x, np.cumsum(n) - n, n)
