@@ -83,7 +83,51 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.search import top_products
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_products(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs``, in which each text whose id's checksum is divisible by ten repeats some of its words from a word on; its white space becomes single spaces."""
+
+    @F.pandas_udf("string")
+    def plant(texts, sums):
+        def one(text, h):
+            if text is None or not (words := text.encode().split()):
+                return text
+            g = int(h) // 10
+            a = g % len(words)
+            p = 1 + (len(words) - a) // (3 + g % 8)
+            return b" ".join(words[:a] + [words[a + i % p] for i in range(len(words) - a)]).decode()
+
+        import pandas as pd
+
+        return pd.Series([one(t, h) for t, h in zip(texts, sums)], dtype=object)
+
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = h % 10 == 0
+    return docs.withColumn("text", F.when(chosen, plant(F.when(chosen, F.col("text")), h)).otherwise(F.col("text")))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.periods import find_runs, run_report
+
+    return run_report(find_runs(with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
 QUERIES = {
+    "op11_embedding_whitening": embedding_whitening,
+    "op12_exact_topk_search": exact_topk_search,
+    "op13_periodic_runs": periodic_runs,
     "op4_lm_scoring": lm_scoring,
     "op6_secret_scans": secret_scans,
     "op2_quality_classifier": quality_classifier,
@@ -126,6 +170,18 @@ ORACLES: dict[str, str] = {
                round(coalesce(-p.b / len(words), 0.0), 6) AS background_loss, round(coalesce((p.t - p.b) / len(words), 0.0), 6) AS score
         FROM w LEFT JOIN p ON p.r = w.r
     """,
+    "op12_exact_topk_search": """
+        WITH v AS (
+            SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+            WHERE len(embedding) > 0 AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+        ), s AS (
+            SELECT q.r, q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.x, p.x) AS BIGINT) AS score
+            FROM v q JOIN v p ON p.r <> q.r AND len(p.x) = len(q.x) WHERE q.vec_id % 20 = 0
+        ), n AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INT) AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM n WHERE rank <= 20
+    """,
     "op3_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, ''))) AS payload_bytes FROM pages
