@@ -37,8 +37,8 @@ def test_index_and_queries(spark, tmp_path):
 
     hashes = {r["path"]: r["hash"] for r in engine.table("files").collect()}
     node = lambda i, name, path, a, b, h=None: (i, name, f"N.{name}", f"N.{name}()", path, a, b, h or hashes[path])
-    nodes = spark.createDataFrame([node("1", "Invoke", "src/Feature.cs", 2, 2), node("2", "Save", "src/Store.cs", 2, 2), node("3", "Old", "src/Store.cs", 1, 1, "gone")], "id string, name string, full_name string, signature string, path string, line_start int, line_end int, file_hash string")
-    edges = spark.createDataFrame([("1", "2", "calls", "src/Feature.cs", 2, hashes["src/Feature.cs"]), ("1", "3", "calls", "src/Feature.cs", 2, "gone")], "from_id string, to_id string, relation string, ev_path string, ev_line int, file_hash string")
+    nodes = spark.createDataFrame([node("1", "Invoke", "src/Feature.cs", 2, 2), node("2", "Save", "src/Store.cs", 2, 2), node("3", "Old", "src/Store.cs", 1, 1, "0" * 64)], "id string, name string, full_name string, signature string, path string, line_start int, line_end int, file_hash string")
+    edges = spark.createDataFrame([("1", "2", "calls", "src/Feature.cs", 2, hashes["src/Feature.cs"]), ("1", "3", "calls", "src/Feature.cs", 2, "0" * 64)], "from_id string, to_id string, relation string, ev_path string, ev_line int, file_hash string")
     engine.save_graph(nodes, edges)
     assert engine.trace("Save", "callers").count() == 1 and engine.trace("N.Invoke", "callees").count() == 2 and engine.trace("Invoke", "inherits").count() == 0
     assert engine.search("who calls N.Save")[0] == "graph"

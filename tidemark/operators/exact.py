@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,52 @@ def bounded_read(files: DataFrame, start: int = 1, end: int | None = None, *, pa
     total = F.size("all")
     part = F.array_join(F.slice("all", start, end - start + 1), "\n")
     return own.select("path", F.lit(start).alias("line_start"), F.least(F.lit(end), total).alias("line_end"), total.alias("total_lines"), F.substring(part, 1, 200_000).alias("text"))
+
+
+#: What makes a query one for paths, a slash or one of these ends.
+PATH_QUERY = r"(?i)[/\\]|\.(?:asset|asmdef|asmref|cs|jsonc?|md|toml|txt|uss|uxml|ya?ml)$"
+#: Ranges that are read at first, and how many times as many at each further step.
+FIRST_RANGES, MORE_RANGES = 1, 4
+
+
+def asks_for_paths(query: str) -> bool:
+    return re.search(PATH_QUERY, query) is not None
+
+
+def target_rank(path, targets: list[str]) -> F.Column:
+    """The place in ``targets``, a few folders in order, of the first that holds a path; after all if none does."""
+    p, out = F.col(path) if isinstance(path, str) else path, F.lit(len(targets))
+    for i in reversed(range(len(targets))):
+        folder = targets[i].replace("\\", "/").strip("/")
+        out = F.when(F.lit(True) if folder in ("", ".") else (p == folder) | F.startswith(p, F.lit(f"{folder}/")), i).otherwise(out)
+    return out
+
+
+def in_ranges(files: DataFrame, targets: list[str], most: int | None = None) -> DataFrame:
+    """``files`` with ``target`` and ``part``: sorted by target and path into consecutive ranges, as many as their bytes ask for, or ``most``. Write them by ``part`` and a search reads only the ranges that it comes to."""
+    order = [F.col("target"), F.col("path")]
+    ranked = files.withColumn("target", target_rank("path", targets))
+    dealt = ranked.repartitionByRange(*order) if most is None else ranked.repartitionByRange(most, *order)
+    return dealt.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+
+
+def ordered_matches(files: DataFrame, parts: list[int], query: str, limit: int) -> DataFrame:
+    """(target, path, line, text): the first ``limit`` matches, and one more if there are, by target, path and line, in ``files`` stored by ``part``.
+
+    A query that looks like a path is looked for in paths only, without a line, its backslashes as
+    slashes. Ranges are read in order, one at first and then more at a time, until there are
+    enough: a frequent query reads little, a rare one all, in few steps. The answer, of 201 rows
+    at most, is a local table.
+    """
+    paths = asks_for_paths(query)
+    found, done, step = [], 0, FIRST_RANGES
+    schema = "target int, path string, line int, text string"
+    while done < len(parts) and len(found) <= limit:
+        own = files.where(F.col("part").isin(parts[done : done + step]))
+        if paths:
+            hits = own.where(F.contains("path", F.lit(query.replace("\\", "/")))).select("target", "path", F.lit(None).cast("int").alias("line"), F.col("path").alias("text"))
+        else:
+            hits = content_matches(own.select(F.struct("target", "path").alias("path"), "text"), query).select("path.*", "line", "text")
+        found += hits.orderBy("target", "path", "line").limit(limit + 1 - len(found)).collect()
+        done, step = done + step, step * MORE_RANGES
+    return files.sparkSession.createDataFrame(found, schema)

@@ -12,6 +12,8 @@ HOPS, DECAY, MOST_NODES = 2, 0.72, 400
 NODE_CAP, EDGE_CAP = 20_000, 50_000
 #: Hits that seed a walk, lines of a node and of an edge that are shown, bytes of a stored shard.
 MOST_SEEDS, NODE_LINES, EDGE_LINES, SHARD_BYTES = 64, 60, 20, 24 << 20
+#: Lengths of a stored graph's texts, and what a file's hash looks like.
+LENGTHS, HASH = {"name": 1024, "full_name": 4096, "signature": 8192, "path": 4096, "relation": 128}, "^[a-f0-9]{64}$"
 
 
 def with_node_id(nodes: DataFrame) -> DataFrame:
@@ -78,14 +80,56 @@ def trace(edges: DataFrame, symbol, direction: str, limit: int) -> DataFrame:
 
 
 def match_symbols(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes that a name means: with a bracket, the signature or its end; with a dot, the full name or its end; else the simple name."""
-    if "(" in query:
-        return nodes.where((F.col("signature") == query) | F.col("signature").endswith(f".{query}"))
-    if "." in query:
-        return nodes.where((F.col("full_name") == query) | F.col("full_name").endswith(f".{query}"))
+    """Nodes that a name means: with a bracket those of that signature, with a dot those of that full name, or, where there are none, those that end in it after a dot; else those of that simple name.
+
+    One pass ranks nodes and keeps the best rank: only the nodes that match at all are looked at again.
+    """
+    if "(" in query or "." in query:
+        own = F.col("signature" if "(" in query else "full_name")
+        rank = F.when(own == query, 0).when(own.endswith(f".{query}"), 1)
+        found = nodes.withColumn("_rank", rank).where("_rank IS NOT NULL")
+        return found.withColumn("_best", F.min("_rank").over(Window.partitionBy())).where("_rank = _best").drop("_rank", "_best")
     return nodes.where(F.col("name") == query)
 
 
+def _too_long(name: str, most: int) -> F.Column:
+    return F.col(name).isNull() | ~F.length(name).between(1, most)
+
+
+def violations(nodes: DataFrame, edges: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """(kind, id, path, rule): what keeps nodes and edges from being stored, a row for each rule that one breaks.
+
+    A node without a path has no lines and no hash. Others, and all edges, lie in a file of
+    ``allowed`` (path; all files if None), at lines in order from 1 on, with a SHA-256 of the file.
+    Names and relations have lengths from 1 on; ids and ends aren't null. An edge's id is its two
+    ends. Rows are told by one join with the allowed paths, each path once.
+    """
+    known = None if allowed is None else allowed.select(F.col("path").alias("_known")).where("_known IS NOT NULL").distinct()
+
+    def broken(rows: DataFrame, kind: str, path: str, start: str, end: str, ident, rules: dict) -> DataFrame:
+        lies = F.col(path).isNotNull()
+        inside = rows.withColumn("_known", F.col(path)) if known is None else rows.join(known, rows[path] == known["_known"], "left")
+        at, to, file_hash = F.col(start), F.col(end), F.col("file_hash")
+        in_order = F.coalesce((at >= 1) & (to >= at), F.lit(False))
+        every = {
+            "allowed path": lies & F.col("_known").isNull(), "lines": lies & ~in_order, "hash": lies & ~F.coalesce(file_hash.rlike(HASH), F.lit(False)),
+            "length of path": lies & ~F.length(path).between(1, LENGTHS["path"]), **rules,
+        }
+        told = F.filter(F.array(*[F.when(c, F.lit(rule)) for rule, c in every.items()]), lambda x: x.isNotNull())
+        return inside.select(F.lit(kind).alias("kind"), ident.alias("id"), F.col(path).alias("path"), F.explode(told).alias("rule"))
+
+    rules = {"id": F.col("id").isNull(), "no path": F.col("path").isNull() & (F.col("line_start").isNotNull() | F.col("line_end").isNotNull() | F.col("file_hash").isNotNull())}
+    rules |= {f"length of {c}": _too_long(c, LENGTHS[c]) for c in ("name", "full_name", "signature") if c in nodes.columns}
+    found = broken(nodes, "node", "path", "line_start", "line_end", F.col("id").cast("string"), rules)
+    rules = {"ends": F.col("from_id").isNull() | F.col("to_id").isNull(), "path": F.col("ev_path").isNull(), "length of relation": _too_long("relation", LENGTHS["relation"])}
+    ends = F.concat_ws(" ", F.coalesce(F.col("from_id").cast("string"), F.lit("")), F.coalesce(F.col("to_id").cast("string"), F.lit("")))
+    return found.union(broken(edges, "edge", "ev_path", "ev_line", last_line(edges), ends, rules))
+
+
+def last_line(edges: DataFrame) -> str:
+    return "ev_line_end" if "ev_line_end" in edges.columns else "ev_line"
+
+
 def shard(nodes: DataFrame, edges: DataFrame, order: list[str], node_bytes: str, edge_bytes: str, budget: int = SHARD_BYTES, cap: int = NODE_CAP, edge_cap: int = EDGE_CAP) -> tuple[DataFrame, DataFrame]:
     """``capped`` nodes and edges that fit in ``budget`` bytes together: nodes go first, by id, and edges, by ends, into what they leave. The columns named say a row's bytes."""
     nodes, edges = capped(nodes, edges, order, cap, edge_cap)
@@ -94,6 +138,15 @@ def shard(nodes: DataFrame, edges: DataFrame, order: list[str], node_bytes: str,
     return kept, prefix_within(edges, ["from_id", "to_id"], edge_bytes, budget, edge_cap, used=used)
 
 
+def within_shard(nodes: DataFrame, edges: DataFrame, size: str, budget: int = SHARD_BYTES, cap: int = NODE_CAP, edge_cap: int = EDGE_CAP) -> tuple[DataFrame, DataFrame]:
+    """What a stored graph of one language keeps: the first nodes by id, an id once, the first edges by ends, relation and evidence, and of these the prefixes that fit in ``budget`` bytes, nodes first. The column ``size`` says a row's bytes."""
+    nodes = nodes.dropDuplicates(["id"])
+    kept = prefix_within(nodes, ["id"], size, budget, cap)
+    used = kept.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_used"))
+    keys = ["from_id", "to_id", "relation", "ev_path", "ev_line"]
+    return kept, prefix_within(edges.dropDuplicates(keys), keys, size, budget, edge_cap, used=used)
+
+
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(language, nodes, edges): how many of each a graph has."""
     count = lambda own, other, x: x.groupBy("language").agg(F.count("*").alias(own)).withColumn(other, F.lit(0).cast("long"))
@@ -106,6 +159,13 @@ def _held(rows: DataFrame, files: DataFrame, path: str, line: str) -> DataFrame:
     return rows.join(f, (rows[path] == f["_path"]) & (rows["file_hash"] == f["_hash"]) & (rows[line] <= f["_n"]), "left_semi")
 
 
+def told_fresh(rows: DataFrame, files: DataFrame, path: str, line: str, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: whether their file is as it was and as long as they reach. ``files`` (path, file_hash, n_lines) have a path once."""
+    f = files.select(F.col("path").alias("_path"), F.col("file_hash").alias("_hash"), F.col("n_lines").alias("_n"))
+    same = (rows[path] == f["_path"]) & (rows["file_hash"] == f["_hash"]) & (rows[line] <= f["_n"])
+    return rows.join(f, same, "left").withColumn(name, F.col("_path").isNotNull()).drop("_path", "_hash", "_n")
+
+
 def fresh_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """The nodes whose file is as it was and as long as they reach; ``files`` (path, file_hash, n_lines) are the current ones. Nodes without path, hash or end go."""
     return _held(nodes, files, "path", "line_end")
@@ -114,7 +174,7 @@ def fresh_nodes(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def fresh_edges(edges: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges whose evidence still holds and whose ends are both in ``nodes``."""
     ends = nodes.select("id")
-    own = _held(edges, files, "ev_path", "ev_line_end" if "ev_line_end" in edges.columns else "ev_line")
+    own = _held(edges, files, "ev_path", last_line(edges))
     return own.join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(*edges.columns)
 
 

@@ -25,9 +25,17 @@ def fresh(hits: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     return hits.join(current.select(*keys), keys, "left_semi")
 
 
-def upsert(stored: DataFrame, rows: DataFrame, id_col: str = "id") -> DataFrame:
-    """``stored`` with ``rows`` in place of those of the same ids."""
-    return stored.join(rows.select(id_col), id_col, "left_anti").unionByName(rows)
+def upsert(stored: DataFrame, rows: DataFrame, id_col: str = "id", at_col: str | None = None) -> DataFrame:
+    """``stored`` with ``rows`` in place of those of the same ids.
+
+    Of rows with one id the last by ``at_col`` counts, an increasing number or time of writing;
+    without it the one with the greatest hash of its columns does. Rows without id are never equal and all stay.
+    """
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != id_col]
+    order = F.struct(*([F.col(at_col)] if at_col else []), F.xxhash64(*rest))
+    last = rows.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max_by(F.struct(F.lit(0).alias("_one"), *rest), order).alias("_last"))
+    kept = last.select(id_col, "_last.*").unionByName(rows.where(F.col(id_col).isNull()).withColumn("_one", F.lit(0))).select(*[c for c in rows.columns if c != at_col or c in stored.columns])
+    return stored.join(rows.select(id_col), id_col, "left_anti").unionByName(kept)
 
 
 def run_totals(changes: DataFrame, sample: int = 100) -> DataFrame:
