@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import routing, text
 from tidemark.operators import budgets, bursts, chunking, exact, graph, hierarchy, retrieval, snapshots
+from tidemark.plans import stored
 from tidemark.sources import files as sources
 
 PHRASE = "of the"
@@ -761,3 +762,6 @@ ORACLES: dict[str, str] = {
         SELECT b.user_id, b.started, count(*) AS n FROM b JOIN e ON e.user_id = b.user_id AND e.ts >= b.started AND e.ts < b.started + INTERVAL 6 HOUR GROUP BY ALL
     """,
 }
+
+QUERIES |= stored.QUERIES
+ORACLES |= stored.ORACLES

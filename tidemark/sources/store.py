@@ -169,6 +169,13 @@ class Log:
         return self.spark.read.schema(self.schema).json(f"{self.folder}/*.json")
 
 
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """The names of what lies in a folder, none if there is no such folder; without those of unfinished tables."""
+    path, fs = _path(spark, folder)
+    own = [x.getPath() for x in (fs.listStatus(path) if fs.exists(path) else [])]
+    return sorted(x.getName() for x in own if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path, fs = _path(spark, folder)
     fs.delete(path, True)
