@@ -19,6 +19,7 @@ SYMBOL = r"[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\([^()\r\n]{0,256}\))?|[A-Za-z_]\w*
 QUOTED_PATH = r"[\"'`]([^\"'`\r\n]*[\\/][^\"'`\r\n]*\.[A-Za-z0-9]+)[\"'`]"
 BARE_PATH = r"(?:[A-Za-z]:[\\/])?(?:[^\\/\s\"'<>|?*]+[\\/])+[^\\/\s\"'<>|?*]+\.[A-Za-z0-9]+"
 BARE_FILE = r"(?i)(?<![A-Za-z0-9_])[A-Za-z0-9_@()\-]+\.(?:asmdef|asmref|asset|cs|js|jsx|meta|prefab|ts|tsx|unity)(?![A-Za-z0-9_])"
+NAME = "[A-Za-z_][A-Za-z0-9_.]*"
 STOP_WORDS = ("call", "caller", "callers", "callee", "callees", "interface", "where", "which")
 
 
@@ -50,7 +51,7 @@ def route(query, scope="all") -> Column:
 def identifiers(query, most: int = 8) -> Column:
     """The ASCII names of two letters or more in a query that has other than ASCII: each once, as first spelled, the first ``most``, 512 characters; null without any."""
     q = _col(query)
-    terms = F.filter(F.regexp_extract_all(q, F.lit(r"[A-Za-z_][A-Za-z0-9_.]*"), 0), lambda x: F.length(x) >= 2)
+    terms = F.filter(F.regexp_extract_all(q, F.lit(NAME), 0), lambda x: F.length(x) >= 2)
     new = lambda held, x: F.when((F.size(held) >= most) | F.exists(held, lambda y: F.lower(y) == F.lower(x)), held).otherwise(F.concat(held, F.array(x)))
     first = F.aggregate(terms, F.array().cast("array<string>"), new)
     value = F.substring(F.array_join(first, " "), 1, 512)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The extensions of files that are read as text.
@@ -68,11 +68,27 @@ def trimmed(text) -> Column:
 
 
 def slug(text, fallback: str = "project") -> Column:
-    """Lower-case letters and digits, the rest as single underscores; 48 characters at most. Give text without accents, as Spark can't take them off."""
+    """Lower-case letters and digits, the rest as single underscores; 48 characters at most. Accented letters count as others; ``with_slug`` decomposes them first."""
     out = F.substring(F.regexp_replace(F.regexp_replace(F.lower(_col(text)), "[^a-z0-9]+", "_"), "^_+|_+$", ""), 1, 48)
     return F.when(out == "", fallback).otherwise(out)
 
 
+def with_slug(rows: DataFrame, column: str, name: str = "slug", fallback: str = "project") -> DataFrame:
+    """``rows`` with ``slug`` of a column in compatibility decomposition (NFKD): é is e and an accent, full-width letters are plain ones.
+
+    ASCII is its own decomposition and stays in the JVM; others are decomposed once for each different value.
+    """
+
+    @F.pandas_udf("string")
+    def decomposed(values):
+        return values.str.normalize("NFKD")
+
+    own = F.col(column)
+    other = rows.select(own.alias("_value")).where(own.rlike(r"[^\x00-\x7F]")).distinct()
+    other = other.select("_value", slug(decomposed("_value"), fallback).alias("_slug"))
+    return rows.join(other, own == F.col("_value"), "left").withColumn(name, F.coalesce("_slug", slug(own, fallback))).drop("_value", "_slug")
+
+
 def ranges_overlap(start, end, other_start, other_end) -> Column:
     """Whether two line ranges overlap; one without bounds overlaps all."""
     a, b, c, d = map(_col, (start, end, other_start, other_end))

@@ -14,8 +14,11 @@ from tidemark.functions import routing, text
 from tidemark.operators import budgets, bursts, chunking, exact, graph, hierarchy, retrieval, snapshots
 from tidemark.plans import stored
 from tidemark.sources import files as sources
+from tidemark.sources import globs
 
 PHRASE = "of the"
+#: Globs of what a project leaves out.
+EXCLUDES = ["**/{fr,de}/[1-4]*", "blog.*/**", "/m.*/*/?", "es/"]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,28 +54,6 @@ def chunk_pack(spark, sf_dir):
     return out.select(F.col("path").cast("long").alias("doc_id"), "ordinal", "line_start", "line_end", F.length("text").alias("n_chars"), text.content_hash("text").alias("hash"))
 
 
-def _query_vector(vectors: DataFrame, i: int) -> list[float]:
-    found = vectors.where(F.col("vec_id") == i).select("embedding").first()
-    return [float(x) for x in found[0]] if found else [1.0]
-
-
-def vector_topk(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings")
-    return retrieval.nearest(v, _query_vector(v, 0), 20, id_col="vec_id").select("vec_id", F.round("score", 6).alias("score"))
-
-
-def vector_dedup(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings")
-    hits = retrieval.nearest(v, _query_vector(v, 0), retrieval.overfetch(20), id_col="vec_id")
-    return retrieval.first_of_each(hits, "label", F.col("score").desc(), "vec_id").select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
-
-
-def rrf_fuse(spark, sf_dir):
-    v = _table(spark, sf_dir, "embeddings")
-    ranked = [retrieval.first_of_each(retrieval.nearest(v, _query_vector(v, i), 160, id_col="vec_id"), "label", F.col("score").desc(), "vec_id") for i in (0, 1)]
-    return retrieval.fuse(ranked, "label").select("label", F.round("score", 9).alias("score"), "list", "rank")
-
-
 def _found(spark, sf_dir, rests, k):
     """(query, vec_id, score, label): the ``k`` vectors nearest to each whose id has one of the ``rests`` by 100."""
     v = _table(spark, sf_dir, "embeddings")
@@ -185,10 +166,10 @@ def expand_2hop(spark, sf_dir):
 
 
 def graphrag_merge(spark, sf_dir):
-    """Expanded nodes and the nearest vectors as one list of places."""
+    """Expanded nodes and what is nearest to any query vector as one list of places."""
     place = lambda x, path, score, kind: x.select(path.alias("path"), F.lit(1).alias("line_start"), F.lit(2).alias("line_end"), F.round(score, 6).alias("score"), F.lit(kind).alias("kind"))
     found = place(graph.expand(*_order_graph(spark, sf_dir)), F.col("node"), F.col("score"), "graph")
-    near = place(vector_topk(spark, sf_dir), F.concat(F.lit("v"), F.col("vec_id")), F.col("score"), "semantic")
+    near = place(vector_topk_each(spark, sf_dir).groupBy("vec_id").agg(F.max("score").alias("score")), F.concat(F.lit("v"), F.col("vec_id")), F.col("score"), "semantic")
     return graph.merge_candidates(near, found, 50)
 
 
@@ -366,6 +347,11 @@ def classify_paths(spark, sf_dir):
     return own.select("id", "source", text.is_text_file("path").alias("is_text"), F.col("path").rlike(sources.glob_pattern("**/en/*")).alias("excluded"), F.col("path").rlike(sources.ignore_pattern("fr/")).alias("ignored"))
 
 
+def excluded_paths(spark, sf_dir):
+    """Whether globs with classes, braces and folders turn a page's path away, in either dialect."""
+    return _page_paths(spark, sf_dir).select("id", globs.excluded("path", EXCLUDES).alias("excluded"))
+
+
 def semantic_only(spark, sf_dir):
     """Documents as files of which some code isn't embedded."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "code").otherwise("document").alias("source"), F.concat_ws("/", F.col("source").alias("s"), F.col("doc_id")).alias("path"))
@@ -398,13 +384,13 @@ def chunk_sections(spark, sf_dir):
 
 QUERIES = {
     "exact_content": exact_content, "exact_topk": exact_topk, "path_match": path_match, "content_hash": content_hash, "bounded_read": bounded_read, "chunk_pack": chunk_pack,
-    "vector_topk": vector_topk, "vector_dedup": vector_dedup, "rrf_fuse": rrf_fuse, "index_diff": index_diff, "run_totals": run_totals, "stale_ids": stale_ids,
+    "index_diff": index_diff, "run_totals": run_totals, "stale_ids": stale_ids,
     "fresh_hits": fresh_hits, "edge_dedup": edge_dedup, "node_cap": node_cap, "callers": callers, "callees": callees, "seed_overlap": seed_overlap, "expand_2hop": expand_2hop,
     "graphrag_merge": graphrag_merge, "hierarchy": hierarchy_modules, "cochange": cochange, "link_extract": link_extract, "route_query": route_query,
     "identifiers": identifiers, "coalesce_bursts": coalesce_bursts, "vector_topk_each": vector_topk_each, "vector_dedup_each": vector_dedup_each, "rrf_fuse_each": rrf_fuse_each,
     "module_tree": module_tree, "module_ancestors": module_ancestors, "module_members": module_members, "module_counts": module_counts, "summary_bytes": summary_bytes,
     "summary_shown": summary_shown, "assembly_names": assembly_names, "byte_budget": byte_budget, "greedy_budget": greedy_budget, "graph_totals": graph_totals, "fresh_trace": fresh_trace,
-    "node_excerpts": node_excerpts, "seeds_capped": seeds_capped, "symbol_match": symbol_match, "upsert": upsert, "asset_links": asset_links, "classify_paths": classify_paths,
+    "node_excerpts": node_excerpts, "seeds_capped": seeds_capped, "symbol_match": symbol_match, "upsert": upsert, "asset_links": asset_links, "classify_paths": classify_paths, "excluded_paths": excluded_paths,
     "semantic_only": semantic_only, "notes_union": notes_union, "project_match": project_match, "path_terms": path_terms, "chunk_sections": chunk_sections,
 }
 
@@ -448,9 +434,7 @@ CHUNKS = f"""
         SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a, o) - 1 AS INTEGER) AS ordinal, CAST(a AS INTEGER) AS line_start, CAST(b AS INTEGER) AS line_end, text FROM p WHERE trim(text, chr(10) || chr(9) || ' ') <> ''
     )
 """
-NEAR = "SELECT e.vec_id, e.label, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id = {} ORDER BY score DESC, e.vec_id LIMIT {}"
-FIRST = "SELECT label, vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS n FROM ({})) WHERE n = 1"
-# The same for many queries at once.
+# What is nearest to each of many vectors.
 NEAR_EACH = """
     SELECT * FROM (
         SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS place FROM (
@@ -557,12 +541,6 @@ ORACLES: dict[str, str] = {
         SELECT doc_id AS path, 3 AS line_start, CAST(least(12, len(a)) AS INTEGER) AS line_end, CAST(len(a) AS INTEGER) AS total_lines, substr(array_to_string(a[3:12], chr(10)), 1, 200000) AS text FROM l WHERE len(a) >= 3
     """,
     "chunk_pack": f"{CHUNKS} SELECT doc_id, ordinal, line_start, line_end, CAST(length(text) AS INTEGER) AS n_chars, sha256(text) AS hash FROM c",
-    "vector_topk": f"SELECT vec_id, round(score, 6) AS score FROM ({NEAR.format(0, 20)})",
-    "vector_dedup": f"SELECT label, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ({FIRST.format(NEAR.format(0, 160))})",
-    "rrf_fuse": f"""
-        WITH r AS (SELECT label, 0 AS list, rank FROM ({FIRST.format(NEAR.format(0, 160))}) UNION ALL SELECT label, 1, rank FROM ({FIRST.format(NEAR.format(1, 160))}))
-        SELECT label, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(min(list) AS INTEGER) AS list, CAST(arg_min(rank, list) AS INTEGER) AS rank FROM r GROUP BY label
-    """,
     "vector_topk_each": f"SELECT query, vec_id, round(score, 6) AS score FROM ({NEAR_EACH.format('0', 20)})",
     "vector_dedup_each": f"SELECT query, label, vec_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM ({FIRST_EACH.format(NEAR_EACH.format('0', 160))})",
     "rrf_fuse_each": f"""
@@ -592,7 +570,7 @@ ORACLES: dict[str, str] = {
     "expand_2hop": f"{EXPAND} SELECT node, round(score, 9) AS score, hop FROM y WHERE n = 1",
     "graphrag_merge": f"""
         {EXPAND}, z AS (
-            SELECT node AS path, round(score, 6) AS score, 'graph' AS kind FROM y WHERE n = 1 UNION ALL SELECT 'v' || vec_id, round(score, 6), 'semantic' FROM ({NEAR.format(0, 20)})
+            SELECT node AS path, round(score, 6) AS score, 'graph' AS kind FROM y WHERE n = 1 UNION ALL SELECT 'v' || vec_id, round(score, 6), 'semantic' FROM (SELECT vec_id, max(score) AS score FROM ({NEAR_EACH.format('0', 20)}) GROUP BY vec_id)
         )
         SELECT path, 1 AS line_start, 2 AS line_end, score, kind FROM z ORDER BY score DESC, path LIMIT 51
     """,
@@ -746,6 +724,7 @@ ORACLES: dict[str, str] = {
         SELECT id, CASE WHEN starts_with(path, 'www.cheap-pills.example.com/') OR starts_with(path, 'blog.tionsh.example.net/en/') OR path IN ('www.cheap-pills.example.com', 'blog.tionsh.example.net/en') THEN 'document' ELSE 'code' END AS source,
                ends_with(path, '.md') AS is_text, regexp_matches(path, '^(.*/)?en/[^/]*$') AS excluded, regexp_matches(path, '^(.*/)?fr/.*$') AS ignored FROM p
     """,
+    "excluded_paths": f"SELECT id, regexp_matches(path, '^([^/]+/)*(fr|de)/[1-4][^/]*(/.*)?$') OR regexp_matches(path, '^blog[.][^/]*/.+$') OR regexp_matches(path, '^m[.][^/]*/[^/]+/[^/](/.*)?$') OR regexp_matches(path, '^(.*/)?es/.*$') AS excluded FROM ({PATHS})",
     "semantic_only": "SELECT doc_id, CASE WHEN lang = 'en' THEN 'code' ELSE 'document' END AS source FROM documents WHERE lang <> 'en' OR NOT (source = 'src1' OR doc_id % 10 = 7)",
     "notes_union": """
         SELECT 'code' AS source, CAST(doc_id AS VARCHAR) AS path, sha256(text) AS hash FROM documents

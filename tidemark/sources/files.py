@@ -2,39 +2,36 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import META_GUID, asset_kind, content_hash, extension, guids, is_text_file, lines, parent_directory, project_key
+from tidemark.functions.text import META_GUID, asset_kind, content_hash, extension, guids, is_text_file, lines, parent_directory, project_key, trimmed
+from tidemark.sources.frontmatter import mapping
+from tidemark.sources.globs import excluded, glob_pattern, ignore_pattern  # noqa: F401
 
-MOST_BYTES = 2 << 20
+# Fixed value: the first heading of a note.
+HEADING = r"(?m)^#\s+(.+?)\s*#*\s*$"
+#: Bytes of a file that is read, and files of a project.
+MOST_BYTES, MOST_FILES = 2 << 20, 100_000
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob over relative paths as a regular expression: ** crosses folders, * and ? don't."""
-    out, i = "", 0
-    glob = glob.replace("\\", "/").lstrip("/")
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] in "*?":
-            out, i = out + ("[^/]*" if glob[i] == "*" else "[^/]"), i + 1
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return f"^{out}$"
-
-
-def ignore_pattern(glob: str) -> str:
-    """A glob of an ignore file as a regular expression: one without a slash but at its end holds at any depth, one for a folder holds for all in it."""
-    own = glob.strip().replace("\\", "/")
-    folder, anchored = own.endswith("/"), "/" in own.rstrip("/")
-    own = own.strip("/")
-    body = glob_pattern(own)[1:-1]
-    return f"^{'' if anchored else '(?:.*/)?'}{body}{'/.*' if folder else '(?:/.*)?'}$"
+def target_folders(code: list[str], documents: list[str] = ()) -> list[str]:
+    """Folders of code, then of documents, as an exact search goes through them; raises ValueError for one outside of the project."""
+    out = []
+    for folder in (*code, *documents):
+        own = folder.replace("\\", "/")
+        depth = 0
+        for part in own.split("/"):
+            depth += 0 if part in ("", ".") else -1 if part == ".." else 1
+            if depth < 0:
+                break
+        if depth < 0 or own.startswith("/") or re.match("[A-Za-z]:", own):
+            raise ValueError(f"{folder} is not inside of the project")
+        out.append(posixpath.normpath(own))
+    return list(dict.fromkeys(out))
 
 
 def semantic_files(files: DataFrame, globs: list[str]) -> DataFrame:
@@ -62,21 +59,24 @@ def classified(files: DataFrame, code: list[str], documents: list[str]) -> DataF
     return files.withColumn("source", F.when(inside(documents), "document").when(inside(code), "code")).where("source IS NOT NULL")
 
 
-def scan(spark: SparkSession, root: str, *, code: list[str], documents: list[str] = (), excludes: list[str] = ()) -> DataFrame:
-    """(source, path, hash, length, encoding, text, skip_reason) of the text files under ``root``.
+def scan(spark: SparkSession, root: str, *, code: list[str], documents: list[str] = (), excludes: list[str] = (), most: int = MOST_FILES) -> DataFrame:
+    """(source, path, hash, length, encoding, text, skip_reason) of the text files under ``root``, without those that a glob of ``excludes`` turns away, as of the configuration or of an ignore file.
 
     Text is UTF-8, else the extended Korean code page; files over 2 MiB, with NUL bytes or in
-    neither encoding have a reason and no text. Contents of larger files are never read.
+    neither encoding have a reason and no text. Contents of larger files are never read. Folders
+    that aren't there hold nothing; ones outside of ``root``, and more than ``most`` files, raise
+    ValueError. Files are counted by their names alone, and no further than that.
     """
+    code, documents = target_folders(list(code)), target_folders(list(documents))
     prefix = root.rstrip("/") + "/"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     prefix = prefix.removeprefix("file://")
     relative = F.substr(F.col("path"), F.position(F.lit(prefix), F.col("path")) + F.lit(len(prefix)))
     small, large = raw.where(F.col("length") <= MOST_BYTES), raw.where(F.col("length") > MOST_BYTES)
     raw = small.select(relative.alias("path"), "length", "content").union(large.select(relative, "length", F.lit(None).cast("binary"))).where(is_text_file("path"))
-    for glob in excludes:
-        raw = raw.where(~F.col("path").rlike(glob_pattern(glob)))
-    own = classified(raw, list(code), list(documents))
+    own = classified(raw.where(~excluded("path", list(excludes))), code, documents)
+    if own.select("path").limit(most + 1).count() > most:
+        raise ValueError(f"the project has more than {most} files")
     fits = F.col("length") <= MOST_BYTES
     content = F.when(fits, F.col("content"))
     utf8 = F.when(F.is_valid_utf8(content.cast("string")), content.cast("string"))
@@ -102,16 +102,25 @@ def scan(spark: SparkSession, root: str, *, code: list[str], documents: list[str
 
 
 def markdown_metadata(notes: DataFrame, *, label_col: str = "label", text_col: str = "text") -> DataFrame:
-    """``notes`` with ``title`` (front matter, else the first heading, else the label) and ``date`` (YYYY-MM-DD of the front matter, or null).
+    """``notes`` with ``title`` (a string of the front matter, else the first heading, else the label) and ``date`` (a string of the form YYYY-MM-DD of the front matter, or null).
 
-    Front matter is read as plain ``key: value`` lines.
+    Front matter stands between two lines ``---``, the first of them the text's first line; what
+    isn't a mapping is passed over. Only these lines are parsed, and only where there are any.
     """
-    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "^﻿", ""), "\r\n?", "\n")
-    front = F.regexp_extract(text, r"(?s)\A---\n(.+?)\n---(?:\n|\z)", 1)
-    value = lambda key: F.nullif(F.trim(F.regexp_extract(front, rf"(?m)^{key}:[ \t]*[\"']?(.*?)[\"']?[ \t]*$", 1)), F.lit(""))
-    heading = F.nullif(F.trim(F.regexp_extract(text, r"(?m)^#\s+(.+?)\s*#*\s*$", 1)), F.lit(""))
-    date = value("date")
-    return notes.withColumn("title", F.coalesce(value("title"), heading, F.col(label_col))).withColumn("date", F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}$"), date))
+    text = F.regexp_replace(F.regexp_replace(F.col(text_col), "^\ufeff", ""), "\r\n?", "\n")
+    front = F.nullif(F.regexp_extract(text, r"\A---\n((?s:.+?))\n---(?:\n|\z)", 1), F.lit(""))
+
+    @F.pandas_udf("struct<title string, date string>")
+    def parsed(raw):
+        import pandas as pd
+
+        found = [mapping(x) if isinstance(x, str) else {} for x in raw]
+        return pd.DataFrame({k: pd.Series([x.get(k) for x in found], dtype=object) for k in ("title", "date")})
+
+    own = notes.withColumn("_front", front).withColumn("_own", parsed("_front"))
+    heading = F.nullif(F.trim(F.regexp_extract(text, HEADING, 1)), F.lit(""))
+    title, date = F.nullif(trimmed(F.col("_own.title")), F.lit("")), F.col("_own.date")
+    return own.withColumn("title", F.coalesce(title, heading, F.col(label_col))).withColumn("date", F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}\z"), date)).drop("_front", "_own")
 
 
 def handoffs(spark: SparkSession, root: str) -> DataFrame:
