@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark.llm.kernels import chunks
+from tidemark.llm.periods import maximal_runs
 
 #: Values from 10 to this power of guesses on are secrets.
 SECRET = 8.0
@@ -38,7 +39,7 @@ PLACE = {key: (r, c) for r, row in enumerate(ROWS) for c, key in enumerate(row)}
 LEET = str.maketrans("4@8360!157$2", "aabegoilstsz")
 DATE = re.compile(r"(?:(?:19|20)\d\d([-/._]?)(?:1[0-2]|0?[1-9])\1(?:3[01]|[12]\d|0?[1-9])|(?:3[01]|[12]\d|0?[1-9])([-/._]?)(?:3[01]|[12]\d|0?[1-9])\2(?:19|20)\d\d)")
 YEAR = re.compile(r"(?:19|20)\d\d")
-LONGEST_WORD, LONGEST_WALK, LONGEST_PERIOD, MANY = 24, 24, 8, 16
+LONGEST_DATE = 10
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -60,12 +61,48 @@ def ranked_words(vocabulary_path: str) -> dict[str, int]:
     return {x: i for i, x in enumerate((x for x in words if len(x) >= 3 and x.isascii() and x.isalpha()), 1)}
 
 
+class Ages:
+    """The least of g + log10(x - at) over the (at, g) that were added, for growing x.
+
+    Beside a younger one an older one only gains as x grows, as the logarithm rises less and less.
+    So of two the older one wins from some x on, which is known at once; those that can still win
+    are kept, the oldest first, with the x up to which each stays ahead of the one before it.
+    """
+
+    def __init__(self):
+        self.held: list[tuple[int, float, float]] = []
+
+    def add(self, at: int, g: float, x: int) -> None:
+        """``x``, not before any asked for so far, is the first for which it counts."""
+        held = self.held
+        while held and held[-1][2] <= x:
+            held.pop()
+        if held and held[-1][1] + math.log10(x - held[-1][0]) <= g + math.log10(x - at):
+            return
+        until = math.inf
+        while held:
+            ratio = 10 ** min(g - held[-1][1], 300.0)  # the older one is ahead once (x - its at) / (x - at) is less
+            until = (ratio * at - held[-1][0]) / (ratio - 1) if ratio > 1 else math.inf
+            if until < held[-1][2]:
+                break
+            held.pop()
+            until = math.inf
+        held.append((at, g, until))
+
+    def least(self, x: int) -> float:
+        held = self.held
+        while held[-1][2] <= x:
+            held.pop()
+        return held[-1][1] + math.log10(x - held[-1][0])
+
+
 class GuessCost:
     """Costs of values by ranked words, {word: rank}."""
 
     def __init__(self, words: dict[str, int]):
         self.words, self.near = words, _neighbours()
         self.endings = {x[-3:] for x in words}
+        self.longest = max(map(len, words), default=0)
 
     @staticmethod
     def brute(c: str) -> float:
@@ -85,52 +122,75 @@ class GuessCost:
         return math.log10(rank + 1) + extra
 
     def cost(self, s: str) -> float:
-        """log10 of the guesses, by dynamic programming over the ends of segments; time grows with the length alone.
+        """log10 of the guesses: the least sum over all segmentations, by dynamic programming over the ends of segments.
 
-        A walk has LONGEST_WALK keys at most. A repeat has the least of its periods; of those that
-        end at a place, ones of up to MANY times count, and the longest.
+        A segment costs the least of what it is: brute force; a word, as long as any is; a date or
+        year; a walk of three keys or more, by its length and turns; a block said twice or more, at
+        its own cost, by brute force or as a word, and the number of times. Walks and repeats that
+        end at a place are as many as they are long, but only the cost of their length changes,
+        and that slower and slower: ``Ages`` keeps the few that can be the least. Blocks are those
+        of the value's runs, and those words that are themselves repeats. So time grows little
+        faster than the length.
         """
         n = len(s)
         best = [0.0] + [math.inf] * n
-        walk = [0] * (n + 1)  # length and turns of the walk that ends here
-        turns = [0] * (n + 1)
-        run = [0] * (LONGEST_PERIOD + 1)  # how many characters up to here equal the one a period before
-        low = s.lower()
-        plain = low.translate(LEET)
+        low, bare = s.lower(), [self.brute(c) for c in s]
+        plain, sums = low.translate(LEET), [0.0, *accumulate(bare)]
+        turns, walks, walked = [0] * (n + 1), Ages(), 0  # turns of the walk that ends here, how many steps it has
         dates: dict[int, list[int]] = {}
         for i in range(n):
-            if s[i] in "0123456789" and (m := DATE.match(s, i)):
-                dates.setdefault(m.end(), []).append(i)
+            if s[i] in "0123456789":
+                for end in range(i + 6, min(n, i + LONGEST_DATE) + 1):
+                    if DATE.fullmatch(s, i, end):
+                        dates.setdefault(end, []).append(i)
+        repeats = self._repeats(s)
+        live: list[tuple[int, int, list, list]] = []  # end, period, and for each place in the period its cost and ages
         for j in range(1, n + 1):
             c = low[j - 1]
-            top = best[j - 1] + self.brute(s[j - 1])
+            top = best[j - 1] + bare[j - 1]
             if j > 1 and c in self.near.get(low[j - 2], ()):
-                walk[j] = walk[j - 1] + 1
-                turns[j] = turns[j - 1] + (j > 2 and walk[j - 1] > 0 and self._way(low[j - 3], low[j - 2]) != self._way(low[j - 2], c))
-                for size in range(3, min(walk[j] + 1, LONGEST_WALK) + 1):
-                    t = turns[j] - turns[j - size + 2]
-                    top = min(top, best[j - size] + math.log10(47 * size) + math.log10(5) * (t + 1))
+                walked += 1
+                if walked == 1:
+                    turns[j], walks = 0, Ages()
+                else:
+                    turns[j] = turns[j - 1] + (self._way(low[j - 3], low[j - 2]) != self._way(low[j - 2], c))
+                    walks.add(j - 3, best[j - 3] - math.log10(5) * turns[j - 1], j)
+                    top = min(top, walks.least(j) + math.log10(47) + math.log10(5) * (turns[j] + 1))
+            else:
+                walked = 0
             if plain[j - 3 : j] in self.endings or low[j - 3 : j] in self.endings:
-                for i in range(max(0, j - LONGEST_WORD), j - 2):
+                for i in range(max(0, j - self.longest), j - 2):
                     if (w := self.word(s[i:j])) is not None:
                         top = min(top, best[i] + w)
             if j >= 4 and YEAR.fullmatch(s, j - 4, j):
                 top = min(top, best[j - 4] + math.log10(200))
             for i in dates.get(j, ()):
                 top = min(top, best[i] + math.log10(365 * 200 * 4))
-            found = False
-            for period in range(1, min(LONGEST_PERIOD, j - 1) + 1):
-                run[period] = run[period] + 1 if s[j - 1] == s[j - 1 - period] else 0
-                if not found and run[period] >= period:
-                    found, block, longest = True, s[j - period : j], run[period] // period + 1
-                    unit = sum(map(self.brute, block))
-                    if period > 2 and (w := self.word(block)) is not None:
-                        unit = min(unit, w)
-                    for times in {*range(2, min(longest, MANY) + 1), longest}:
-                        top = min(top, best[j - period * times] + unit + math.log10(times))
+            for end, period in repeats.get(j, ()):
+                live.append((end, period, [None] * period, [None] * period))
+            if live:
+                live = [x for x in live if x[0] >= j]
+                for _, period, costs, ages in live:
+                    at = j % period
+                    if ages[at] is None:
+                        block = s[j - period : j]
+                        whole, word = sums[j] - sums[j - period], self.word(block) if period > 2 else None
+                        costs[at], ages[at] = whole if word is None else min(whole, word), Ages()
+                    ages[at].add(j - 2 * period, best[j - 2 * period], j)
+                    top = min(top, ages[at].least(j) - math.log10(period) + costs[at])
             best[j] = top
         return best[n]
 
+    def _repeats(self, s: str) -> dict[int, list[tuple[int, int]]]:
+        """{first end: (last end, period)} of stretches whose every block of ``period`` characters is said again: runs, and their multiples that may be words."""
+        out: dict[int, list[tuple[int, int]]] = {}
+        symbols = np.append(np.frombuffer(s.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64), -1)
+        for start, length, period in maximal_runs(symbols, 2, 2):
+            more = (p for p in range(2 * period, min(self.longest, length // 2) + 1, period) if any(self.word(s[start + r : start + r + p]) is not None for r in range(period)))
+            for p in (period, *more):
+                out.setdefault(start + 2 * p, []).append((start + length, p))
+        return out
+
     @staticmethod
     def _way(a: str, b: str) -> tuple[int, int]:
         return PLACE[b][0] - PLACE[a][0], PLACE[b][1] - PLACE[a][1]
