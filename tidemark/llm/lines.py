@@ -5,11 +5,11 @@ edit similarity confirms links, and of every connected group of lines one occurr
 the corpus, the first by document and line.
 
 In a wide comparison, which the queries use, every line with words takes part. A line's features,
-pairs of words or, in lines of few words, q-grams of bytes, are dealt out to classes by their
-hashes, and each block is the SimHash of one class. By the pigeonhole principle a line that
-differs in fewer features than it has blocks shares one, however short it is, and a block, a
-SimHash of several features, is rarely shared by chance. All candidates whose lengths allow a link
-are compared, but for long ones that have few words in common.
+q-grams of its bytes, are dealt out to many classes by their hashes, and each block is the SimHash
+of one class of a few features. By the pigeonhole principle a line that differs in fewer features
+than it has blocks shares one, and a block, a SimHash of several features, is rarely shared by
+chance. All candidates whose lengths allow a link are compared, but for long ones whose SimHashes
+of all 5-grams lie far apart; these lose some of the pairs that are barely alike.
 
 In a narrow one, a SimHash of 192 bits over a line's different words has 6 blocks, so candidates
 are those whose SimHashes differ in 5 bits or fewer, and many beyond; and links are those that
@@ -36,16 +36,18 @@ BLOCKS = 6
 MOST_BITS = 48
 #: Lines of fewer words are compared within their document only, and exactly: across documents they meet by chance.
 MIN_WORDS = 5
-#: A wide comparison: classes of features of a line, by its number of features: 2**j classes from LOW_* times as many on, to SPAN times that; only the first CLASSES of them.
-LOW_GRAMS, LOW_PAIRS, SPAN, MOST_CLASSES, CLASSES = 1.75, 1.75, 2.57, 9, 28
+#: Classes of features of a line, by its number of features: 2**j classes from LOW times as many on, to SPAN times that. Few features a class, so that a change leaves most alone.
+LOW, SPAN, MOST_CLASSES = 0.9, 2.57, 11
+#: Classes of a line that are looked at, and how often its features are dealt out to 2**j classes for them.
+CLASSES, FEWER, DEALS = 192, 3, {1: 6, 2: 6, 3: 6, 4: 6, 5: 5, 6: 3, 7: 2}
 #: Features of a class without which it is no block: one or two are common to too many lines.
 LEAST = 3
-#: Lines of fewer words than GRAM_WORDS have blocks of their bytes' 5-grams, those of up to SHORT_BYTES of 3-grams too; lines of PAIR_WORDS or more, of pairs of words.
-GRAM_WORDS, PAIR_WORDS, SHORT_BYTES = 24, 18, 40
+#: All lines have blocks of their bytes' 5-grams, those of up to SHORT_BYTES of 3-grams too.
+SHORT_BYTES = 40
 #: Lines of up to so many bytes have blocks for what is left without one or two bytes.
 TINY_BYTES = 12
-#: Lines of so many code points or more whose SimHashes of all words differ in more bits have other words for the most part: strangers differ in 96.
-LONG_POINTS, WIDE_BITS = 120, 76
+#: Lines of so many code points or more whose SimHashes of 5-grams differ in more bits are no link: strangers differ in 96 or a little less, links in 64 at most but for most of those that are barely alike.
+LONG_POINTS, WIDE_BITS = 60, 64
 #: Bytes of a block.
 BLOCK_BYTES = 6
 #: A line that makes up so small a part of all lines, or more, is common.
@@ -117,11 +119,13 @@ def byte_grams(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndar
     return grams(v, q)[np.repeat(np.cumsum(length) - length - np.cumsum(count) + count, count) + np.arange(count.sum())], count
 
 
-def word_pairs(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each line's pairs of neighbouring words, with its beginning and end as one more word, and how many a line has."""
-    v = np.full(len(h) + len(n) + 1, np.uint64(77))
-    v[np.arange(len(h)) + np.repeat(np.arange(len(n)), n) + 1] = h
-    return grams(v, 2), n + 1
+def gram_simhashes(data: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """``simhashes`` of each line's byte 5-grams, which a typo leaves alone but for five; zeros for a line that has none."""
+    g, count = byte_grams(data, first, last, n, values, 5)
+    out = np.zeros((len(n), 4 * BLOCKS), dtype=np.uint8)
+    if len(g):
+        out[count > 0] = simhashes(g, count[count > 0]).view(np.uint8).reshape(-1, 4 * BLOCKS)
+    return out
 
 
 def class_blocks(h: np.ndarray, n: np.ndarray, kind: int, low: float, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
@@ -129,31 +133,36 @@ def class_blocks(h: np.ndarray, n: np.ndarray, kind: int, low: float, least: int
 
     A feature's class is a part of its hash, and of a line's 2**j classes each has a few features.
     So a change of a line touches a few of its blocks only, and lines whose features differ in
-    fewer than they have blocks share one. Lines whose number of features suits two j have blocks
-    for both. Classes of fewer than ``least`` features give no block.
+    fewer than they have blocks share one. Features of short lines are dealt out several times, by
+    other parts of their hashes (DEALS), as so few classes are soon all touched. Lines whose number
+    of features suits two j have blocks for both. Classes of fewer than ``least`` features give no block.
     """
     lines, blocks = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint64)]
     at = np.cumsum(n) - n
     for j in range(1, MOST_CLASSES + 1):
-        rows = np.flatnonzero((n >= low * 2**j) & ((n < low * SPAN * 2**j) | (j == MOST_CLASSES)))
-        if not len(rows):
-            continue
-        x = h[np.repeat(at[rows] - np.cumsum(n[rows]) + n[rows], n[rows]) + np.arange(n[rows].sum())]
-        x = np.repeat(np.arange(len(rows), dtype=np.uint64) << np.uint64(40), n[rows]) | mix(x + np.uint64(j)) >> np.uint64(24)
-        if 1 << j > CLASSES:
-            x = x[(x >> np.uint64(40 - j) & np.uint64((1 << j) - 1)) < CLASSES]
-        x = np.sort(x)
-        x = x[np.append(True, x[1:] != x[:-1])[: len(x)]]  # a feature counts once
-        group = x >> np.uint64(40 - j)
-        first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(x)])
-        size = np.diff(np.append(first, len(x)))
-        x, first, size = x[np.repeat(size >= least, size)], first[size >= least], size[size >= least]
-        if not len(first):
+        every = np.flatnonzero((n >= low * 2**j) & ((n < low * SPAN * 2**j) | (j == MOST_CLASSES)))
+        if not len(every):
             continue
-        group, first = group[first], np.cumsum(size) - size
-        lines.append(rows[(group >> np.uint64(j)).astype(np.int64)])
-        signs = _majority(mix(x & np.uint64((1 << 40) - 1))[None], first, size)
-        blocks.append(mix(signs.view(np.uint64).ravel() ^ mix(group & np.uint64((1 << j) - 1) | np.uint64((kind << 8 | j) << 32))))
+        own = h[np.repeat(at[every] - np.cumsum(n[every]) + n[every], n[every]) + np.arange(n[every].sum())]
+        line, deals = np.repeat(np.arange(len(every), dtype=np.uint64) << np.uint64(40), n[every]), DEALS.get(j, 1)
+        # Lines that have blocks for the next j too, which are needed for pairs on both sides of its beginning, have few here.
+        most = np.repeat(np.where(n[every] >= 2 * low * 2**j, -(-CLASSES // (deals * FEWER)), -(-CLASSES // deals)).astype(np.uint64), n[every])
+        for deal in range(deals):
+            x = mix(own + np.uint64(j + 64 * deal)) >> np.uint64(24)
+            some = (x >> np.uint64(40 - j)) < most
+            x = (line | x)[some]
+            x = np.sort(x)
+            x = x[np.append(True, x[1:] != x[:-1])[: len(x)]]  # a feature counts once
+            group = x >> np.uint64(40 - j)
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(x)])
+            size = np.diff(np.append(first, len(x)))
+            x, first, size = x[np.repeat(size >= least, size)], first[size >= least], size[size >= least]
+            if not len(first):
+                continue
+            group, first = group[first], np.cumsum(size) - size
+            lines.append(every[(group >> np.uint64(j)).astype(np.int64)])
+            signs = _majority(mix(x & np.uint64((1 << 40) - 1))[None], first, size)
+            blocks.append(mix(signs.view(np.uint64).ravel() ^ mix(group & np.uint64((1 << j) - 1) | np.uint64((deal << 16 | kind << 8 | j) << 32))))
     return np.concatenate(lines), np.concatenate(blocks)
 
 
@@ -177,11 +186,10 @@ def wide_blocks(data: np.ndarray, h: np.ndarray, first: np.ndarray, last: np.nda
     length = np.add.reduceat(points[last] - points[first], begin) + n - 1 if len(n) else n
     size = np.add.reduceat(last - first, begin) + n - 1 if len(n) else n
     rows, blocks = [], []
-    for kind, (q, low, chosen) in enumerate(((5, LOW_GRAMS, n < GRAM_WORDS), (3, LOW_GRAMS, size <= SHORT_BYTES), (0, LOW_PAIRS, n >= PAIR_WORDS))):
+    for q, chosen in ((5, n > 0), (3, size <= SHORT_BYTES)):
         own, some = np.repeat(chosen, n), np.flatnonzero(chosen)
         if len(some):
-            features = byte_grams(data, first[own], last[own], n[some], values, q) if q else word_pairs(h[own], n[some])
-            line, block = class_blocks(*features, kind, low)
+            line, block = class_blocks(*byte_grams(data, first[own], last[own], n[some], values, q), q, LOW)
             rows.append(some[line])
             blocks.append(block)
     tiny = np.flatnonzero(size <= TINY_BYTES)
@@ -228,7 +236,7 @@ def named_lines(docs: DataFrame, min_words: int = MIN_WORDS, *, wide: bool = Fal
 
 
 def blocked_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-    """(node, size, sketch, blocks) of each different line that has blocks, the sketch a SimHash of all its words; ``nodes`` (node, n) says how often each occurs."""
+    """(node, size, sketch, blocks) of each different line that has blocks, the sketch a SimHash of its 5-grams; ``nodes`` (node, n) says how often each occurs."""
     spark = docs.sparkSession
     often = spark.sparkContext.broadcast(row_filter(nodes.where("n > 1").select("node")))
 
@@ -245,7 +253,7 @@ def blocked_lines(docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame
                 again = passes(often.value, np.ascontiguousarray(names[:, 0]))
                 keep = {names[i].tobytes(): i for i, x in enumerate(blocks) if x}  # once in a chunk
                 rows = list(keep.values())
-                sketches = simhashes(h, n)[rows] if rows else ()
+                sketches = gram_simhashes(data, first, last, n, table[1])[rows] if rows else ()
                 arrays = [pa.array(list(keep), pa.binary()), pa.array(size[rows], pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array([blocks[i] for i in rows], pa.binary()), pa.array(again[rows])]
                 yield pa.RecordBatch.from_arrays(arrays, names=["node", "size", "sketch", "blocks", "again"])
 

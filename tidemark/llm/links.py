@@ -34,6 +34,8 @@ FEW, MANY = 4, 64
 KEY_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
 #: Bytes of a filter that are put together in one task.
 FILTER_PART = 1 << 16
+#: Rows of a bucket whose pairs are all judged by sketches before any is looked at, pairs that are judged at once, and rows that are held for it.
+SMALL, PAIRS, LOT_ROWS = 512, 1 << 18, 20_000
 #: Numbers that a task sorts at once.
 PART = 2_000_000
 
@@ -272,6 +274,50 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return out
 
 
+def with_partners(rest: DataFrame, plausible: Judge) -> DataFrame:
+    """The rows of ``rest`` (bucket, node, component, size, sketch) that have a plausible partner of another component in their bucket; of buckets with more than SMALL rows all.
+
+    Many small buckets, most of them of strangers, are looked at together.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def kept(rows):
+            bucket = rows.column(0).to_numpy()
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            n = np.diff(np.append(first, len(bucket)))
+            keep, small = np.repeat(n > SMALL, n), n <= SMALL
+            first, n = first[small], n[small]
+            sketches, sizes, component = _matrix(rows.column(4)), rows.column(3).to_numpy(), _matrix(rows.column(2)).view(np.uint64)[:, 0]
+            # Each row with those after it in its bucket, so many pairs at a time.
+            own = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            after = np.repeat(first + n, n) - own - 1
+            cuts = np.searchsorted(np.cumsum(after), np.arange(PAIRS, after.sum() + PAIRS, PAIRS), side="left") + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(own)]):
+                x, k = own[a:b], after[a:b]
+                left = np.repeat(x, k)
+                right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k)
+                other = component[left] != component[right]
+                left, right = left[other], right[other]
+                if len(left):
+                    good = plausible(sketches[left], sketches[right], sizes[left], sizes[right])
+                    keep[left[good]] = keep[right[good]] = True
+            return rows.filter(pa.array(keep))
+
+        held = None
+        for batch in batches:
+            held = batch if held is None else pa.concat_batches([held, batch])
+            if len(held) >= LOT_ROWS and (bucket := held.column(0).to_numpy())[0] != bucket[-1]:
+                cut = int(np.searchsorted(bucket, bucket[-1]))  # the last one may go on
+                yield kept(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and len(held):
+            yield kept(held)
+
+    return rest.select("bucket", "node", "component", "size", "sketch").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, rest.select("bucket", "node", "component", "size", "sketch").schema)
+
+
 def bucket_components(nodes: DataFrame, buckets: F.Column, like: Likeness, full_objects: Fulls) -> DataFrame:
     """(node, component) for all nodes that a chain of links connects to others.
 
@@ -300,6 +346,10 @@ def bucket_components(nodes: DataFrame, buckets: F.Column, like: Likeness, full_
         every = staged(every.join(clusters, "component").select("bucket", "node", "component", "size", "sketch"), "every")
         release(rest)
         rest = every
+    if not like.clusters:
+        some = staged(with_partners(rest, like.plausible), "rest")
+        release(rest)
+        rest = some
     fulls = full_objects(rest.select("node").distinct())
     objects = fulls if like.clusters else fulls.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node")  # no more than a node has blocks
     more = staged(tiles(rest.join(objects, "node"), like), "links")
