@@ -1,36 +1,21 @@
 import random
 
-from test_syncmers import brute, chained, signed
+from test_syncmers import brute
 from tidemark.llm.queries import QUERIES
-from tidemark.llm.syncmers import anchors, fingerprint_edits
-
-
-def least(text, k=8):
-    """Anchors as ``brute`` has them, and where it has none the least k-mer."""
-    h = [signed(chained(w)) for w in text.lower().split()]
-    pairs = [signed(chained(a, b)) for a, b in zip(h, h[1:])]
-    kmers = [chained(*pairs[i : i + k - 1][0:-1:2], pairs[i + k - 2]) >> 32 for i in range(len(h) - k + 1)]
-    return brute(text, k) or [min(kmers)] if kmers else brute(text, k)
+from tidemark.llm.syncmers import anchors
 
 
 def test_every_text_with_tokens_has_an_anchor(spark):
     rng = random.Random(3)
     texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(1, 20) for _ in range(20)]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", anchors("text").alias("old"), anchors("text", every=True).alias("new")).collect()
-    assert sum(not r["old"] for r in rows) > 20
-    assert all(r["new"] == least(r["text"]) and r["new"] for r in rows)
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", anchors("text").alias("x")).collect()
+    assert all(r["x"] == brute(r["text"]) and r["x"] for r in rows)
 
 
 def test_only_texts_without_tokens_are_alike(spark, tmp_path):
     rng = random.Random(8)
-    bare = []
-    while len(bare) < 6:
-        t = " ".join(f"w{rng.randrange(10**6)}" for _ in range(10))
-        bare += [t] if not brute(t) else []
-    docs = spark.createDataFrame([*enumerate([*bare, "", " \n", None])], "doc_id long, text string")
-    old = {r["doc_id"]: r["near_next"] for r in fingerprint_edits(docs).collect()}
-    docs.write.parquet(f"{tmp_path}/documents.parquet")
-    new = {r["doc_id"]: r for r in QUERIES["op8_document_fingerprints"](spark, str(tmp_path)).collect()}
-    assert all(old[i] == 1.0 for i in range(1, 9))
-    assert {i: r["near_next"] for i, r in new.items()} == {i: float(i > 6) for i in range(9)}
-    assert all((r["fingerprint"] != "") == (i < 6) for i, r in new.items())
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(10)) for _ in range(6)]
+    spark.createDataFrame([*enumerate([*texts, "", " \n", None])], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in QUERIES["op8_document_fingerprints"](spark, str(tmp_path)).collect()}
+    assert {i: r["near_next"] for i, r in rows.items()} == {i: float(i > 6) for i in range(9)}
+    assert all((r["fingerprint"] != "") == (i < 6) for i, r in rows.items())
