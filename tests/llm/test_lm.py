@@ -1,7 +1,9 @@
 import random
 
 import duckdb
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import lm
@@ -12,7 +14,7 @@ COLUMNS = ["doc_id", "n_tokens", "target_loss", "background_loss", "score"]
 
 
 @pytest.mark.parametrize("seed,lot,hot", [(0, 1_000_000, 20_000), (1, 150, 30), (2, 40, 5)])
-def test_equals_sql(spark, monkeypatch, seed, lot, hot):
+def test_equals_sql(spark, monkeypatch, tmp_path, seed, lot, hot):
     """All paths: several lots and buckets, hot n-grams and none."""
     monkeypatch.setattr(lm, "LOT", lot)
     monkeypatch.setattr(lm, "HOT", hot)
@@ -27,7 +29,8 @@ def test_equals_sql(spark, monkeypatch, seed, lot, hot):
     con.register("documents", documents)
     con.register("labels", table)
     want = con.sql(ORACLES["op4_lm_scoring"]).fetchall()
-    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS half", "'x' AS id").repartition(3).localCheckpoint()
+    spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS half", "'x' AS id").repartition(3).write.parquet(f"{tmp_path}/documents")
+    frame = spark.read.parquet(f"{tmp_path}/documents")
     known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     good = matching(frame.select("doc_id", "text"), known.where("quality = 1").select("doc_id"), "doc_id")
     got = lm.cross_entropy_difference(frame, good)
@@ -54,6 +57,20 @@ def test_target_words_score_higher(spark):
     assert min(v for k, v in got.items() if k % 4 == 0) > 0 > max(v for k, v in got.items() if k % 4)
 
 
+def test_another_order_is_told():
+    def row(lot, digest, docs, sums, ids=None, n=None):
+        names = ["lot", "digest", "docs", "sums", "ids", "n"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((lot, digest, docs, sums, ids, n), kinds)], names=names)
+
+    head, part = np.zeros((2, 3)).tobytes(), (np.array([1], dtype=np.uint32).tobytes(), np.ones((2, 1)).tobytes())
+    rows = [row(4, 9, None, head, [5, 6, 7], [2, 2, 2]), row(4, 9, *part)]
+    assert pa.Table.from_batches(lm._lot_totals(rows)).to_pydict() == {"id": [5, 6, 7], "n_tokens": [2, 2, 2], "target": [0.0, 1.0, 0.0], "background": [0.0, 1.0, 0.0]}
+    for other in (row(4, 8, *part), row(5, 9, *part)):
+        with pytest.raises(ValueError, match="another order"):
+            list(lm._lot_totals([*rows, other]))
+
+
 def test_matching(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (2, "d")], "doc_id long, text string")
     ids = spark.createDataFrame([(2,), (9,), (None,), (2,)], "x int")

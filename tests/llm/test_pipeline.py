@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import staged
 from tidemark.llm.decontamination import contamination
 from tidemark.llm.minhash import keep_one_of_each, near_duplicates
 from tidemark.llm.quality import score_quality
@@ -40,7 +41,7 @@ def test_stages(spark, folder):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns, name
-        out = out.localCheckpoint()
+        out = staged(out, name)
         kept.append((docs.collect(), out.collect()))
         docs = out
     rows = lambda x: sorted(map(tuple, x), key=repr)

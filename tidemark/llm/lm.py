@@ -67,14 +67,16 @@ class Sizes:
 
 
 def _lots(batches):
-    """Lots of whole texts, from columns id, half and text: ids, halves, words per text, and keys (words', then bigrams') with the text of each."""
+    """Lots of whole texts, from columns id, half and text: ids, halves, words per text, keys (words', then bigrams') with the text of each, and a digest of the texts in their order."""
     import pyarrow as pa
+    import xxhash
 
     def lot(held):
         ids = pa.concat_arrays([x[0] for x in held])
         half, n, h = (np.concatenate([x[i] for x in held]) for i in (1, 2, 3))
         doc = np.repeat(np.arange(len(n), dtype=np.uint32), n)
-        return ids, half, n, np.concatenate(ngram_keys(h, n)), np.concatenate([doc, doc])
+        digest = xxhash.xxh64(n.tobytes() + h.tobytes()).intdigest() >> 1
+        return ids, half, n, np.concatenate(ngram_keys(h, n)), np.concatenate([doc, doc]), digest
 
     table, held, total = byte_table(SEPARATORS), [], 0
     for batch in batches:
@@ -100,7 +102,7 @@ def _seen(batches):
     """(key, n) of each lot: of all words, and of bigrams that are frequent in it."""
     import pyarrow as pa
 
-    for _, _, n, key, _ in _lots(batches):
+    for _, _, n, key, *_ in _lots(batches):
         key, count = np.unique(key, return_counts=True)
         keep = ((key & ORDER) == 0) | (count * 2 * HOT >= n.sum())
         yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(count[keep])], names=["key", "n"])
@@ -113,7 +115,7 @@ def _hot_counts(hot: np.ndarray, part: int):
         import pyarrow as pa
 
         total = np.zeros((len(hot) + 1, 2), dtype=np.int64)
-        for _, half, n, key, doc in _lots(batches):
+        for _, half, n, key, doc, _ in _lots(batches):
             at, found = _among(hot, key)
             total += np.bincount(np.append(at[found] * 2 + half[doc[found]], np.repeat(len(hot) * 2 + half, n)), minlength=total.size).reshape(total.shape)
         keys = np.append(hot.view(np.int64), np.int64(-1))
@@ -131,11 +133,11 @@ def _among(sorted_keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == key
 
 
-PLACES = "bucket long, lot long, first long, keys binary, counts binary, docs binary"
+PLACES = "bucket int, lot long, first long, keys binary, counts binary, docs binary, digest long"
 
 
 def _places(hot: np.ndarray, buckets: int, with_docs: bool):
-    """A row for each lot and bucket: its different keys that aren't hot, and in which texts each occurs.
+    """A row for each lot and bucket: its different keys that aren't hot, in which texts each occurs, and the lot's digest.
 
     Texts are numbered with those of half 0 first; ``first`` has how many these are and how many
     texts there are. ``counts`` has a bit for each text in ``docs``: whether another key begins.
@@ -148,7 +150,7 @@ def _places(hot: np.ndarray, buckets: int, with_docs: bool):
 
         task = TaskContext.get().partitionId()
         bounds = cut_points(buckets)
-        for number, (_, half, n, key, doc) in enumerate(_lots(batches)):
+        for number, (_, half, n, key, doc, digest) in enumerate(_lots(batches)):
             rank = np.empty(len(half), dtype=np.uint32)
             rank[np.argsort(half, kind="stable")] = np.arange(len(half), dtype=np.uint32)
             cold = ~_among(hot, key)[1]
@@ -173,16 +175,17 @@ def _places(hot: np.ndarray, buckets: int, with_docs: bool):
                 counts = np.stack([low, end - first - low]).astype(np.uint32)
                 columns += [[counts[:, cuts[b] : cuts[b + 1]].tobytes() for b in rows], [b""] * len(rows)]
             lot = pa.array(np.full(len(rows), (task << 32) + number, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(rows), lot, pa.array(np.full(len(rows), (zeros << 32) + len(half) if with_docs else -1, dtype=np.int64)), *(pa.array(x, pa.binary()) for x in columns)], names=["bucket", "lot", "first", "keys", "counts", "docs"])
+            texts = pa.array(np.full(len(rows), (zeros << 32) + len(half) if with_docs else -1, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), lot, texts, *(pa.array(x, pa.binary()) for x in columns), pa.array(np.full(len(rows), digest, dtype=np.int64))], names=["bucket", "lot", "first", "keys", "counts", "docs", "digest"])
 
     return place
 
 
-SUMS = "lot long, texts long, docs binary, sums binary"
+SUMS = "lot long, digest long, docs binary, sums binary"
 
 
 def _bucket_sums(sizes: Sizes):
-    """For rows of PLACES, bucket by bucket: what a bucket's n-grams add to the log-probabilities of each lot's texts."""
+    """For the rows of PLACES of one bucket: what the bucket's n-grams add to the log-probabilities of each lot's texts."""
 
     def of_bucket(rows):
         import pyarrow as pa
@@ -212,41 +215,34 @@ def _bucket_sums(sizes: Sizes):
                 own, doc, half, texts = entries(r, inverse[end - len(k) : end])
                 seen = np.flatnonzero(np.bincount(doc, minlength=texts))
                 sums = [np.bincount(doc, weights=parts[half.astype(np.int64), model, own], minlength=texts)[seen] for model in (0, 1)]
-                out.append((r[1], texts, seen.astype(np.uint32).tobytes(), np.stack(sums).tobytes()))
+                out.append((r[1], r[6], seen.astype(np.uint32).tobytes(), np.stack(sums).tobytes()))
         columns = list(zip(*out)) or [()] * 4
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["lot", "texts", "docs", "sums"])
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["lot", "digest", "docs", "sums"])
 
     def run(batches):
-        held, bucket = [], None
-        for batch in batches:
-            for row in zip(*(x.to_pylist() for x in batch.columns)):
-                if row[0] != bucket:
-                    if held:
-                        yield of_bucket(held)
-                    held, bucket = [], row[0]
-                held.append(row)
-        if held:
-            yield of_bucket(held)
+        rows = [row for batch in batches for row in zip(*(x.to_pylist() for x in batch.columns))]  # one bucket's
+        if rows:
+            yield of_bucket(rows)
 
     return run
 
 
 def _lot_heads(hot: np.ndarray, hot_parts: np.ndarray):
-    """A row for each lot: its texts' ids and words, and what hot n-grams add to their log-probabilities, numbered as by ``_places``."""
+    """A row for each lot: its digest, its texts' ids and words, and what hot n-grams add to their log-probabilities, numbered as by ``_places``."""
 
     def head(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
-        for number, (ids, half, n, key, doc) in enumerate(_lots(batches)):
+        for number, (ids, half, n, key, doc, digest) in enumerate(_lots(batches)):
             at, found = _among(hot, key)
             at, doc = at[found], doc[found]
             sums = [np.bincount(doc, weights=hot_parts[half[doc], model, at], minlength=len(half)) for model in (0, 1)]
             order = np.argsort(half, kind="stable")
             whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(half)], pa.int32()), x)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([len(half)]), pa.array([None], pa.binary()), pa.array([np.stack(sums)[:, order].tobytes()], pa.binary()), whole(ids.take(pa.array(order))), whole(pa.array(n[order]))], names=["lot", "texts", "docs", "sums", "ids", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + number]), pa.array([digest]), pa.array([None], pa.binary()), pa.array([np.stack(sums)[:, order].tobytes()], pa.binary()), whole(ids.take(pa.array(order))), whole(pa.array(n[order]))], names=["lot", "digest", "docs", "sums", "ids", "n"])
 
     return head
 
@@ -258,18 +254,18 @@ def _lot_totals(batches):
     def out(head, total):
         return pa.RecordBatch.from_arrays([head[0], head[1], *(pa.array(x) for x in total)], names=["id", "n_tokens", "target", "background"])
 
-    lot = head = total = None
+    lot = head = total = said = None
     for batch in batches:
         for i in range(len(batch)):
-            own, texts = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+            own, digest, docs = (batch.column(c)[i].as_py() for c in range(3))
             sums = np.frombuffer(batch.column(3)[i].as_py()).reshape(2, -1)
-            if own != lot:
+            if docs is None:
                 if head is not None:
                     yield out(head, total)
-                lot, head, total = own, (batch.column(4)[i].values, batch.column(5)[i].values), sums.copy()
+                lot, said, head, total = own, digest, (batch.column(4)[i].values, batch.column(5)[i].values), sums.copy()
+            elif (own, digest) == (lot, said):
+                total[:, np.frombuffer(docs, dtype=np.uint32)] += sums
             else:
-                total[:, np.frombuffer(batch.column(2)[i].as_py(), dtype=np.uint32)] += sums
-            if texts != total.shape[1]:
                 raise ValueError("the texts came in another order when they were read again; give a stored table")
     if head is not None:
         yield out(head, total)
@@ -283,6 +279,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
     of letters, digits and non-ASCII, A-Z as a-z, told apart by 64-bit hashes. Null and empty texts
     teach nothing and have 0 everywhere. Rows are taken as they come: repeated rows count and are
     scored as often, null ids stay. Without target words both losses are equal.
+    Lots of texts have digests, so texts that come in another order at a later reading raise an error.
     """
     own = _texts(docs, id_col, text_col)
     taught = target.select(target[target_text_col].alias("text"))
@@ -304,7 +301,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, *, id_col: str
 
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (4 * LOT))
     places = own.mapInArrow(_places(hot, buckets, True), PLACES).union(taught.mapInArrow(_places(hot, buckets, False), PLACES))
-    sums = places.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_sums(sizes), SUMS)
+    sums = places.repartitionById(buckets, "bucket").mapInArrow(_bucket_sums(sizes), SUMS)
     kind = docs.schema[id_col].dataType
     heads = own.mapInArrow(_lot_heads(hot, hot_parts), T.StructType([*T._parse_datatype_string(SUMS).fields, T.StructField("ids", T.ArrayType(kind)), T.StructField("n", T.ArrayType(T.LongType()))]))
     rows = heads.unionByName(sums, allowMissingColumns=True)
