@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import with_slug
-from tidemark.sources.files import markdown_metadata, scan, target_folders
+from tidemark.sources.files import asset_references, asset_trace, handoffs, markdown_metadata, registered_projects, scan, target_folders
 from tidemark.sources.frontmatter import mapping
 from tidemark.sources.globs import braces, excluded, glob_pattern, ignore_pattern
 
@@ -76,3 +76,37 @@ def test_slugs_of_other_scripts(spark):
     got = {r["i"]: r["slug"] for r in with_slug(rows, "name").collect()}
     assert got == {1: "cafe_u_ni", 2: "abc_12", 3: "plain_one", 4: "project", 5: None, 6: "cafe_u_ni", 7: "fin2"}
     assert re.fullmatch("[a-z_]+", got[1])
+
+
+def test_registered_notes(spark, tmp_path):
+    """Notes count in folders with a marker, under the names of notes, and not below those folders."""
+    for name, marker in {"one-a": " /work/One/ \n", "two": "", "three": None, "Four": "/work/four", "five": "C:\\Work\\Five"}.items():
+        (tmp_path / name / "below").mkdir(parents=True)
+        if marker is not None:
+            (tmp_path / name / ".project-path").write_text(marker)
+        for note in ("plan_1.md", "Plan.md", "old.MD", "x.txt", "below/in.md"):
+            (tmp_path / name / note).write_text(f"# {note}")
+    projects = registered_projects(spark, str(tmp_path))
+    assert sorted(map(tuple, projects.collect())) == [("five", "C:\\Work\\Five", "c:/work/five"), ("one-a", "/work/One/", "/work/one")]
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {(r["document_id"], r["project_path"], r["title"]) for r in handoffs(spark, root, projects).collect()}
+        assert got == {(f"{s}/{label}", p, f"{label}{end}") for s, p in (("one-a", "/work/One/"), ("five", "C:\\Work\\Five")) for label, end in (("plan_1", ".md"), ("old", ".MD"))}
+    assert registered_projects(spark, f"{tmp_path}/nowhere").count() == 0
+
+
+def test_asset_dependencies_and_trace(spark):
+    g, h = "0123456789abcdef" * 2, "f" * 32
+    rows = [("A/x.prefab", f"q\n guid: {g}\n guid: {h}"), ("A/Y.asset.meta", f"guid: {g.upper()}\n"), ("A/Y.asset", "q"), ("B/x.unity", f"guid: {g}"), ("C/e.asset", None)]
+    assets = spark.createDataFrame(rows, "path string, text string")
+    known = spark.createDataFrame([("A/x.prefab", "C/e.asset"), ("A/x.prefab", "C/e.asset"), ("C/e.asset", "gone.asset"), ("other", "A/Y.asset"), ("B/x.unity", None)], "path string, target string")
+    edges = asset_references(assets, known)
+    uses, line = {("A/x.prefab", "A/Y.asset", "references", 2), ("A/x.prefab", f"unresolved:{h}", "references", 3), ("B/x.unity", "A/Y.asset", "references", 1)}, lambda x: {(r["from_id"], r["to_id"], r["relation"], r["ev_line"]) for r in x.collect()}
+    more = {("A/x.prefab", "C/e.asset", "asset_database_dependency", 1), ("C/e.asset", "unresolved:gone.asset", "asset_database_dependency", 1)}
+    assert line(edges) == uses | more and edges.count() == 5 and line(asset_references(assets)) == uses
+    to_y = {e for e in uses if e[1] == "A/Y.asset"}
+    for symbol in ("a\\y.ASSET", "y", g, "Y.asset"):
+        assert line(asset_trace(assets, edges, symbol, "callers")) == to_y
+    assert line(asset_trace(assets, edges, "X")) == {e for e in uses | more if e[0] != "C/e.asset"} and asset_trace(assets, edges, "x", limit=1).count() == 2
+    assert line(asset_trace(assets, edges, "e", "callers")) == {e for e in more if e[1] == "C/e.asset"}
+    with pytest.raises(ValueError):
+        asset_trace(assets, edges, "nothing")

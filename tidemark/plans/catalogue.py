@@ -330,14 +330,25 @@ def upsert(spark, sf_dir):
     return snapshots.upsert(old, now.where(F.contains("text", F.lit(PHRASE))), "doc_id").select("doc_id", text.content_hash("text").alias("hash"))
 
 
-def asset_links(spark, sf_dir):
-    """Pages as assets whose links are references by id; each page's first link is the id of an asset of its own."""
+def _page_assets(spark, sf_dir):
     links = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)
     own = _table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), links.alias("links")).where(F.size("links") > 0)
     line = lambda x: F.concat(F.lit("guid: "), F.md5(x.cast("binary")))
     assets = own.select(F.concat(F.lit("a/"), "id", F.lit(".prefab")).alias("path"), F.array_join(F.transform("links", line), "\n").alias("text"))
     meta = own.select(F.concat(F.lit("m/"), "id", F.lit(".asset.meta")), line(F.get("links", F.lit(0))))
-    return sources.asset_references(assets.union(meta))
+    return own, assets.union(meta)
+
+
+def asset_links(spark, sf_dir):
+    """Pages as assets whose links are references by id; each page's first link is the id of an asset of its own."""
+    return sources.asset_references(_page_assets(spark, sf_dir)[1])
+
+
+def asset_dependencies(spark, sf_dir):
+    """Assets as in ``asset_links``, of which each depends on that of the next page, if there is one."""
+    own, assets = _page_assets(spark, sf_dir)
+    asset = lambda x: F.concat(F.lit("a/"), x.cast("string"), F.lit(".prefab"))
+    return sources.asset_references(assets, own.select(asset(F.col("id")).alias("path"), asset(F.col("id").cast("long") + 1).alias("target")))
 
 
 def classify_paths(spark, sf_dir):
@@ -390,7 +401,7 @@ QUERIES = {
     "identifiers": identifiers, "coalesce_bursts": coalesce_bursts, "vector_topk_each": vector_topk_each, "vector_dedup_each": vector_dedup_each, "rrf_fuse_each": rrf_fuse_each,
     "module_tree": module_tree, "module_ancestors": module_ancestors, "module_members": module_members, "module_counts": module_counts, "summary_bytes": summary_bytes,
     "summary_shown": summary_shown, "assembly_names": assembly_names, "byte_budget": byte_budget, "greedy_budget": greedy_budget, "graph_totals": graph_totals, "fresh_trace": fresh_trace,
-    "node_excerpts": node_excerpts, "seeds_capped": seeds_capped, "symbol_match": symbol_match, "upsert": upsert, "asset_links": asset_links, "classify_paths": classify_paths, "excluded_paths": excluded_paths,
+    "node_excerpts": node_excerpts, "seeds_capped": seeds_capped, "symbol_match": symbol_match, "upsert": upsert, "asset_links": asset_links, "asset_dependencies": asset_dependencies, "classify_paths": classify_paths, "excluded_paths": excluded_paths,
     "semantic_only": semantic_only, "notes_union": notes_union, "project_match": project_match, "path_terms": path_terms, "chunk_sections": chunk_sections,
 }
 
@@ -719,6 +730,14 @@ ORACLES: dict[str, str] = {
         )
         SELECT 'a/' || page_id || '.prefab' AS from_id, coalesce(target, 'unresolved:' || r.guid) AS to_id, 'references' AS relation, 'a/' || page_id || '.prefab' AS ev_path, line AS ev_line FROM r LEFT JOIN t ON t.guid = r.guid
     """,
+    "asset_dependencies": """
+        WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages), t AS (SELECT md5(a[1]) AS guid, min('m/' || page_id || '.asset') AS target FROM p WHERE len(a) > 0 GROUP BY 1), r AS (
+            SELECT page_id, CAST(unnest(range(1, len(a) + 1)) AS INTEGER) AS line, md5(unnest(a)) AS guid FROM p
+        )
+        SELECT 'a/' || page_id || '.prefab' AS from_id, coalesce(target, 'unresolved:' || r.guid) AS to_id, 'references' AS relation, 'a/' || page_id || '.prefab' AS ev_path, line AS ev_line FROM r LEFT JOIN t ON t.guid = r.guid
+        UNION SELECT 'a/' || page_id || '.prefab', CASE WHEN page_id + 1 IN (SELECT page_id FROM p WHERE len(a) > 0) THEN '' ELSE 'unresolved:' END || 'a/' || (page_id + 1) || '.prefab', 'asset_database_dependency', 'a/' || page_id || '.prefab', 1
+        FROM p WHERE len(a) > 0
+    """,
     "classify_paths": f"""
         WITH p AS (SELECT id, CASE WHEN ends_with(path, '/') THEN path || 'index.md' ELSE path END AS path FROM ({PATHS}))
         SELECT id, CASE WHEN starts_with(path, 'www.cheap-pills.example.com/') OR starts_with(path, 'blog.tionsh.example.net/en/') OR path IN ('www.cheap-pills.example.com', 'blog.tionsh.example.net/en') THEN 'document' ELSE 'code' END AS source,

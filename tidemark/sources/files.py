@@ -9,11 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import META_GUID, asset_kind, content_hash, extension, guids, is_text_file, lines, parent_directory, project_key, trimmed
+from tidemark.sources import store
 from tidemark.sources.frontmatter import mapping
 from tidemark.sources.globs import excluded, glob_pattern, ignore_pattern  # noqa: F401
 
 # Fixed value: the first heading of a note.
 HEADING = r"(?m)^#\s+(.+?)\s*#*\s*$"
+# The file that registers a project's folder of notes, and the names of such folders and of their notes.
+MARKER, PROJECT_SLUG, LABEL = ".project-path", "[a-z0-9]+(?:-[a-z0-9]+)*", "[a-z0-9]+(?:_[a-z0-9]+)*"
 #: Bytes of a file that is read, and files of a project.
 MOST_BYTES, MOST_FILES = 2 << 20, 100_000
 
@@ -123,18 +126,42 @@ def markdown_metadata(notes: DataFrame, *, label_col: str = "label", text_col: s
     return own.withColumn("title", F.coalesce(title, heading, F.col(label_col))).withColumn("date", F.when(date.rlike(r"^\d{4}-\d{2}-\d{2}\z"), date)).drop("_front", "_own")
 
 
-def handoffs(spark: SparkSession, root: str) -> DataFrame:
-    """(project_slug, label, document_id, title, date, modified_at, path, text) of the Markdown notes in the project folders under ``root``, newest first."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    own = raw.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("project_slug"), F.regexp_extract("path", r"([^/]+)\.md$", 1).alias("label"), F.col("modificationTime").alias("modified_at"), "path", F.col("content").cast("string").alias("text"))
+def registered_projects(spark: SparkSession, root: str) -> DataFrame:
+    """(project_slug, project_path, key): the folders in ``root`` that a marker file registers for the project whose path it holds, by slug.
+
+    Folders without a marker, with one that is empty or holds NUL, or with other names are none.
+    Spark's readers pass over names with a dot in front, so markers are read by name, one for each folder.
+    """
+    found = []
+    for name in store.folders(spark, root):
+        text = store.small_text(spark, f"{root.rstrip('/')}/{name}/{MARKER}") if re.fullmatch(PROJECT_SLUG, name) else None
+        if text is not None and text.strip() and "\0" not in text:
+            found.append((name, text.strip()))
+    rows = spark.createDataFrame(found, "project_slug string, project_path string")
+    return rows.withColumn("key", project_key("project_path"))
+
+
+def handoffs(spark: SparkSession, root: str, projects: DataFrame | None = None) -> DataFrame:
+    """(project_slug, label, document_id, title, date, modified_at, path, text) of the Markdown notes in the project folders under ``root``, newest first.
+
+    With ``projects`` (project_slug, project_path), as ``registered_projects`` gives them, only notes
+    that lie in these folders themselves and have the name of a note, with ``project_path``.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[mM][dD]").load(root)
+    own = raw.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("project_slug"), F.regexp_extract("path", r"(?i)([^/]+)\.md$", 1).alias("label"), F.col("modificationTime").alias("modified_at"), "path", F.col("content").cast("string").alias("text"))
+    if projects is not None:
+        inside = F.regexp_replace("path", "^[a-zA-Z0-9]+:/+", "/").rlike("^" + re.escape(re.sub("^[a-zA-Z0-9]+:/+", "/", root.rstrip("/"))) + "/[^/]+/[^/]+$")
+        own = own.where(inside & F.col("label").rlike(f"^{LABEL}$")).join(projects.select("project_slug", "project_path"), "project_slug")
     own = markdown_metadata(own).withColumn("document_id", F.concat_ws("/", "project_slug", "label"))
     return own.orderBy(F.coalesce("date", F.lit("")).desc(), F.col("modified_at").desc(), "label")
 
 
-def asset_references(assets: DataFrame) -> DataFrame:
+def asset_references(assets: DataFrame, dependencies: DataFrame | None = None) -> DataFrame:
     """Edges (from_id, to_id, relation, ev_path, ev_line) from assets (path, text) to those that their lines name by id.
 
     A .meta file states the id of the file beside it. An id that none states is an unresolved target.
+    ``dependencies`` (path, target) of an editor's own database, paths of assets both, are edges of
+    another relation, seen in line 1; those of other files than ``assets`` are passed over.
     """
     meta = assets.where(extension("path") == ".meta")
     named = meta.select(F.lower(F.regexp_extract("text", META_GUID, 1)).alias("guid"), F.regexp_replace("path", r"(?i)\.meta$", "").alias("target")).where("guid <> ''")
@@ -143,7 +170,33 @@ def asset_references(assets: DataFrame) -> DataFrame:
     found = each.select("path", (F.col("i") + 1).alias("line"), F.explode(guids("line")).alias("guid"))
     joined = found.join(named, "guid", "left")
     target = F.coalesce("target", F.concat(F.lit("unresolved:"), "guid"))
-    return joined.select(F.col("path").alias("from_id"), target.alias("to_id"), F.lit("references").alias("relation"), F.col("path").alias("ev_path"), F.col("line").alias("ev_line")).distinct()
+    edges = joined.select(F.col("path").alias("from_id"), target.alias("to_id"), F.lit("references").alias("relation"), F.col("path").alias("ev_path"), F.col("line").alias("ev_line"))
+    if dependencies is not None:
+        known = assets.select("path").distinct()
+        own = dependencies.where("target IS NOT NULL").select("path", "target").join(known, "path", "left_semi").join(known.withColumnsRenamed({"path": "_known"}), F.col("target") == F.col("_known"), "left")
+        target = F.coalesce("_known", F.concat(F.lit("unresolved:"), "target"))
+        edges = edges.union(own.select("path", target, F.lit("asset_database_dependency"), "path", F.lit(1)))
+    return edges.distinct()
+
+
+def match_assets(assets: DataFrame, symbol: str) -> DataFrame:
+    """(id): the assets (path, text) that ``symbol`` means, in any case: a path, a file's name without extension, or the id that a .meta file states, which means the file beside it too."""
+    wanted = symbol.replace("\\", "/").lower()
+    name = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"(?<=.)\.[^.]*$", "")
+    meta = extension("path") == ".meta"
+    fits = (F.lower("path") == wanted) | (F.lower(name) == wanted) | (meta & (F.lower(F.regexp_extract("text", META_GUID, 1)) == wanted))
+    ids = F.when(meta, F.array("path", F.regexp_replace("path", r"(?i)\.meta$", ""))).otherwise(F.array("path"))
+    return assets.where(fits).select(F.explode(ids).alias("id")).distinct()
+
+
+def asset_trace(assets: DataFrame, edges: DataFrame, symbol: str, direction: str = "callees", limit: int = 50) -> DataFrame:
+    """The ``edges`` from (callees) or to (callers) the assets that ``symbol`` means, by their evidence, ``limit`` and one more; raises ValueError if it means none."""
+    found = match_assets(assets, symbol)
+    if found.isEmpty():
+        raise ValueError(f"{symbol} is no asset")
+    side = "to_id" if direction == "callers" else "from_id"
+    own = edges.join(found.withColumnRenamed("id", side), side, "left_semi").select(*edges.columns)
+    return own.orderBy("ev_path", "ev_line", "relation", "from_id", "to_id").limit(limit + 1)
 
 
 def asset_nodes(assets: DataFrame) -> DataFrame:

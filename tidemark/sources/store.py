@@ -176,6 +176,24 @@ def children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(x.getName() for x in own if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS")))
 
 
+def folders(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the folders in a folder, none if there is no such folder."""
+    path, fs = _path(spark, folder)
+    return sorted(x.getPath().getName() for x in (fs.listStatus(path) if fs.exists(path) else []) if x.isDirectory())
+
+
+def small_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a file of MOST_COMMIT bytes at most; None if there is none, or a longer one."""
+    own, fs = _path(spark, path)
+    if not fs.exists(own) or not fs.getFileStatus(own).isFile() or fs.getFileStatus(own).getLen() > MOST_COMMIT:
+        return None
+    stream = fs.open(own)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path, fs = _path(spark, folder)
     fs.delete(path, True)
