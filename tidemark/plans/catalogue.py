@@ -614,6 +614,7 @@ ORACLES: dict[str, str] = {
         WITH p AS (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS a FROM pages)
         SELECT page_id, CAST(unnest(range(0, len(a))) AS INTEGER) AS ordinal, unnest(a) AS link FROM p
     """,
+    # The router's patterns again, so this SQL checks how they are applied, not the patterns themselves.
     "route_query": f"""
         WITH q AS (SELECT id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM ({SAID})), s AS (
             SELECT id, t, regexp_matches(t, '(?i)호출|상속|구현|이어지|연결|참조|의존|생성하|발행자|구독|call(er|ee| graph)|who calls|inherit|implement|references?|depends?') AS structural,
