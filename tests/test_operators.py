@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import routing, text
 from tidemark.operators import budgets, bursts, exact, graph, hierarchy, retrieval, snapshots
-from tidemark.operators.chunking import begins_section, chunk_files, chunks_of
+from tidemark.operators.chunking import HELD, HELD_ROWS, begins_section, chunk_files, chunks_of, cut_batches
 from tidemark.operators.embedding import Embedder, TooLong, embed_in_halves
 from tidemark.sources.files import asset_nodes, asset_references, glob_pattern, handoffs, ignore_pattern, markdown_metadata, matching_projects, scan
 
@@ -47,6 +47,35 @@ def test_chunk_files_of_odd_rows(spark):
         chunk_files(rows, 5, 4)
 
 
+def test_chunks_are_passed_on_before_a_batch_ends():
+    """What a task holds doesn't grow with the files of a batch: before, all chunks of a batch were one list."""
+    import pyarrow as pa
+
+    texts = [None, *("\n".join("w" * 40 for _ in range(300)) for _ in range(999)), "q" * 3_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *(f"{i}.txt" for i in range(1, 1001))]), pa.array(texts)], names=["path", "text"])
+    read = []
+
+    def batches():
+        for i in range(3):
+            read.append(i)
+            yield batch.slice(400 * i, 400)
+
+    got = []
+    for x in cut_batches(batches(), 1200, 1600):
+        assert len(x) <= HELD_ROWS and x.column(4).nbytes < 2 * HELD
+        got += [(len(read), *r.values()) for r in x.to_pylist()]
+    assert [x[1:] for x in got] == [(f"{i}.txt", *c) for i, t in enumerate(texts) for c in chunks_of(f"{i}.txt", t)]
+    assert [x[0] for x in got] == sorted(x[0] for x in got) and {x[0] for x in got} == {1, 2, 3}
+    assert list(cut_batches(iter([batch.slice(0, 1)]), 1200, 1600)) == []
+
+
+def test_chunk_files_reads_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    assert chunk_files(spark.range(3000).selectExpr("id AS path", "'a' AS text").coalesce(1)).count() == 3000
+    assert 0 < int(spark.conf.get(key)) <= 1000
+
+
 def test_exact(spark):
     files = spark.createDataFrame([("src/F.cs", "Needle first\nno match\nNeedle second\n-Nee dle"), ("docs/d.md", "Needle design"), ("n", None)], "path string, text string")
     assert [tuple(r) for r in exact.first_matches(exact.content_matches(files, "Needle"), 50).collect()] == [("docs/d.md", 1, "Needle design"), ("src/F.cs", 1, "Needle first"), ("src/F.cs", 3, "Needle second")]

@@ -9,8 +9,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch at most: rows hold whole texts, and a worker has a batch in memory at once.
-BATCH_ROWS = 1000
+from tidemark.functions.batches import short_batches
 
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -31,13 +30,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def short_batches(spark: SparkSession) -> None:
-    """From now on Arrow batches of this session have BATCH_ROWS rows at most."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read again: it is not computed twice, and outlives lost executors."""
     spark = df.sparkSession
