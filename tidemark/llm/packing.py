@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 from tidemark.llm.common import id_text, staged
 from tidemark.llm.kernels import chunks
 
-#: Bytes of different words and their tokens that a Python worker remembers, from one task to the next; about WORD_BYTES more for each.
-REMEMBERED, WORD_BYTES = 24 << 20, 120
+#: Bytes of different words and their tokens that a Python worker remembers, from one task to the next; about WORD_BYTES more for each. Beyond, those seen most often stay, in KEPT of these bytes.
+REMEMBERED, WORD_BYTES, KEPT = 48 << 20, 120, 2 / 3
 #: Words encoded in one call.
 LOT = 500
 #: About so many pieces of one length are ranked in one group at most.
@@ -68,6 +68,19 @@ class WordTokens:
     def forget(self) -> None:
         self.words, self.held = _Words(), 0
         self.flat, self.first = np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64)
+        self.seen = np.zeros(0, dtype=np.int64)
+
+    def forget_rare(self) -> None:
+        """Words seen most often stay, as many as KEPT of REMEMBERED holds; what was seen counts half from now on."""
+        names, sizes = list(self.words), np.diff(self.first)
+        cost = np.fromiter(map(len, names), dtype=np.int64, count=len(names)) + WORD_BYTES + 4 * sizes
+        often = np.argsort(-self.seen, kind="stable")
+        keep = np.sort(often[np.cumsum(cost[often]) <= REMEMBERED * KEPT])
+        self.words, self.held = _Words(), int(cost[keep].sum())
+        self.words.update(zip(map(names.__getitem__, keep.tolist()), range(len(keep))))
+        first = np.append(0, np.cumsum(sizes[keep]))
+        self.flat = self.flat[np.repeat(self.first[keep] - first[:-1], sizes[keep]) + np.arange(first[-1])]
+        self.first, self.seen = first, self.seen[keep] // 2
 
     def _encode(self, new: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids and their number for each word: many words at once, told apart by where tokens begin."""
@@ -84,7 +97,7 @@ class WordTokens:
     def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For texts that lie side by side in ``data``: all ids in a row, and how many each text has."""
         if self.held > REMEMBERED:
-            self.forget()
+            self.forget_rare()
         letter = (data | 32) - np.uint8(97) < 26
         stop = (data == 44) | (data == 46)
         stop[1:] &= letter[:-1]
@@ -101,6 +114,8 @@ class WordTokens:
             self.flat = np.concatenate([self.flat, *ids])
             self.held += sum(len(x) + WORD_BYTES for x in new) + 4 * sum(map(len, ids))
             self.words.new = []
+            self.seen = np.append(self.seen, np.zeros(len(new), dtype=np.int64))
+        self.seen += np.bincount(known, minlength=len(self.seen))
         first = self.first[known]
         sizes = self.first[known + 1] - first
         before = np.concatenate([[0], np.cumsum(sizes)])
@@ -141,7 +156,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, *,
                 arrays = [ids_of.take(pa.array(rows))] + [pa.array(x, type=t) for x, t in zip(zip(*out), kinds)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(arrays)])
         if tokens.held > REMEMBERED:
-            tokens.forget()
+            tokens.forget_rare()
 
     return id_text(docs, id_col, text_col).mapInArrow(cut, PIECES + (", ids array<int>" if with_ids else ""))
 
