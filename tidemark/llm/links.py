@@ -465,7 +465,7 @@ def row_filter(ids: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "bits"])
 
     out = np.zeros((size // 8 // FILTER_PART, FILTER_PART), dtype=np.uint8)
-    for row in ids.mapInArrow(fill, "part long, bits binary").repartition("part").mapInArrow(merge, "part long, bits binary").toLocalIterator():  # MOST_BITS in all
+    for row in ids.mapInArrow(fill, "part long, bits binary").repartition("part").mapInArrow(merge, "part long, bits binary").collect():  # MOST_BITS in all; one job, not one for each partition
         out[row["part"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
     return out.ravel()
 
